@@ -33,17 +33,18 @@ def class_priors(df: DataFrame, label: str) -> DataFrame:
     return counts.select("label", "n", (F.col("n") / total).alias("prior"))
 
 
-def level_counts(df: DataFrame, label: str, categorical: Sequence[str]) -> DataFrame:
-    """(feature, value, label, n) from one pass; missing values and labels are left out."""
+def level_counts(df: DataFrame, label: str, categorical: Sequence[str], fold: str | None = None) -> DataFrame:
+    """([part,] feature, value, label, n) from one pass; missing values and labels are left out."""
     types = {f.name: f.dataType for f in df.schema.fields}
     pairs = F.array(
         *[F.struct(F.lit(c).alias("feature"), C.category_text(c, types[c]).alias("value")) for c in categorical]
     )
+    part = [F.col(fold).cast("int").alias("part")] if fold else []
     return (
         df.filter(F.col(label).isNotNull())
-        .select(F.col(label).alias("label"), F.explode(pairs).alias("p"))
+        .select(*part, F.col(label).alias("label"), F.explode(pairs).alias("p"))
         .filter(F.col("p.value").isNotNull())
-        .groupBy("p.feature", "p.value", "label")
+        .groupBy(*(["part"] if fold else []), "p.feature", "p.value", "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -67,26 +68,46 @@ def conditionals(counts: DataFrame, classes: Sequence[str], laplace: float) -> D
     return levels.join(F.broadcast(totals), "feature").select("feature", "value", F.array(*logs).alias("logs"))
 
 
-def moments(df: DataFrame, label: str, numeric: Sequence[str]) -> DataFrame:
-    """(label, feature, mean, sd) of every numeric feature, in one pass."""
+def _moment_measures(df: DataFrame, numeric: Sequence[str]) -> list[Column]:
     types = {f.name: f.dataType for f in df.schema.fields}
     measures = []
     for i, c in enumerate(numeric):
         x = C.clean_number(c, types[c])
-        measures += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
+        measures += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}")]
+    return measures
+
+
+def moments(df: DataFrame, label: str, numeric: Sequence[str]) -> DataFrame:
+    """(label, feature, mean, sd) of every numeric feature, in one pass."""
     lines = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd"))
+        F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"), F.sqrt(F.col(f"v{i}")).alias("sd"))
         for i, c in enumerate(numeric)
     ]
     return (
         df.filter(F.col(label).isNotNull())
         .groupBy(F.col(label).alias("label"))
-        .agg(*measures)
+        .agg(*_moment_measures(df, numeric))
         .select("label", F.explode(F.array(*lines)).alias("r"))
         .select("label", "r.*")
     )
 
 
+def merge_moments(parts: Sequence[tuple[int, float | None, float | None]]) -> tuple[float | None, float | None]:
+    """(mean, deviation) of the union of groups given as (count, mean, sample variance)."""
+    n, mean, square = 0, 0.0, 0.0
+    for count, m, v in parts:
+        if not count:
+            continue
+        shift = m - mean
+        total = n + count
+        square += (v or 0.0) * (count - 1) + shift * shift * n * count / total
+        mean += shift * count / total
+        n = total
+    if not n:
+        return None, None
+    return mean, math.sqrt(square / (n - 1)) if n > 1 else None
+
+
 class NaiveBayesModel(Model):
     family = "naive_bayes"
 
@@ -169,21 +190,44 @@ class NaiveBayesLearner(Learner):
     classes: tuple[str, ...] | None = None
 
     def fit(self, df: DataFrame) -> NaiveBayesModel:
+        return self._fit_all(df, None, [None])[0]
+
+    def fit_folds(self, df: DataFrame, k: int, fold: str) -> list[NaiveBayesModel]:
+        """The ``k`` leave-one-fold-out models from the same two passes one fit needs.
+
+        Counts and moments are kept per fold; each model adds up those of the other folds.
+        """
+        return self._fit_all(df, fold, list(range(k)))
+
+    def _fit_all(self, df: DataFrame, fold: str | None, left_out: Sequence[int | None]) -> list[NaiveBayesModel]:
         spec = self.spec
         classes = list(self.classes or label_classes(df, spec.label))
-        priors = {r["label"]: r["prior"] for r in class_priors(df, spec.label).collect()}
-        absent = [c for c in classes if c not in priors]
+        part = F.col(fold) if fold else F.lit(0)
+        grouped = (
+            df.filter(F.col(spec.label).isNotNull())
+            .groupBy(part.cast("int").alias("part"), F.col(spec.label).alias("label"))
+            .agg(F.count(F.lit(1)).alias("n"), *_moment_measures(df, spec.numeric))
+            .collect()  # folds x classes rows
+        )
+        counts = settle(level_counts(df, spec.label, spec.categorical, fold)) if spec.categorical else None
+        return [self._model(classes, [r for r in grouped if r["part"] != i or fold is None], counts, i) for i in left_out]
+
+    def _model(self, classes: list[str], grouped: list, counts: DataFrame | None, left_out: int | None) -> NaiveBayesModel:
+        spec = self.spec
+        rows = {c: [r for r in grouped if r["label"] == c] for c in classes}
+        n = {c: sum(r["n"] for r in rows[c]) for c in classes}
+        absent = [c for c in classes if not n[c]]
         if absent:
             raise ValueError(f"classes without a labelled row: {absent}")
-        gauss: dict[str, list] = {f: [(None, None)] * len(classes) for f in spec.numeric}
-        if spec.numeric:
-            for r in moments(df, spec.label, spec.numeric).collect():  # classes x features rows
-                gauss[r["feature"]][classes.index(r["label"])] = (r["mean"], r["sd"])
+        prior = {c: n[c] / sum(n.values()) for c in classes}
+        gauss = {
+            f: [merge_moments([(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in rows[c]]) for c in classes]
+            for i, f in enumerate(spec.numeric)
+        }
         levels, small = None, True
-        if spec.categorical:
-            counts = level_counts(df, spec.label, spec.categorical)
+        if counts is not None:
+            if left_out is not None:
+                counts = counts.filter(F.col("part") != left_out)
             levels = settle(conditionals(counts, classes, self.laplace))
             small = levels.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS
-        return NaiveBayesModel(classes, spec.categorical, spec.numeric, priors, gauss, levels, self.params(), small)
-
-
+        return NaiveBayesModel(classes, spec.categorical, spec.numeric, prior, gauss, levels, self.params(), small)

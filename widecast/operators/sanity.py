@@ -24,6 +24,16 @@ def _unpivot(wide: DataFrame, lines: Sequence[Column]) -> DataFrame:
     return wide.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows that have both values; null when one side does not vary.
+
+    The built-in ``corr`` stops the job on a constant column when ANSI mode is on.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
+    return F.try_divide(F.covar_samp(x, y), spread)
+
+
 def numeric_checks(df: DataFrame, features: Sequence[str], label_index: Column) -> DataFrame:
     """(feature, variance, correlation, missing_share) of numeric features, in one pass."""
     require_columns(df, features)
@@ -33,7 +43,7 @@ def numeric_checks(df: DataFrame, features: Sequence[str], label_index: Column)
         x = C.clean_number(c, types[c])
         measures += [
             F.var_samp(x).alias(f"v{i}"),
-            F.corr(x, label_index).alias(f"c{i}"),
+            correlation(x, label_index).alias(f"c{i}"),
             F.count(x).alias(f"n{i}"),
         ]
     return _unpivot(

@@ -27,10 +27,11 @@ def save_model(model: Model, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> Model:
     """Read a model of whatever family was saved there."""
+    from widecast.operators.balanced import PriorCorrectedModel
     from widecast.operators.boost import BoostModel
     from widecast.operators.families import PipelineClassifier
     from widecast.operators.nbayes import NaiveBayesModel
     from widecast.operators.stack import StackModel
 
-    kinds = {m.family: m for m in (BoostModel, NaiveBayesModel, PipelineClassifier, StackModel)}
+    kinds = {m.family: m for m in (BoostModel, NaiveBayesModel, PipelineClassifier, PriorCorrectedModel, StackModel)}
     return kinds[read_meta(spark, path)["family"]].load(spark, path)
