@@ -112,16 +112,15 @@ def hash_uniform(key: Column | str, purpose: str, seed: int) -> Column:
     return hash_value(key, purpose, seed) / F.lit(float(HASH_RANGE))
 
 
-def relative_weights(scores: Column, n: int) -> Column:
-    """exp(score - largest score) for each of ``n`` log scores in an array."""
-    largest = F.array_max(scores)
-    return F.array(*[F.exp(scores[i] - largest) for i in range(n)])
+def relative_weights(scores: str, n: int) -> Column:
+    """exp(score - largest score) for each of ``n`` log scores in an array column."""
+    return F.expr(f"array({', '.join(f'exp(`{scores}`[{i}] - array_max(`{scores}`))' for i in range(n))})")
 
 
-def shares(weights: Column, n: int) -> Column:
-    """An array of ``n`` weights scaled to add up to 1."""
-    total = reduce(add, (weights[i] for i in range(n)))
-    return F.array(*[weights[i] / total for i in range(n)])
+def shares(weights: str, n: int) -> Column:
+    """An array column of ``n`` weights scaled to add up to 1."""
+    total = " + ".join(f"`{weights}`[{i}]" for i in range(n))
+    return F.expr(f"array({', '.join(f'`{weights}`[{i}] / ({total})' for i in range(n))})")
 
 
 def class_of_largest(scores: Column, classes: Sequence[str]) -> Column:

@@ -31,8 +31,8 @@ def with_prediction(df: DataFrame, scores: str, classes: list[str]) -> DataFrame
     """Turn a column of log scores into ``probabilities`` and ``predict``."""
     n = len(classes)
     return (
-        df.withColumn("__weights", C.relative_weights(F.col(scores), n))
-        .withColumn(PROBABILITIES, C.shares(F.col("__weights"), n))
+        df.withColumn("__weights", C.relative_weights(scores, n))
+        .withColumn(PROBABILITIES, C.shares("__weights", n))
         .withColumn(PREDICT, C.class_of_largest(F.col(scores), classes))
         .drop("__weights", scores)
     )

@@ -14,7 +14,7 @@ from functools import reduce
 from operator import add
 from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from widecast.functions import columns as C
 from widecast.operators.learner import Learner, Model, label_classes, with_prediction
@@ -121,34 +121,42 @@ class NaiveBayesModel(Model):
         self.params = params
         self.broadcastable: bool = broadcastable
 
-    def _gaussian(self, feature: str, data_type: T.DataType, k: int) -> Column | None:
-        mean, sd = self.gauss[feature][k]
+    def _gaussian(self, i: int, k: int) -> str | None:
+        """Log density of numeric feature ``i`` in class ``k``; 0 for a missing value.
+
+        ``__x`` and ``__has`` are never null, so the generated code is plain arithmetic.
+        """
+        mean, sd = self.gauss[self.numeric[i]][k]
         if mean is None:
             return None
         sd = max(sd or 0.0, MIN_DEVIATION)
-        x = C.clean_number(feature, data_type)
         constant = -0.5 * math.log(2 * math.pi * sd * sd)
-        return F.coalesce(F.lit(constant) - (x - F.lit(mean)) * (x - F.lit(mean)) / F.lit(2 * sd * sd), F.lit(0.0))
+        return f"`__has{i}` * ({constant!r}D - (`__x{i}` - {mean!r}D) * (`__x{i}` - {mean!r}D) * {0.5 / (sd * sd)!r}D)"
 
     def log_scores(self, df: DataFrame, out: str = "log_scores") -> DataFrame:
         """Array of log prior plus the sum of log conditionals, per class."""
         require_columns(df, [*self.categorical, *self.numeric])
         types = {f.name: f.dataType for f in df.schema.fields}
-        held = []
-        for i, c in enumerate(self.categorical):
-            value, logs = f"__value{i}", f"__logs{i}"
-            table = self.levels.filter(F.col("feature") == c).select(F.col("value").alias(value), F.col("logs").alias(logs))
-            if self.broadcastable:
-                table = F.broadcast(table)
-            df = df.join(table, C.category_text(c, types[c]) == F.col(value), "left").drop(value)
-            held.append(logs)
+        columns = df.columns
+        n = len(self.classes)
+        ready = []
+        for i, f in enumerate(self.numeric):
+            x = C.clean_number(f, types[f])
+            ready += [F.coalesce(x, F.lit(0.0)).alias(f"__x{i}"), x.isNotNull().cast("double").alias(f"__has{i}")]
         scores = []
         for k, c in enumerate(self.classes):
-            terms = [F.lit(math.log(self.prior[c]))]
-            terms += [F.coalesce(F.col(logs)[k], F.lit(0.0)) for logs in held]
-            terms += [g for g in (self._gaussian(f, types[f], k) for f in self.numeric) if g is not None]
-            scores.append(reduce(add, terms))
-        return df.withColumn(out, F.array(*scores)).drop(*held)
+            terms = [f"{math.log(self.prior[c])!r}D", *(self._gaussian(i, k) for i in range(len(self.numeric)))]
+            scores.append(F.expr(" + ".join(t for t in terms if t)).alias(f"__s{k}"))
+        df = df.select(*columns, *ready).select(*columns, *scores)
+        for c in self.categorical:
+            table = self.levels.filter(F.col("feature") == c).selectExpr(
+                "value AS `__value`", *[f"logs[{k}] AS `__l{k}`" for k in range(n)]
+            )
+            if self.broadcastable:
+                table = F.broadcast(table)
+            df = df.join(table, C.category_text(c, types[c]) == F.col("__value"), "left")
+            df = df.select(*columns, *[F.expr(f"`__s{k}` + coalesce(`__l{k}`, 0.0D) AS `__s{k}`") for k in range(n)])
+        return df.select(*columns, F.expr(f"array({', '.join(f'`__s{k}`' for k in range(n))})").alias(out))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return with_prediction(self.log_scores(df, "__scores"), "__scores", self.classes)
@@ -209,7 +217,7 @@ class NaiveBayesLearner(Learner):
             .agg(F.count(F.lit(1)).alias("n"), *_moment_measures(df, spec.numeric))
             .collect()  # folds x classes rows
         )
-        counts = settle(level_counts(df, spec.label, spec.categorical, fold)) if spec.categorical else None
+        counts = settle(level_counts(df, spec.label, spec.categorical, fold))[0] if spec.categorical else None
         return [self._model(classes, [r for r in grouped if r["part"] != i or fold is None], counts, i) for i in left_out]
 
     def _model(self, classes: list[str], grouped: list, counts: DataFrame | None, left_out: int | None) -> NaiveBayesModel:
@@ -228,6 +236,6 @@ class NaiveBayesLearner(Learner):
         if counts is not None:
             if left_out is not None:
                 counts = counts.filter(F.col("part") != left_out)
-            levels = settle(conditionals(counts, classes, self.laplace))
-            small = levels.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS
+            levels, small = settle(conditionals(counts, classes, self.laplace))
+            small = small or levels.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS
         return NaiveBayesModel(classes, spec.categorical, spec.numeric, prior, gauss, levels, self.params(), small)

@@ -77,7 +77,7 @@ def categorical_checks(df: DataFrame, features: Sequence[str], label: str) -> Da
     chi2 / n = sum(cell^2 / (row * column)) - 1. Rows and columns are summed from the counted
     cells, never from the table again. Rows whose category is missing take no part in V.
     """
-    counted = settle(contingency(df, features, label))
+    counted, _ = settle(contingency(df, features, label))
     cells = counted.filter(F.col("value").isNotNull() & F.col("label").isNotNull())
     by_value = Window.partitionBy("feature", "value")  # at most one row per class
     cells = cells.withColumn("row_n", F.sum("n").over(by_value))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cores: int | str = "*", app: str = "widecast", memory: str = "12g") -> SparkSession:
     """Session for tests and the local bench; on a cluster pass your own session instead."""
     partitions = "8" if cores == "*" else str(cores)
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", partitions)
@@ -23,6 +23,19 @@ def local_session(cores: int | str = "*", app: str = "widecast", memory: str = "
     )
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the wide plans gain from; all can be changed back by the caller.
+
+    A generated method above 8,000 bytes of code is never compiled by the JVM. Past this limit Spark
+    then runs the stage's operators one by one, in methods small enough to compile: scoring a wide
+    table becomes several times faster.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder the cluster names; only a local master may fall back to a temporary one."""
     context = spark.sparkContext
@@ -44,13 +57,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Fix a small result so that later plans do not recompute it.
+LOCAL_ROWS = 50_000
+
+
+def settle(df: DataFrame, max_rows: int = LOCAL_ROWS) -> tuple[DataFrame, bool]:
+    """Fix a small result so that later plans do not recompute it; also tells whether it was small.
 
     Up to ``max_rows`` rows come to the driver and become a local relation (no job, broadcast for
     free). A larger result stays distributed, as a reliable checkpoint.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, df.schema)
-    return cut_lineage(df)
+        return df.sparkSession.createDataFrame(head, df.schema), True
+    return cut_lineage(df), False
