@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Bucketizer, SQLTransformer, StringIndexer
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from widecast.functions import columns as C
 from widecast.operators.encode import _category_sql, _number_sql, quoted
@@ -278,61 +278,55 @@ def best_splits(
     first ordered by their mean gradient. Gains are compared per training row and to ten decimals,
     so that the order of floating-point additions does not decide between equal splits.
     """
-    numeric = F.col("feature") < n_numeric
+    newton = mode == "newton"
+    is_number = f"feature < {n_numeric}"
+    whole = "OVER (PARTITION BY class, node, feature)"
+    upto = "OVER (PARTITION BY class, node, feature ORDER BY place, bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def side(h: str, n: str) -> str:
+        return f"({h} + {reg_lambda!r}D)" if newton else f"({n})"
+
     # One exchange by column serves the grouping and the windows.
     cells = (
         sums.repartition("class", "node", "feature")
         .groupBy("class", "node", "feature", "bin")
         .agg(*[F.sum(c).alias(c) for c in "ghn"])
-    )
-    side = F.col("h") + reg_lambda if mode == "newton" else F.col("n")
-    cells = cells.withColumn("place", F.when(numeric, F.col("bin").cast("double")).otherwise(F.round(F.col("g") / side, 10)))
-    whole = Window.partitionBy("class", "node", "feature")
-    upto = whole.orderBy("place", "bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_missing = numeric & (F.col("bin") == 0)
-    cells = cells.select(
-        "class",
-        "node",
-        "feature",
-        "bin",
-        *[F.sum(c).over(upto).alias(f"l{c}") for c in "ghn"],
-        *[F.sum(c).over(whole).alias(f"t{c}") for c in "ghn"],
-        *[F.sum(F.when(is_missing, F.col(c)).otherwise(0.0)).over(whole).alias(f"m{c}") for c in "ghn"],
-        F.sum(F.expr("shiftleft(1L, bin)")).over(upto).alias("levels"),
+        .selectExpr("*", f"CASE WHEN {is_number} THEN CAST(bin AS DOUBLE) ELSE round(g / {side('h', 'n')}, 10) END AS place")
+        .selectExpr(
+            "class",
+            "node",
+            "feature",
+            "bin",
+            *[f"sum({c}) {upto} AS l{c}" for c in "ghn"],
+            *[f"sum({c}) {whole} AS t{c}" for c in "ghn"],
+            *[f"sum(CASE WHEN {is_number} AND bin = 0 THEN {c} ELSE 0.0D END) {whole} AS m{c}" for c in "ghn"],
+            f"sum(shiftleft(1L, bin)) {upto} AS levels",
+        )
     )
 
-    def weight(g, h, n):
-        return F.try_divide(g * g, (h + reg_lambda) if mode == "newton" else n)
+    def weight(g: str, h: str, n: str) -> str:
+        return f"try_divide(({g}) * ({g}), {side(h, n)})"
 
-    def candidate(missing_left: bool):
-        gl, hl, nl = (F.col(f"l{c}") if missing_left else F.col(f"l{c}") - F.col(f"m{c}") for c in "ghn")
-        gt, ht, nt = (F.col(f"t{c}") for c in "ghn")
-        gr, hr, nr = gt - gl, ht - hl, nt - nl
-        allowed = (nl >= max(min_rows, 1e-9)) & (nr >= max(min_rows, 1e-9))
-        if mode == "newton":
-            allowed = allowed & (hl >= min_child_weight) & (hr >= min_child_weight)
+    def candidate(missing_left: bool) -> str:
+        gl, hl, nl = (f"l{c}" if missing_left else f"(l{c} - m{c})" for c in "ghn")
+        gr, hr, nr = f"(tg - {gl})", f"(th - {hl})", f"(tn - {nl})"
+        least = max(float(min_rows), 1e-9)
+        allowed = f"{nl} >= {least!r}D AND {nr} >= {least!r}D"
+        if newton:
+            allowed += f" AND {hl} >= {float(min_child_weight)!r}D AND {hr} >= {float(min_child_weight)!r}D"
         if not missing_left:
-            allowed = allowed & numeric & (F.col("mn") > 0)
-        gain = weight(gl, hl, nl) + weight(gr, hr, nr) - weight(gt, ht, nt)
-        score = F.when(allowed, F.round(gain / rows, 10)).otherwise(-1.0)
-        below = F.expr("shiftleft(1L, bin + 1) - 2L")
+            allowed += f" AND {is_number} AND mn > 0"
+        gain = f"({weight(gl, hl, nl)} + {weight(gr, hr, nr)} - {weight('tg', 'th', 'tn')})"
         # Without missing values in the node, they go to the larger side.
-        zero = (F.col("mn") > 0) | (nl >= nr) if missing_left else F.lit(False)
-        left = F.when(numeric, below + zero.cast("bigint")).otherwise(F.col("levels"))
-        return F.struct(
-            score.alias("score"),
-            (-F.col("feature")).alias("minus_feature"),
-            (-F.col("bin")).alias("minus_bin"),
-            left.alias("left"),
-            gain.alias("gain"),
-            *[c.alias(a) for c, a in zip((gl, hl, nl, gt, ht, nt), ("lg", "lh", "ln", "tg", "th", "tn"))],
-        )
-
-    return (
-        cells.groupBy("class", "node")
-        .agg(F.greatest(F.max(candidate(True)), F.max(candidate(False))).alias("b"))
-        .select("class", "node", (-F.col("b.minus_feature")).alias("feature"), "b.*")
-    )
+        zero = f"CAST(mn > 0 OR {nl} >= {nr} AS BIGINT)" if missing_left else "0L"
+        return f"""named_struct(
+            'score', CASE WHEN {allowed} THEN round({gain} / {float(rows)!r}D, 10) ELSE -1.0D END,
+            'minus_feature', -feature, 'minus_bin', -bin,
+            'left', CASE WHEN {is_number} THEN shiftleft(1L, bin + 1) - 2L + {zero} ELSE levels END,
+            'gain', {gain}, 'lg', {gl}, 'lh', {hl}, 'ln', {nl}, 'tg', tg, 'th', th, 'tn', tn)"""
+
+    best = f"greatest(max({candidate(True)}), max({candidate(False)}))"
+    return cells.groupBy("class", "node").agg(F.expr(best).alias("b")).selectExpr("class", "node", "-b.minus_feature AS feature", "b.*")
 
 
 # ---------------------------------------------------------------- model and learner

@@ -107,6 +107,7 @@ class VectorSettings:
     top_k: int = 20
     min_support: int = 10
     track_missing: bool = True
+    unit_range: bool = False  # numbers scaled to [0, 1] by the range seen, later values clipped to it
 
 
 def pivot_expressions(column: str, levels: Sequence[str], text: str, track_missing: bool = True) -> dict[str, str]:
@@ -163,6 +164,14 @@ def fill_values(df: DataFrame, real: Sequence[str], integral: Sequence[str]) ->
     return filled
 
 
+def number_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Smallest and largest value of each column, from one pass; (0, 0) for a column without any."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    values = [C.clean_number(c, types[c]) for c in columns]
+    row = df.agg(*[m for i, x in enumerate(values) for m in (F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))]).first()
+    return {c: (row[f"lo{i}"] or 0.0, row[f"hi{i}"] or 0.0) for i, c in enumerate(columns)}
+
+
 def fill_missing(df: DataFrame, real: Sequence[str] = (), integral: Sequence[str] = ()) -> DataFrame:
     """Fill missing numbers and add a ``<c>__is__missing`` indicator for each column."""
     values = fill_values(df, real, integral)
@@ -181,8 +190,13 @@ def vectorizer(df: DataFrame, spec: TableSpec, settings: VectorSettings = Vector
     require_columns(df, spec.predictors)
     types = {f.name: f.dataType for f in df.schema.fields}
     slots: dict[str, str] = {}
+    ranges = number_ranges(df, spec.numeric) if settings.unit_range else {}
     for c, v in fill_values(df, spec.names("real"), spec.names("integral")).items():
         slots[c] = f"coalesce({_number_sql(c)}, {v!r}D)"
+        if c in ranges:
+            low, high = ranges[c]
+            width = high - low
+            slots[c] = f"least(greatest(({slots[c]} - {low!r}D) / {width!r}D, 0.0D), 1.0D)" if width > 0 else "0.0D"
         if settings.track_missing:
             slots[c + IS + MISSING] = f"CASE WHEN {_number_sql(c)} IS NULL THEN 1.0D ELSE 0.0D END"
     if spec.categorical:

@@ -8,7 +8,7 @@ from typing import Any, ClassVar
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, MinMaxScaler
+from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,7 +18,7 @@ from widecast.operators.learner import PREDICT, PROBABILITIES, Learner, Model, l
 from widecast.sources.models import read_meta, write_meta
 from widecast.spec import TableSpec
 
-INNER = (VECTOR, "__vector", "__raw", "__probability", "__prediction")
+INNER = (VECTOR, "__raw", "__probability", "__prediction")
 
 
 class PipelineClassifier(Model):
@@ -66,9 +66,6 @@ class PipelineLearner(Learner):
     def estimator(self, features: str):
         raise NotImplementedError
 
-    def scaler(self) -> MinMaxScaler | None:
-        return None
-
     def fit(self, df: DataFrame) -> PipelineClassifier:
         label = self.spec.label
         classes = list(self.classes or label_classes(df, label))
@@ -77,12 +74,7 @@ class PipelineLearner(Learner):
         ready = PipelineModel(stages).transform(labelled).withColumn("__y", C.class_index(label, classes))
         slots = [list(s) for s in vector_slots(ready)]
         ready = ready.select(VECTOR, "__y", *([self.weight] if self.weight else []))
-        features, scaler = VECTOR, self.scaler()
-        if scaler is not None:
-            fitted = scaler.setInputCol(VECTOR).setOutputCol("__vector").fit(ready)
-            stages.append(fitted)
-            ready, features = fitted.transform(ready), "__vector"
-        estimator = self.estimator(features).setLabelCol("__y")
+        estimator = self.estimator(VECTOR).setLabelCol("__y")
         if self.weight:
             estimator = estimator.setWeightCol(self.weight)
         estimator = (
@@ -139,14 +131,12 @@ class LogisticLearner(PipelineLearner):
 
 @dataclass(frozen=True, kw_only=True)
 class VectorBayesLearner(PipelineLearner):
-    """Multinomial naive Bayes; features are scaled to [0, 1], as it takes no negative values."""
+    """Multinomial naive Bayes; numbers are scaled to [0, 1], as it takes no negative values."""
 
     family: ClassVar[str] = "vector_bayes"
     name: str = "vector_bayes"
     smoothing: float = 1.0
+    vector: VectorSettings = field(default_factory=lambda: VectorSettings(unit_range=True))
 
     def estimator(self, features: str):
         return NaiveBayes(featuresCol=features, smoothing=self.smoothing)
-
-    def scaler(self) -> MinMaxScaler:
-        return MinMaxScaler()

@@ -30,12 +30,10 @@ def label_classes(df: DataFrame, label: str) -> list[str]:
 def with_prediction(df: DataFrame, scores: str, classes: list[str]) -> DataFrame:
     """Turn a column of log scores into ``probabilities`` and ``predict``."""
     n = len(classes)
-    return (
-        df.withColumn("__weights", C.relative_weights(scores, n))
-        .withColumn(PROBABILITIES, C.shares("__weights", n))
-        .withColumn(PREDICT, C.class_of_largest(F.col(scores), classes))
-        .drop("__weights", scores)
-    )
+    kept = [c for c in df.columns if c != scores]
+    predict = C.class_of_largest(F.col(scores), classes).alias(PREDICT)
+    weighted = df.select(*kept, C.relative_weights(scores, n).alias("__weights"), predict)
+    return weighted.select(*kept, C.shares("__weights", n).alias(PROBABILITIES), PREDICT)
 
 
 class Model:

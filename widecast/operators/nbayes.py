@@ -49,23 +49,23 @@ def level_counts(df: DataFrame, label: str, categorical: Sequence[str], fold: st
     )
 
 
-def conditionals(counts: DataFrame, classes: Sequence[str], laplace: float) -> DataFrame:
-    """(feature, value, logs): log P(value | class) for every class, seen together or not.
+def conditionals(counts: DataFrame, classes: Sequence[str], laplace: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., feature, value, logs): log P(value | class) for every class, seen together or not.
 
     P = (n + laplace) / (rows of the class with a value + laplace * levels of the feature).
     """
+    by = list(by)
     by_class = [
         F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, c in enumerate(classes)
     ]
-    levels = counts.groupBy("feature", "value").agg(*by_class)
-    totals = levels.groupBy("feature").agg(
+    levels = counts.groupBy(*by, "feature", "value").agg(*by_class)
+    totals = levels.groupBy(*by, "feature").agg(
         F.count(F.lit(1)).alias("levels"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(classes))]
     )
-    logs = [
-        F.log((F.col(f"n{i}") + laplace) / (F.col(f"t{i}") + laplace * F.col("levels"))) for i in range(len(classes))
-    ]
+    logs = ", ".join(f"ln((n{i} + {laplace!r}D) / (t{i} + {laplace!r}D * levels))" for i in range(len(classes)))
     # One row per feature on the right.
-    return levels.join(F.broadcast(totals), "feature").select("feature", "value", F.array(*logs).alias("logs"))
+    joined = levels.join(F.broadcast(totals), [*by, "feature"])
+    return joined.select(*by, "feature", "value", F.expr(f"array({logs})").alias("logs"))
 
 
 def _moment_measures(df: DataFrame, numeric: Sequence[str]) -> list[Column]:
@@ -146,17 +146,17 @@ class NaiveBayesModel(Model):
         scores = []
         for k, c in enumerate(self.classes):
             terms = [f"{math.log(self.prior[c])!r}D", *(self._gaussian(i, k) for i in range(len(self.numeric)))]
-            scores.append(F.expr(" + ".join(t for t in terms if t)).alias(f"__s{k}"))
-        df = df.select(*columns, *ready).select(*columns, *scores)
-        for c in self.categorical:
+            terms += [f"coalesce(`__l{i}_{k}`, 0.0D)" for i in range(len(self.categorical))]
+            scores.append(" + ".join(t for t in terms if t))
+        df = df.select(*columns, *ready)
+        for i, c in enumerate(self.categorical):
             table = self.levels.filter(F.col("feature") == c).selectExpr(
-                "value AS `__value`", *[f"logs[{k}] AS `__l{k}`" for k in range(n)]
+                f"value AS `__value{i}`", *[f"logs[{k}] AS `__l{i}_{k}`" for k in range(n)]
             )
             if self.broadcastable:
                 table = F.broadcast(table)
-            df = df.join(table, C.category_text(c, types[c]) == F.col("__value"), "left")
-            df = df.select(*columns, *[F.expr(f"`__s{k}` + coalesce(`__l{k}`, 0.0D) AS `__s{k}`") for k in range(n)])
-        return df.select(*columns, F.expr(f"array({', '.join(f'`__s{k}`' for k in range(n))})").alias(out))
+            df = df.join(table, C.category_text(c, types[c]) == F.col(f"__value{i}"), "left")
+        return df.select(*columns, F.expr(f"array({', '.join(scores)})").alias(out))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return with_prediction(self.log_scores(df, "__scores"), "__scores", self.classes)
@@ -217,10 +217,21 @@ class NaiveBayesLearner(Learner):
             .agg(F.count(F.lit(1)).alias("n"), *_moment_measures(df, spec.numeric))
             .collect()  # folds x classes rows
         )
-        counts = settle(level_counts(df, spec.label, spec.categorical, fold))[0] if spec.categorical else None
-        return [self._model(classes, [r for r in grouped if r["part"] != i or fold is None], counts, i) for i in left_out]
+        levels, small = None, True
+        if spec.categorical:
+            counts, _ = settle(level_counts(df, spec.label, spec.categorical, fold))
+            if fold:  # every count goes to the models that leave another fold out
+                others = F.filter(F.array(*[F.lit(i) for i in left_out]), lambda i: i != F.col("part"))
+                counts = counts.withColumn("model", F.explode(others))
+            levels, small = settle(conditionals(counts, classes, self.laplace, ["model"] if fold else []))
+            small = small or levels.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS
+        models = []
+        for i in left_out:
+            own = levels.filter(F.col("model") == i).drop("model") if levels is not None and fold else levels
+            models.append(self._model(classes, [r for r in grouped if fold is None or r["part"] != i], own, small))
+        return models
 
-    def _model(self, classes: list[str], grouped: list, counts: DataFrame | None, left_out: int | None) -> NaiveBayesModel:
+    def _model(self, classes: list[str], grouped: list, levels: DataFrame | None, small: bool) -> NaiveBayesModel:
         spec = self.spec
         rows = {c: [r for r in grouped if r["label"] == c] for c in classes}
         n = {c: sum(r["n"] for r in rows[c]) for c in classes}
@@ -232,10 +243,4 @@ class NaiveBayesLearner(Learner):
             f: [merge_moments([(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in rows[c]]) for c in classes]
             for i, f in enumerate(spec.numeric)
         }
-        levels, small = None, True
-        if counts is not None:
-            if left_out is not None:
-                counts = counts.filter(F.col("part") != left_out)
-            levels, small = settle(conditionals(counts, classes, self.laplace))
-            small = small or levels.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS
         return NaiveBayesModel(classes, spec.categorical, spec.numeric, prior, gauss, levels, self.params(), small)
