@@ -6,10 +6,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, ClassVar
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from widecast.functions import columns as C
@@ -24,36 +26,52 @@ INNER = (VECTOR, "__raw", "__probability", "__prediction")
 class PipelineClassifier(Model):
     family = "pipeline"
 
-    def __init__(self, classes: list[str], params: dict[str, Any], pipeline: PipelineModel, slots: list[list]):
+    def __init__(
+        self, classes: list[str], params: dict[str, Any], pipeline: PipelineModel, slots: list[list], spreads: list[float] | None
+    ):
         self.classes = classes
         self.params = params
         self.pipeline = pipeline
         self.slots = slots
+        self.spreads = spreads
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = self.pipeline.transform(df)
         return scored.withColumn(PROBABILITIES, vector_to_array("__probability")).drop(*INNER)
 
     def importance(self, spark: SparkSession) -> DataFrame:
-        """Forest: impurity decrease. Logistic regression: summed size of the standardised coefficients
-        is not known here, so only the forest reports; the others give an empty table."""
+        """Forest: impurity decrease. Logistic regression: size of the coefficients, in units of one
+        standard deviation of their slot. Others have none."""
         inner = self.pipeline.stages[-2]
-        if not hasattr(inner, "featureImportances"):
+        if hasattr(inner, "featureImportances"):
+            values = inner.featureImportances.toArray()
+        elif self.spreads is not None and hasattr(inner, "coefficientMatrix"):
+            values = np.abs(inner.coefficientMatrix.toArray()).sum(axis=0) * np.asarray(self.spreads)
+        else:
             return super().importance(spark)
         total: dict[str, float] = {}
-        for (parent, _), value in zip(self.slots, inner.featureImportances.toArray()):
+        for (parent, _), value in zip(self.slots, values):
             total[parent] = total.get(parent, 0.0) + float(value)
         return spark.createDataFrame(list(total.items()), "variable string, importance double")
 
+    def _meta(self) -> dict[str, Any]:
+        return {
+            "family": self.family,
+            "classes": self.classes,
+            "params": self.params,
+            "slots": self.slots,
+            "spreads": self.spreads,
+        }
+
     def save(self, path: str) -> None:
         spark = SparkSession.active()
-        write_meta(spark, path, {"family": self.family, "classes": self.classes, "params": self.params, "slots": self.slots})
+        write_meta(spark, path, self._meta())
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PipelineClassifier:
         m = read_meta(spark, path)
-        return cls(m["classes"], m["params"], PipelineModel.load(f"{path}/pipeline"), m["slots"])
+        return cls(m["classes"], m["params"], PipelineModel.load(f"{path}/pipeline"), m["slots"], m["spreads"])
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -62,6 +80,7 @@ class PipelineLearner(Learner):
     classes: tuple[str, ...] | None = None
     weight: str | None = None
     vector: VectorSettings = field(default_factory=VectorSettings)
+    reports_spreads: ClassVar[bool] = False
 
     def estimator(self, features: str):
         raise NotImplementedError
@@ -82,12 +101,15 @@ class PipelineLearner(Learner):
         )
         # Iterative training reads the vectors many times; the wide source is read once.
         ready = ready.persist()
+        spreads = None
         try:
             stages.append(estimator.fit(ready))
+            if self.reports_spreads:
+                spreads = ready.select(Summarizer.std(F.col(VECTOR)).alias("sd")).first()["sd"].toArray().tolist()
         finally:
             ready.unpersist()
         stages.append(IndexToString(inputCol="__prediction", outputCol=PREDICT, labels=classes))
-        return PipelineClassifier(classes, self.params(), PipelineModel(stages), slots)
+        return PipelineClassifier(classes, self.params(), PipelineModel(stages), slots, spreads)
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -114,6 +136,7 @@ class ForestLearner(PipelineLearner):
 @dataclass(frozen=True, kw_only=True)
 class LogisticLearner(PipelineLearner):
     family: ClassVar[str] = "logistic"
+    reports_spreads: ClassVar[bool] = True
     name: str = "logistic"
     regularization: float = 0.05
     elastic_net: float = 0.01

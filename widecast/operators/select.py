@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import time
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -196,6 +197,11 @@ def train_and_validate(learner: Learner, train: DataFrame, valid: DataFrame) ->
     return model, {n: E.metrics(model.transform(t), label, model.classes) for n, t in (("train", train), ("valid", valid))}
 
 
+def folder_name(model_id: str) -> str:
+    """A model name as a folder name; brackets and the like would be read as path patterns."""
+    return re.sub(r"[^A-Za-z0-9_.=-]+", "_", model_id).strip("_")
+
+
 def report_all(spark: SparkSession, result: SearchResult, path: str | None = None) -> dict[str, dict[str, DataFrame]]:
     """Summary and variable importance of every refitted model; each is saved below ``path``."""
     out = {}
@@ -207,5 +213,5 @@ def report_all(spark: SparkSession, result: SearchResult, path: str | None = Non
             "importance": E.scaled_importance(t.model.importance(spark)),
         }
         if path:
-            save_model(t.model, f"{path}/{t.learner.name}")
+            save_model(t.model, f"{path}/{folder_name(t.learner.name)}")
     return out
