@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,12 +13,13 @@ from widecast import fixtures as X
 from widecast.functions import columns as C
 from widecast.operators import evaluate as E
 from widecast.operators.balanced import BalancedLearner
-from widecast.operators.boost import BINS, BoostLearner
+from widecast.operators.boost import BoostLearner
 from widecast.operators.families import ForestLearner, LogisticLearner, VectorBayesLearner
 from widecast.operators.nbayes import NaiveBayesLearner, merge_moments
 from widecast.operators.sample import assign_folds
 from widecast.operators.select import folder_name, grid, grid_table, oof_predict, report_all, search, summary, train_and_validate
 from widecast.operators.stack import StackLearner
+from widecast.operators.walk import BINS
 from widecast.plans.workflows import fixed_learners, search_candidates, typed_candidates
 from widecast.sources.models import load_model, save_model
 
@@ -136,6 +141,27 @@ def test_splits_are_the_best_of_all(table):
         assert tree.gain[0] == pytest.approx(best)
 
 
+def test_workers_need_no_package(tmp_path, small):
+    """Boosting from a folder where the workers cannot import this package."""
+    root = Path(__file__).resolve().parent.parent
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from widecast import fixtures as X
+from widecast.operators.boost import BoostLearner
+from widecast.session import local_session
+spark = local_session(2)
+df = X.signal(spark, {small!r})
+model = BoostLearner(spec=X.WIDE_SPEC, rounds=2, depth=1, checkpoint_interval=1).fit(df)
+print("rows", model.transform(df).filter("predict IS NOT NULL").toArrow().num_rows)
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300
+    )
+    assert "rows 1500" in done.stdout, done.stderr[-2000:]
+
+
 def test_annealing_shrinks_later_steps(table):
     plain, cooled = (replace(BOOST, rounds=2, annealing=a).fit(table) for a in (1.0, 0.5))
     assert np.allclose(plain.trees[0].value, cooled.trees[0].value)

@@ -18,28 +18,26 @@ trees grown since the last stored state, which is replaced every ``checkpoint_in
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any, ClassVar
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Bucketizer, SQLTransformer, StringIndexer
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from widecast.functions import columns as C
 from widecast.operators.encode import _category_sql, _number_sql, quoted
 from widecast.operators.learner import Learner, Model, label_classes, with_prediction
 from widecast.operators.sample import column_sample, row_sample
+from widecast.operators.walk import BINS, gradient_sums, margins_from_prior, margins_from_stored, walk
 from widecast.session import cut_lineage
 from widecast.sources.models import read_meta, write_meta
 from widecast.spec import TableSpec
 
-BINS = "__bins"
 MAX_BINS = 62  # a node's left side is a set of bins kept in one 64-bit whole number
-HESSIAN_FLOOR = 1e-6
 TREE_SCHEMA = T.StructType(
     [
         T.StructField("round", T.IntegerType(), False),
@@ -145,18 +143,13 @@ class Tree:
         n = 2 ** (depth + 1) - 1
         return cls(round_no, klass, np.full(n, -1, np.int32), np.zeros(n, np.int64), *(np.zeros(n) for _ in range(3)))
 
+    def plain(self) -> tuple:
+        """What a task needs, as arrays."""
+        return self.klass, self.feature, self.left, self.value
+
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """Node of every row after at most ``levels`` steps."""
-        node = np.zeros(len(bins), np.int64)
-        row = np.arange(len(bins))
-        for _ in range(levels):
-            feature = self.feature[node]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            goes_left = (self.left[node] >> bins[row, np.where(inner, feature, 0)]) & 1
-            node = np.where(inner, 2 * node + 2 - goes_left, node)
-        return node
+        return walk(self.feature, self.left, bins, levels)
 
     def to_rows(self) -> list[tuple]:
         used = [0]
@@ -169,106 +162,18 @@ class Tree:
         ]
 
 
-def _list_matrix(column: pa.Array, width: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
-def _add_trees(margins: np.ndarray, bins: np.ndarray, trees: Sequence[Tree], depth: int) -> None:
-    for t in trees:
-        margins[:, t.klass] += t.value[t.nodes(bins, depth)]
-
-
-def _margins(bins: np.ndarray, start: np.ndarray, trees: Sequence[Tree], depth: int) -> np.ndarray:
-    margins = np.broadcast_to(start, (len(bins), start.shape[-1])).copy()
-    _add_trees(margins, bins, trees, depth)
-    return margins
-
-
-def margin_column(spark: SparkSession, prior: Sequence[float], trees: Sequence[Tree], depth: int, width: int, stored: bool):
-    """Arrow function (bins[, stored margins]) -> margins. The trees travel as a broadcast; their size
-    is bounded by the settings (rounds x classes x 2^depth nodes), not by the data."""
-    shared = spark.sparkContext.broadcast((np.asarray(prior, float), list(trees)))
-
-    def compute(bins: pa.Array, start: np.ndarray | None) -> pa.Array:
-        base, grown = shared.value
-        k = len(base)
-        out = _margins(_list_matrix(bins, width), base if start is None else start, grown, depth)
-        offsets = pa.array(np.arange(0, out.size + 1, k, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-
+def margin_column(spark: SparkSession, prior: Sequence[float], trees: Sequence[Tree], depth: int, width: int, stored: bool) -> Column:
+    """Array of margins from ``__bins`` (and the stored margins ``__f``). The trees travel as a broadcast;
+    their size is bounded by the settings (rounds x classes x 2^depth nodes), not by the data."""
+    shared = spark.sparkContext.broadcast((np.asarray(prior, float), [t.plain() for t in trees]))
     if stored:
-
-        @F.arrow_udf("array<double>")
-        def from_stored(bins: pa.Array, margins: pa.Array) -> pa.Array:
-            return compute(bins, _list_matrix(margins, len(shared.value[0])))
-
-        return from_stored(F.col(BINS), F.col("__f"))
-
-    @F.arrow_udf("array<double>")
-    def from_prior(bins: pa.Array) -> pa.Array:
-        return compute(bins, None)
-
-    return from_prior(F.col(BINS))
+        return F.arrow_udf(margins_from_stored(shared, depth, width), "array<double>")(F.col(BINS), F.col("__f"))
+    return F.arrow_udf(margins_from_prior(shared, depth, width), "array<double>")(F.col(BINS))
 
 
 # ---------------------------------------------------------------- one level
 
 
-def _gradient_sums(prior, trees: Sequence[Tree], growing: Sequence[Tree], level: int, depth: int, columns, bins: int, width: int):
-    """Per-task sums of gradients by (class, node, column, bin), for ``mapInArrow``."""
-    first, nodes, k = 2**level - 1, 2**level, len(prior)
-    cells = nodes * bins
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((3, len(columns[c]), cells)) for c in range(k)]
-        seen = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            seen = True
-            binned = _list_matrix(batch.column(BINS), width)
-            y = batch.column("__y").to_numpy(zero_copy_only=False)
-            w = batch.column("__w").to_numpy(zero_copy_only=False)
-            start = _list_matrix(batch.column("__f"), k) if "__f" in batch.schema.names else prior
-            m = _margins(binned, start, trees, depth)
-            p = np.exp(m - m.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            for c in range(k):
-                node = growing[c].nodes(binned, level) - first
-                here = np.flatnonzero(node >= 0)
-                if not len(here):
-                    continue
-                wc, pc = w[here], p[here, c]
-                g = wc * (pc - (y[here] == c))
-                h = wc * np.maximum(pc * (1 - pc), HESSIAN_FLOOR)
-                base = node[here] * bins
-                for j, column in enumerate(columns[c]):
-                    cell = base + binned[here, column]
-                    for i, measure in enumerate((g, h, wc)):
-                        total[c][i, j] += np.bincount(cell, measure, cells)
-        if not seen:
-            return
-        for c in range(k):
-            j, cell = np.nonzero(total[c][2])
-            g, h, n = (total[c][i, j, cell] for i in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(j), c, np.int32)),
-                    pa.array((cell // bins).astype(np.int32)),
-                    pa.array(np.asarray(columns[c], np.int32)[j]),
-                    pa.array((cell % bins).astype(np.int32)),
-                    pa.array(g),
-                    pa.array(h),
-                    pa.array(n),
-                ],
-                names=["class", "node", "feature", "bin", "g", "h", "n"],
-            )
-
-    return sums
-
-
 def best_splits(
     sums: DataFrame, n_numeric: int, mode: str, reg_lambda: float, min_rows: float, min_child_weight: float, rows: float
 ) -> DataFrame:
@@ -439,22 +344,36 @@ class BoostLearner(Learner):
             BINS,
         )
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        held = state
+        try:
+            prior, trees = self._boost(spark, state, classes, names)
+        finally:
+            state.unpersist()
+        return BoostModel(classes, self.params(), names, prior, self.depth, binner, trees)
+
+    def _boost(self, spark: SparkSession, state: DataFrame, classes: list[str], names: list[str]) -> tuple[list[float], list[Tree]]:
+        """All rounds on the binned table."""
+        stored: list[DataFrame] = []
         counts = {r["__y"]: r["n"] for r in state.groupBy("__y").agg(F.sum("__w").alias("n")).collect()}
         rows = sum(counts.values())
         prior = [math.log(max(counts.get(k, 0.0), 1e-9) / rows) for k in range(len(classes))]
         trees: list[Tree] = []
         recent: list[Tree] = []  # grown since the stored state
-        for r in range(self.rounds):
-            grown = self._grow(state, r, prior, recent, names, rows)
-            trees += grown
-            recent += grown
-            if (r + 1) % self.checkpoint_interval == 0 and r + 1 < self.rounds:
-                margins = margin_column(spark, prior, recent, self.depth, len(names), stored="__f" in state.columns)
-                state = cut_lineage(state.withColumn("__f", margins))
-                recent = []
-        held.unpersist()
-        return BoostModel(classes, self.params(), names, prior, self.depth, binner, trees)
+        try:
+            for r in range(self.rounds):
+                grown = self._grow(state, r, prior, recent, names, rows)
+                trees += grown
+                recent += grown
+                if (r + 1) % self.checkpoint_interval == 0 and r + 1 < self.rounds:
+                    margins = margin_column(spark, prior, recent, self.depth, len(names), stored=bool(stored))
+                    # Cached for the many passes to come; a lost block is read from the checkpoint again.
+                    state = cut_lineage(state.withColumn("__f", margins)).persist(StorageLevel.MEMORY_AND_DISK)
+                    for old in stored:
+                        old.unpersist()
+                    stored, recent = [state], []
+        finally:
+            for old in stored:
+                old.unpersist()
+        return prior, trees
 
     def _grow(self, state: DataFrame, r: int, prior, recent: list[Tree], names: list[str], rows: float) -> list[Tree]:
         """One round: a tree per class, level by level."""
@@ -468,7 +387,10 @@ class BoostLearner(Learner):
         start = np.asarray(prior, float)
         for level in range(self.depth):
             sums = sampled.mapInArrow(
-                _gradient_sums(start, recent, growing, level, self.depth, columns, self.max_bins, width), SUMS_SCHEMA
+                gradient_sums(
+                    start, [t.plain() for t in recent], [t.plain() for t in growing], level, self.depth, columns, self.max_bins, width
+                ),
+                SUMS_SCHEMA,
             )
             found = best_splits(
                 sums, len(self.spec.numeric), self.mode, self.reg_lambda, self._min_rows, self.min_child_weight, rows

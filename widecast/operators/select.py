@@ -6,33 +6,33 @@ import itertools
 import re
 import time
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from widecast.operators import evaluate as E
 from widecast.operators.learner import PREDICT, PROBABILITIES, Learner, Model, label_classes
+from widecast.session import concurrently
 from widecast.sources.models import save_model
 
 FOLD = "fold"
 
 
-def fold_models(learner: Learner, df: DataFrame, k: int, fold: str = FOLD) -> list[Model]:
+def fold_models(learner: Learner, df: DataFrame, k: int, fold: str = FOLD, parallelism: int = 1) -> list[Model]:
     """One model per fold, fitted on the other folds; from one pass where the family can do that."""
     if hasattr(learner, "fit_folds"):
         return learner.fit_folds(df, k, fold)
-    return [learner.fit(df.filter(F.col(fold) != i)) for i in range(k)]
+    fits = [partial(learner.fit, df.filter(F.col(fold) != i)) for i in range(k)]
+    return concurrently(df.sparkSession, fits, parallelism)
 
 
 def oof_predict(
-    learner: Learner, df: DataFrame, k: int, fold: str = FOLD, keep: Sequence[str] | None = None
+    learner: Learner, df: DataFrame, k: int, fold: str = FOLD, keep: Sequence[str] | None = None, parallelism: int = 1
 ) -> tuple[DataFrame, list[Model]]:
     """Every row scored by a model that did not see its fold, and the ``k`` fold models."""
-    models = fold_models(learner, df, k, fold)
+    models = fold_models(learner, df, k, fold, parallelism)
     parts = []
     for i, model in enumerate(models):
         scored = model.transform(df.filter(F.col(fold) == i))
@@ -165,11 +165,7 @@ def search(
         return t
 
     first = chosen[:max_models]
-    if parallelism > 1:
-        with ThreadPoolExecutor(parallelism) as pool:
-            done = list(pool.map(inheritable_thread_target(df.sparkSession)(run), first))
-    else:
-        done = [run(c) for c in first]
+    done = concurrently(df.sparkSession, [partial(run, c) for c in first], parallelism)
     trained = [t for t in done if t is not None]
     if not trained:
         raise ValueError("the time budget ended before the first model")

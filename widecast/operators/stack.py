@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from typing import Any, ClassVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from widecast.operators.boost import BoostLearner
 from widecast.operators.learner import PREDICT, PROBABILITIES, Learner, Model, label_classes
 from widecast.operators.select import FOLD, fold_models, with_known_classes
-from widecast.session import cut_lineage
+from widecast.session import concurrently, cut_lineage
 from widecast.sources.models import load_model, read_meta, write_meta
 from widecast.spec import TableSpec
 
@@ -35,13 +35,15 @@ def append_base(df: DataFrame, names: Sequence[str], models: Sequence[Model], ke
     return df.select(*keep, *columns)
 
 
-def level_one(base: Sequence[Learner], df: DataFrame, k: int, keep: Sequence[str], fold: str = FOLD) -> DataFrame:
+def level_one(
+    base: Sequence[Learner], df: DataFrame, k: int, keep: Sequence[str], fold: str = FOLD, parallelism: int = 1
+) -> DataFrame:
     """Out-of-fold probabilities of all base learners side by side.
 
     All base models of one fold score its rows in the same pass, so no join by key is needed.
     """
     names = [b.name for b in base]
-    by_learner = [fold_models(b, df, k, fold) for b in base]
+    by_learner = concurrently(df.sparkSession, [partial(fold_models, b, df, k, fold) for b in base], parallelism)
     parts = [
         append_base(df.filter(F.col(fold) == i), names, [models[i] for models in by_learner], keep) for i in range(k)
     ]
@@ -104,6 +106,7 @@ class StackLearner(Learner):
     eta: float = 0.1
     annealing: float = 0.99
     seed: int = 42
+    parallelism: int = 1
 
     def params(self) -> dict[str, Any]:
         plain = ("name", "folds", "rounds", "depth", "eta", "annealing", "seed")
@@ -127,6 +130,7 @@ class StackLearner(Learner):
         classes = list(self.classes or label_classes(labelled, label))
         base = [with_known_classes(b, classes) for b in self.base]
         # Stored, since it stands on all fold models of all base learners.
-        table = cut_lineage(level_one(base, labelled, self.folds, [self.spec.key, label], self.fold))
-        meta = self.meta_learner(classes).fit(table)
-        return StackModel([b.name for b in base], [b.fit(labelled) for b in base], meta, self.params())
+        table = cut_lineage(level_one(base, labelled, self.folds, [self.spec.key, label], self.fold, self.parallelism))
+        fits = [partial(self.meta_learner(classes).fit, table), *(partial(b.fit, labelled) for b in base)]
+        meta, *models = concurrently(df.sparkSession, fits, self.parallelism)
+        return StackModel([b.name for b in base], models, meta, self.params())

@@ -117,7 +117,7 @@ def stack_score(spark, sf):
         BoostLearner(spec=SPEC, name="gbm", rounds=1, depth=2),
         ForestLearner(spec=SPEC, name="forest", trees=5, depth=4),
     )
-    model = StackLearner(spec=SPEC, base=base, folds=2, rounds=2, depth=2).fit(df)
+    model = StackLearner(spec=SPEC, base=base, folds=2, rounds=2, depth=2, parallelism=4).fit(df)
     scored = model.transform(df.filter(F.col("label").isNull()))
     return scored.select("user", "predict", *as_doubles("probabilities", 5))
 
@@ -127,7 +127,7 @@ def search_leaderboard(spark, sf):
     """Budgeted search over several families, one family left out, two folds."""
     df = assign_folds(X.signal(spark, sf), "user", 2, FOLD_SEED)
     candidates = [BAYES, LOGISTIC, replace(EXACT, name="gbm", rounds=1), replace(FOREST, trees=5), VectorBayesLearner(spec=SPEC)]
-    result = search(candidates, df, 2, max_models=3, exclude=["forest"], refit="none")
+    result = search(candidates, df, 2, max_models=3, exclude=["forest"], refit="none", parallelism=3)
     return result.leaderboard(spark)
 
 

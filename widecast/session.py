@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+R = TypeVar("R")
+
 
 def local_session(cores: int | str = "*", app: str = "widecast", memory: str = "12g") -> SparkSession:
     """Session for tests and the local bench; on a cluster pass your own session instead."""
@@ -59,6 +65,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], R]], parallelism: int) -> list[R]:
+    """Run independent fits as concurrent Spark jobs, ``parallelism`` at a time, results in order.
+
+    The jobs of one fit leave executors idle at the end of every stage; another fit fills them. Each
+    running fit keeps its own binned or vectorised copy of the table, so memory bounds the number.
+    """
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
+
+
 LOCAL_ROWS = 50_000
 
 
