@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from widecast import fixtures as X
 from widecast.operators import evaluate as E
 from widecast.operators import nbayes as B
+from widecast.operators.balanced import BalancedLearner
 from widecast.operators.sample import assign_folds
 from widecast.operators.score import explode_probabilities, export_labels, export_probabilities, score
 from widecast.operators.select import grid, oof_predict, select_model
 from widecast.operators.stack import join_oof, level_one
 from widecast.registry import query
-from widecast.registry.common import FOLD_SEED, as_doubles, fold_sql, rounded, scratch
+from widecast.registry.common import FOLD_SEED, as_doubles, fold_sql, rounded, scratch, uniform_sql
 from widecast.sources.models import load_model, save_model
 from widecast.sources.tables import read_table
 
@@ -198,6 +199,24 @@ def nb_unlabelled(spark, sf):
     return df.select("user", *as_doubles("probabilities", 5))
 
 
+BALANCE = (1.0, 1.0, 0.2, 1.0, 1.0)
+CORRECTED = [f"p{i} * b.b{i} / a.a{i}" for i in range(5)]
+BALANCED_SQL = f"""WITH {FOLDED_SQL}, before AS (SELECT * FROM folded WHERE fold <> 0),
+train AS (SELECT 0 AS part, * FROM before WHERE label <> 'c2' OR {uniform_sql('"user"', 'balance', 42)} < 0.2::DOUBLE),
+test AS (SELECT 0 AS part, * FROM folded WHERE fold = 0), {scores_sql()},
+b AS (SELECT {', '.join(f"count(*) FILTER (WHERE label = '{c}') / count(*) AS b{i}" for i, c in enumerate(CLASSES))} FROM before),
+a AS (SELECT {', '.join(f"count(*) FILTER (WHERE label = '{c}') / count(*) AS a{i}" for i, c in enumerate(CLASSES))} FROM train)
+SELECT "user", {', '.join(f'round({c} / ({" + ".join(CORRECTED)}), 6) AS p{i}' for i, c in enumerate(CORRECTED))} FROM scored, a, b"""
+
+
+@query("nb_balanced", BALANCED_SQL)
+def nb_balanced(spark, sf):
+    """Trained on resampled classes, with the class shares restored in the probabilities."""
+    df = folded(spark, sf)
+    model = BalancedLearner(name="balanced", inner=LEARNER, factors=BALANCE).fit(df.filter("fold <> 0"))
+    return model.transform(df.filter("fold = 0")).select("user", *as_doubles("probabilities", 5))
+
+
 @query(
     "nb_oof",
     f"""WITH {FOLDED_SQL}, {ALL_FOLDS}, {scores_sql()}

@@ -106,7 +106,7 @@ def boost_sql(
                 zero = f"(mn > 0 OR {nl} >= tn - {nl})" if missing_left else "false"
                 both.append(
                     f"SELECT c, node, j, bin, is_number, upto, CASE WHEN {allowed} THEN round(({gain}) / (SELECT rows FROM total), 10) ELSE -1 END AS score, "
-                    f"{zero} AS zero_left, {gl} AS lg, {hl} AS lh, tg, th FROM cum{t}"
+                    f"{zero} AS zero_left, {gain} AS gain, {gl} AS lg, {hl} AS lh, tg, th FROM cum{t}"
                 )
             ctes.append(
                 f"""best{t} AS MATERIALIZED (
@@ -138,5 +138,13 @@ def boost_sql(
   FROM (SELECT *, exp(f - top) / sum(exp(f - top)) OVER (PARTITION BY "user") AS p
         FROM (SELECT *, max(f) OVER (PARTITION BY "user") AS top FROM m{rounds} WHERE NOT learns)) JOIN cls USING (c)
   GROUP BY "user")"""
+    )
+    splits = " UNION ALL ".join(
+        f"SELECT j, gain FROM best{r}_{level} WHERE score > 0" for r in range(rounds) for level in range(depth)
+    )
+    names_sql = ", ".join(f"({j}, '{c}')" for j, c in enumerate(names))
+    ctes.append(
+        f"""importance AS (
+  SELECT variable, coalesce(sum(gain), 0) AS importance FROM (VALUES {names_sql}) v(j, variable) LEFT JOIN ({splits}) USING (j) GROUP BY variable)"""
     )
     return "WITH " + ",\n".join(ctes)

@@ -16,8 +16,9 @@ from widecast.operators.sample import assign_folds
 from widecast.operators.select import search
 from widecast.operators.stack import StackLearner
 from widecast.registry import query
+from widecast.registry.bayes import scores_sql
 from widecast.registry.boost_sql import boost_sql
-from widecast.registry.common import FOLD_SEED, as_doubles, fold_sql, rounded, scratch
+from widecast.registry.common import FOLD_SEED, as_doubles, fold_sql, hash_sql, rounded, scratch
 from widecast.sources.models import load_model, save_model
 
 K = 3
@@ -131,14 +132,48 @@ def search_leaderboard(spark, sf):
     return result.leaderboard(spark)
 
 
-@query("var_importance")
+SCALED_SQL = """
+SELECT variable, round(importance, 6) AS importance, round(importance / max(importance) OVER (), 6) AS scaled,
+       round(importance / sum(importance) OVER (), 6) AS share FROM importance"""
+
+
+@query(
+    "var_importance",
+    boost_sql(SOURCE_SQL, "train", "test", SPEC, CLASSES, EDGES, "gradient", **{**SETTINGS, "rounds": 1}) + SCALED_SQL,
+)
 def var_importance(spark, sf):
     df = _folded(spark, sf).filter("fold <> 0")
     model = replace(EXACT, rounds=1).fit(df)
     return E.var_importance(model, df).select("variable", *[rounded(c) for c in ("importance", "scaled", "share")])
 
 
-@query("permutation_importance")
+def _permutation_sql() -> str:
+    """Every column's values moved to the next row in hash order inside groups of about 2000 rows."""
+    predictors = SPEC.predictors
+    order = 'OVER (PARTITION BY grp ORDER BY ord, "user"'
+    moved = ", ".join(
+        f"CASE WHEN row_number() {order}) = 1 THEN last_value({c}) {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) "
+        f"ELSE lag({c}) {order}) END AS m_{c}"
+        for c in predictors
+    )
+    variants = " UNION ALL ".join(
+        f"SELECT 0 AS part, '{v}|' || \"user\" AS \"user\", label, {', '.join(f'm_{c} AS {c}' if c == v else c for c in predictors)} FROM moved"
+        for v in ["", *predictors]
+    )
+    loss = " ".join(f"WHEN '{c}' THEN p{i}" for i, c in enumerate(CLASSES))
+    return f"""WITH {X.SIGNAL_SQL}, folded AS (SELECT *, {fold_sql(K)} AS fold FROM signal),
+train AS (SELECT 0 AS part, * FROM folded WHERE fold <> 0),
+base AS (SELECT *, {hash_sql('"user"', 'permute', 1)} % CAST(ceil((SELECT count(*) FROM folded WHERE fold = 0) / 2000) AS BIGINT) AS grp,
+                {hash_sql('"user"', 'order', 1)} AS ord FROM folded WHERE fold = 0),
+moved AS (SELECT *, {moved} FROM base),
+test AS MATERIALIZED ({variants}), {scores_sql()},
+losses AS (SELECT split_part(s."user", '|', 1) AS variable, avg(-ln(least(greatest(CASE t.label {loss} END, 1e-15), 1))) AS loss
+           FROM scored s JOIN test t ON s."user" = t."user" GROUP BY 1),
+importance AS (SELECT variable, greatest(0, loss - (SELECT loss FROM losses WHERE variable = '')) AS importance FROM losses WHERE variable <> '')
+{SCALED_SQL}"""
+
+
+@query("permutation_importance", _permutation_sql())
 def permutation_importance(spark, sf):
     df = _folded(spark, sf)
     model = BAYES.fit(df.filter("fold <> 0"))
