@@ -29,7 +29,7 @@ from pyspark.ml.feature import Bucketizer, SQLTransformer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from widecast.functions import columns as C
-from widecast.operators.encode import _category_sql, _number_sql, quoted
+from widecast.operators.encode import category_sql, number_sql, quoted
 from widecast.operators.learner import Learner, Model, label_classes, with_prediction
 from widecast.operators.sample import column_sample, row_sample
 from widecast.operators.walk import BINS, gradient_sums, margins_from_prior, margins_from_stored, walk
@@ -85,11 +85,11 @@ def fit_binner(
     made: list[str] = []
     first, stages, slots = [], [], {}
     for i, c in enumerate(numeric):
-        first.append(f"{_number_sql(c)} AS `__x{i}`")
+        first.append(f"{number_sql(c)} AS `__x{i}`")
         made += [f"__x{i}", f"__b{i}"]
         slots[c] = f"CAST(coalesce(`__b{i}` + 1, 0) AS SMALLINT)"
     for i, c in enumerate(categorical):
-        first.append(f"{_category_sql(c, types[c])} AS `__c{i}`")
+        first.append(f"{category_sql(c, types[c])} AS `__c{i}`")
         made += [f"__c{i}", f"__i{i}"]
     stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(first)} FROM __THIS__"))
     if numeric:

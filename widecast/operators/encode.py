@@ -124,16 +124,18 @@ def pivot_expressions(column: str, levels: Sequence[str], text: str, track_missi
 def pivot_levels(df: DataFrame, column: str, top_k: int = 20, min_support: int = 10) -> DataFrame:
     """The rows with one indicator column per frequent level, plus ``other`` and ``missing``."""
     levels = top_levels(df, [column], top_k, min_support)[column]
-    text = _category_sql(column, df.schema[column].dataType)
+    text = category_sql(column, df.schema[column].dataType)
     return df.selectExpr("*", *[f"{e} AS {quoted(n)}" for n, e in pivot_expressions(column, levels, text).items()])
 
 
-def _category_sql(column: str, data_type: T.DataType) -> str:
+def category_sql(column: str, data_type: T.DataType) -> str:
     c = quoted(column)
     return f"CAST(CAST({c} AS BIGINT) AS STRING)" if isinstance(data_type, T.NumericType) else f"CAST({c} AS STRING)"
 
 
-def _number_sql(column: str) -> str:
+def number_sql(column: str) -> str:
+    """The column as a double with NaN read as missing, as SQL text: one call to the JVM where the
+    column functions need many, which counts on tables of a hundred columns."""
     return f"nullif(CAST({quoted(column)} AS DOUBLE), double('NaN'))"
 
 
@@ -176,8 +178,8 @@ def fill_missing(df: DataFrame, real: Sequence[str] = (), integral: Sequence[str
     """Fill missing numbers and add a ``<c>__is__missing`` indicator for each column."""
     values = fill_values(df, real, integral)
     kept = [quoted(c) for c in df.columns if c not in values]
-    filled = [f"coalesce({_number_sql(c)}, {v!r}D) AS {quoted(c)}" for c, v in values.items()]
-    flags = [f"CASE WHEN {_number_sql(c)} IS NULL THEN 1 ELSE 0 END AS {quoted(c + IS + MISSING)}" for c in values]
+    filled = [f"coalesce({number_sql(c)}, {v!r}D) AS {quoted(c)}" for c, v in values.items()]
+    flags = [f"CASE WHEN {number_sql(c)} IS NULL THEN 1 ELSE 0 END AS {quoted(c + IS + MISSING)}" for c in values]
     return df.selectExpr(*kept, *filled, *flags)
 
 
@@ -192,17 +194,17 @@ def vectorizer(df: DataFrame, spec: TableSpec, settings: VectorSettings = Vector
     slots: dict[str, str] = {}
     ranges = number_ranges(df, spec.numeric) if settings.unit_range else {}
     for c, v in fill_values(df, spec.names("real"), spec.names("integral")).items():
-        slots[c] = f"coalesce({_number_sql(c)}, {v!r}D)"
+        slots[c] = f"coalesce({number_sql(c)}, {v!r}D)"
         if c in ranges:
             low, high = ranges[c]
             width = high - low
             slots[c] = f"least(greatest(({slots[c]} - {low!r}D) / {width!r}D, 0.0D), 1.0D)" if width > 0 else "0.0D"
         if settings.track_missing:
-            slots[c + IS + MISSING] = f"CASE WHEN {_number_sql(c)} IS NULL THEN 1.0D ELSE 0.0D END"
+            slots[c + IS + MISSING] = f"CASE WHEN {number_sql(c)} IS NULL THEN 1.0D ELSE 0.0D END"
     if spec.categorical:
         levels = top_levels(df, spec.categorical, settings.top_k, settings.min_support)
         for c in spec.categorical:
-            slots |= pivot_expressions(c, levels[c], _category_sql(c, types[c]), settings.track_missing)
+            slots |= pivot_expressions(c, levels[c], category_sql(c, types[c]), settings.track_missing)
     # The vector's slot columns live beside the input columns, so they carry a prefix of their own.
     columns = ", ".join(f"{e} AS {quoted('__slot__' + n)}" for n, e in slots.items())
     make = SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")

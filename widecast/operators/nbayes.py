@@ -17,6 +17,7 @@ from typing import ClassVar
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from widecast.functions import columns as C
+from widecast.operators.encode import number_sql, quoted
 from widecast.operators.learner import Learner, Model, label_classes, with_prediction
 from widecast.operators.prep import require_columns
 from widecast.session import settle
@@ -68,12 +69,11 @@ def conditionals(counts: DataFrame, classes: Sequence[str], laplace: float, by:
     return joined.select(*by, "feature", "value", F.expr(f"array({logs})").alias("logs"))
 
 
-def _moment_measures(df: DataFrame, numeric: Sequence[str]) -> list[Column]:
-    types = {f.name: f.dataType for f in df.schema.fields}
+def _moment_measures(numeric: Sequence[str]) -> list[Column]:
     measures = []
     for i, c in enumerate(numeric):
-        x = C.clean_number(c, types[c])
-        measures += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}")]
+        x = number_sql(c)
+        measures += [F.expr(f"count({x}) AS n{i}"), F.expr(f"avg({x}) AS m{i}"), F.expr(f"var_samp({x}) AS v{i}")]
     return measures
 
 
@@ -86,7 +86,7 @@ def moments(df: DataFrame, label: str, numeric: Sequence[str]) -> DataFrame:
     return (
         df.filter(F.col(label).isNotNull())
         .groupBy(F.col(label).alias("label"))
-        .agg(*_moment_measures(df, numeric))
+        .agg(*_moment_measures(numeric))
         .select("label", F.explode(F.array(*lines)).alias("r"))
         .select("label", "r.*")
     )
@@ -141,14 +141,14 @@ class NaiveBayesModel(Model):
         n = len(self.classes)
         ready = []
         for i, f in enumerate(self.numeric):
-            x = C.clean_number(f, types[f])
-            ready += [F.coalesce(x, F.lit(0.0)).alias(f"__x{i}"), x.isNotNull().cast("double").alias(f"__has{i}")]
+            x = number_sql(f)
+            ready += [f"coalesce({x}, 0.0D) AS `__x{i}`", f"CASE WHEN {x} IS NULL THEN 0.0D ELSE 1.0D END AS `__has{i}`"]
         scores = []
         for k, c in enumerate(self.classes):
             terms = [f"{math.log(self.prior[c])!r}D", *(self._gaussian(i, k) for i in range(len(self.numeric)))]
             terms += [f"coalesce(`__l{i}_{k}`, 0.0D)" for i in range(len(self.categorical))]
             scores.append(" + ".join(t for t in terms if t))
-        df = df.select(*columns, *ready)
+        df = df.selectExpr(*map(quoted, columns), *ready)
         for i, c in enumerate(self.categorical):
             table = self.levels.filter(F.col("feature") == c).selectExpr(
                 f"value AS `__value{i}`", *[f"logs[{k}] AS `__l{i}_{k}`" for k in range(n)]
@@ -214,7 +214,7 @@ class NaiveBayesLearner(Learner):
         grouped = (
             df.filter(F.col(spec.label).isNotNull())
             .groupBy(part.cast("int").alias("part"), F.col(spec.label).alias("label"))
-            .agg(F.count(F.lit(1)).alias("n"), *_moment_measures(df, spec.numeric))
+            .agg(F.count(F.lit(1)).alias("n"), *_moment_measures(spec.numeric))
             .collect()  # folds x classes rows
         )
         levels, small = None, True
