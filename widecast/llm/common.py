@@ -92,6 +92,29 @@ def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: dict[int, int], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """``text, label`` of about ``rows[c]`` rows of each class ``c``, and the size of each class.
+
+    Rows are chosen by a hash of the id among the labels with ``learn``, so the choice grows with no
+    table; the chosen ids are a bounded table that goes to every task. Null labels, null ids and
+    classes not named are no examples.
+    """
+    known = labels.filter(learn & F.col(doc_id).isNotNull()).select(F.col(doc_id), F.col(label).cast("int").alias("label"))
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect() if r["label"] in rows}
+    share = F.lit(0.0)
+    for c, n in sizes.items():
+        share = F.when(F.col("label") == c, F.lit(min(1.0, rows[c] / n))).otherwise(share)
+    chosen = known.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 40)) < share * (1 << 40))
+    texts = docs.select(F.col(doc_id), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), doc_id)
+    return texts.select("text", "label"), sizes
+
+
+def with_columns_of(batch: pa.RecordBatch, drop: str, names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
+    """The batch without ``drop`` and with further columns."""
+    rest = batch.drop_columns([drop])
+    return pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, *names])
+
+
 def remembered(key: tuple, make: Callable):
     """``make()``, kept for the later tasks of this Python process. Task code is sent by value, so its
     own module variables end with the task."""

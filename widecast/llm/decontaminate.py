@@ -32,8 +32,14 @@ BLOCK_WORDS = 2_000_000
 WORD_PATTERN = re.compile(r"\w+")
 
 
+def chunk_words(chunk: str) -> list[str]:
+    low = chunk.lower()
+    word = low.strip(".,;:!?\"'()*$%&#|")
+    return [word] if word.isalnum() else WORD_PATTERN.findall(low)
+
+
 def word_hashes(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    found = [WORD_PATTERN.findall(c.lower()) for c in chunks]
+    found = [chunk_words(c) for c in chunks]
     flat = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for f in found for w in f), np.uint64)
     return flat, np.fromiter(map(len, found), np.int64, len(found))
 

@@ -97,13 +97,17 @@ class Page:
             if m[1] or m[4]:
                 self.close(tag)
                 continue
-            self.open(tag, m[3] or m[6] or "")
+            unseen = tag in ("script", "style")  # stands inside a block without ending it
+            if not unseen:
+                self.open(tag, m[3] or m[6] or "")
             if tag in RAW:
                 lowered = html.lower() if lowered is None else lowered
                 if len(lowered) != len(html):  # a letter whose lower case is longer
                     lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in html)
                 end = lowered.find(f"</{tag}", place)
                 place = len(html) if end < 0 else end
+                if unseen and end >= 0:
+                    place = html.find(">", end) + 1 or len(html)
         self.flush()
 
     def add(self, text: str) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from widecast.llm.common import fresh, pieces, remembered, small_batches, texts_of
 
 SAMPLE_DOCS = 200
-SAMPLE_LETTERS = 30_000
+SAMPLE_LETTERS = 12_000
 MOST_SYMBOLS = 254
 BLOCK = 256
 UNDETERMINED = "und"
@@ -214,10 +214,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", names: tu
     small_batches(docs.sparkSession)
     docs = docs.drop(*names)
     own = fresh(docs, "text_to_parse")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = LanguageModel(**shared.value)
         labels = np.array([*known.languages, UNDETERMINED], dtype=object)
         for batch in pieces(batches, own):
             best, score = known.predict(texts_of(batch, own))
