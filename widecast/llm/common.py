@@ -17,8 +17,8 @@ from widecast.session import ensure_checkpoint_dir
 
 ROWS_PER_BATCH = 1000
 PIECE_BYTES = 2_000_000
-REMEMBERED_CHUNKS = 600_000
-REMEMBERED_VALUES = 6_000_000
+REMEMBERED_CHUNKS = 400_000
+REMEMBERED_VALUES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,8 +128,8 @@ class ChunkTable:
     """Values of chunks of text, remembered from text to text.
 
     ``rows_of`` gives the values of several chunks, one after the other, and their numbers. Texts repeat their chunks, so a dictionary
-    and array gathers replace most of the work. At a bound of entries the memory is emptied; results
-    do not depend on it.
+    and array gathers replace most of the work. At a bound of entries the quarter that was met most
+    often stays and the rest is forgotten; results do not depend on it.
     """
 
     def __init__(self, rows_of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type) -> None:
@@ -141,14 +141,29 @@ class ChunkTable:
         self.values = np.empty(1 << 16, self.dtype)
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
+        self.hits = np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def forget(self) -> None:
+        """Keep the quarter of the entries met most often, if their values are not too many."""
+        chunks = list(self.index)
+        n = len(chunks)
+        kept = np.sort(np.argpartition(-self.hits[:n], n // 4)[: n // 4])
+        kept = kept[np.cumsum(self.lengths[kept]) <= REMEMBERED_VALUES // 2]
+        values, lengths, hits = gather(self.values, self.starts[kept], self.lengths[kept]), self.lengths[kept], self.hits[kept]
+        self.clear()
+        self.store([chunks[i] for i in kept.tolist()], values, lengths)
+        self.hits[: len(kept)] = hits // 2
+
     def learn(self, chunks: list[str]) -> None:
+        self.store(chunks, *self.rows_of(chunks))
+
+    def store(self, chunks: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.index)
-        flat, lengths = self.rows_of(chunks)
         while len(self.starts) < first + len(chunks):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         while len(self.values) < self.used + len(flat):
             self.values = np.concatenate([self.values, np.empty_like(self.values)])
         self.starts[first : first + len(chunks)] = self.used + np.cumsum(lengths) - lengths
@@ -160,12 +175,13 @@ class ChunkTable:
     def values_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The values of all chunks, one after the other, and the number of each chunk's values."""
         if len(self.index) > REMEMBERED_CHUNKS or self.used > REMEMBERED_VALUES:
-            self.clear()
+            self.forget()
         rows = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             self.learn(list(dict.fromkeys(chunks[i] for i in missing.tolist())))
             rows[missing] = [self.index[chunks[i]] for i in missing.tolist()]
+        self.hits[: len(self.index)] += np.bincount(rows, minlength=len(self.index))
         lengths = self.lengths[rows]
         return gather(self.values, self.starts[rows], lengths), lengths
 

@@ -24,7 +24,8 @@ BLOCK_IDS = 1_000_000
 PART_BYTES = 32 << 20
 MOST_PARTS = 20_000
 MIN_COUNT = 4
-MIN_GAIN = 0.02
+MIN_GAIN = 0.05
+PAIRS_A_ROUND = 10_000
 #: A chunk of unaccented or precomposed Latin letters and closing signs is two pieces to any normaliser.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 WORD = re.compile(r"[a-zß-öø-ÿ]+")
@@ -112,7 +113,8 @@ def encode(df: DataFrame, path: str, end_id: int, id_column: str = "doc_id", tex
 def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN):
     """Re-Pair of one block: what is left of ``ids``, the end marks of documents in it, rules, spans.
 
-    A round counts all pairs and replaces many of them at once, the most frequent first. A symbol is
+    A round counts all pairs and replaces up to ``PAIRS_A_ROUND`` of them at once, the most frequent
+    first (the others have the next round). A symbol is
     either left or right in the pairs of one round, so that no two replacements overlap; a pair of
     equal symbols has its symbol to itself and replaces every other position of a run. It ends when no
     pair occurs ``min_count`` times or a round shortens the sequence by less than ``min_gain``.
@@ -129,7 +131,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_
         counts = np.diff(at, append=len(sorted_keys))
         often = counts >= min_count
         pairs, counts = sorted_keys[at[often]], counts[often]
-        order = np.argsort(-counts, kind="stable")
+        order = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
         side = np.zeros(following, np.int8)  # 0 free, 1 left, 2 right, 3 paired with itself
         chosen = []
         for pair, a, b in zip(pairs[order].tolist(), (pairs[order] >> 32).tolist(), (pairs[order] & 0xFFFFFFFF).tolist()):
@@ -144,7 +146,9 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_
             break
         chosen = np.sort(np.array(chosen, np.int64))
         here = side[seq]
-        spots = np.flatnonzero(~last[:-1] & (((here[:-1] == 1) & (here[1:] == 2)) | ((here[:-1] == 3) & (seq[:-1] == seq[1:]))))
+        spots = np.flatnonzero(((here[:-1] == 1) | (here[:-1] == 3)) & ~last[:-1])
+        left, right = here[spots], here[spots + 1]
+        spots = spots[(left == 1) & (right == 2) | (left == 3) & (seq[spots] == seq[spots + 1])]
         rule = np.minimum(np.searchsorted(chosen, keys[spots]), len(chosen) - 1)
         hit = chosen[rule] == keys[spots]
         spots, rule = spots[hit], rule[hit]
@@ -170,10 +174,9 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for. Levels of rules are replaced until only ids are left."""
-    out = symbols.astype(np.int64)
-    known = np.concatenate([np.ones(base, np.int64), spans.astype(np.int64)])
-    total = int(known[out].sum()) if len(out) else 0
+    """The ids that symbols stand for. The rules are written out level by level, then copied."""
+    total = int(spans.astype(np.int64).sum())
+    out = np.arange(base, base + len(rules), dtype=np.int64)
     pairs = rules.astype(np.int64)
     while len(out) < total:
         double = out >= base
@@ -183,7 +186,9 @@ def expand(symbols: np.ndarray, base: int, rules: np.ndarray, spans: np.ndarray)
         longer[starts[double]] = pairs[out[double] - base, 0]
         longer[starts[double] + 1] = pairs[out[double] - base, 1]
         out = longer
-    return out.astype(np.uint32)
+    written = np.concatenate([np.arange(base), out]).astype(np.uint32)
+    known = np.concatenate([np.ones(base, np.int64), spans.astype(np.int64)])
+    return gather(written, (np.cumsum(known) - known)[symbols], known[symbols])
 
 
 def expand_span(symbols: np.ndarray, base: int, rules: np.ndarray, spans: np.ndarray, start: int, stop: int) -> np.ndarray:
