@@ -24,7 +24,7 @@ BLOCK_IDS = 1_000_000
 PART_BYTES = 32 << 20
 MOST_PARTS = 20_000
 MIN_COUNT = 4
-MIN_GAIN = 0.05
+MIN_GAIN = 0.1
 PAIRS_A_ROUND = 10_000
 #: A chunk of unaccented or precomposed Latin letters and closing signs is two pieces to any normaliser.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -91,23 +91,27 @@ def text_ids(path: str) -> TextIds:
     return remembered(("text ids", path), lambda: TextIds(path))
 
 
-def encode(df: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, ids``: ids of every whole text, with ``end_id`` behind; null texts count as empty.
+def encode(df: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", bounds: Sequence = ()) -> DataFrame:
+    """``part, doc_id, ids``: ids of every whole text, with ``end_id`` behind; null texts count as empty.
 
-    ``ids`` is binary, little-endian, of 16-bit words if the vocabulary allows it, else of 32.
+    ``part`` counts the ``bounds`` below the document's id (0 for a null id). ``ids`` is binary, little-endian, of 16-bit words if the vocabulary allows it, else of 32.
     """
     small_batches(df.sparkSession)
     wide = text_ids(path).size > 1 << 16 or end_id >= 1 << 16
     ready = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = text_ids(path)
+        kept, edges = text_ids(path), np.array(bounds)
         for batch in pieces(batches):
             flat, ends = kept.encode(texts_of(batch))
             out = np.insert(flat, ends, end_id).astype(np.uint32 if wide else np.uint16)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binaries(out, ends + np.arange(1, len(ends) + 1))], names=["doc_id", "ids"])
+            doc_ids = batch.column("doc_id")
+            part = np.zeros(len(batch), np.int32)
+            if len(edges):
+                part[np.asarray(doc_ids.is_valid())] = np.searchsorted(edges, doc_ids.drop_null().to_numpy(zero_copy_only=False), side="left")
+            yield pa.RecordBatch.from_arrays([pa.array(part), doc_ids, binaries(out, ends + np.arange(1, len(ends) + 1))], names=["part", "doc_id", "ids"])
 
-    return ready.mapInArrow(run, f"doc_id {ready.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return ready.mapInArrow(run, f"part int, doc_id {ready.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN):
@@ -220,21 +224,11 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, id_column: str = "
     empty folder of files.
     """
     parts, bounds = parts_of(df, id_column, text_column, part_bytes)
-    ready = encode(df, path, end_id, id_column, text_column)
+    ready = encode(df, path, end_id, id_column, text_column, bounds)
     base = max(text_ids(path).size, end_id + 1)
     wide = text_ids(path).size > 1 << 16 or end_id >= 1 << 16
     kind = ready.schema["doc_id"].dataType.simpleString()
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(bounds)
-        for batch in batches:
-            ids = batch.column("doc_id")
-            at = np.zeros(len(batch), np.int32)
-            valid = np.asarray(ids.is_valid())
-            if len(edges):
-                at[valid] = np.searchsorted(edges, ids.drop_null().to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(at), ids, batch.column("ids")], names=["part", "doc_id", "ids"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in FILE_SCHEMA.split(", ")]
         held: list[tuple] = []
@@ -265,7 +259,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, id_column: str = "
         if held:
             yield block()
 
-    placed = ready.mapInArrow(numbered, f"part int, doc_id {kind}, ids binary").repartitionById(parts, F.col("part"))
+    placed = ready.repartitionById(parts, F.col("part"))
     sorted_rows = placed.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     sorted_rows.mapInArrow(run, FILE_SCHEMA.format(kind=kind)).write.mode("overwrite").parquet(folder)
 
