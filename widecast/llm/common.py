@@ -17,7 +17,7 @@ from widecast.session import ensure_checkpoint_dir
 
 ROWS_PER_BATCH = 1000
 PIECE_BYTES = 2_000_000
-REMEMBERED_CHUNKS = 400_000
+REMEMBERED_CHUNKS = 300_000
 REMEMBERED_VALUES = 4_000_000
 
 
