@@ -120,20 +120,23 @@ class LanguageModel:
         tables, roots, used = [], [], 0
         for language in languages:
             table = suffix_automaton(alphabet[found[language]].tolist(), 1 << shift)
-            start = np.where(table[0] >= 0, table[0], 0)
-            start[UNKNOWN] = 0
+            # One more state, between phrases: whatever comes begins one, and a symbol that the sample
+            # doesn't have is one of its own.
+            between = len(table)
             table[:, UNKNOWN] = -1
+            start = np.where(table[0] >= 0, table[0], between)
+            table = np.concatenate([table, np.full((1, 1 << shift), -1, np.int32)])
             full = np.where(table >= 0, table + used, (start + used) | PHRASE)
             tables.append(full.astype(np.int32))
-            roots.append(used)
+            roots.append(used + between)
             used += len(table)
         return LanguageModel(languages, alphabet, shift, np.array(roots, np.int32), np.concatenate([np.zeros((0, 1 << shift), np.int32), *tables]).ravel())
 
     def phrases(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases of every text (rows) in every language (columns).
 
-        Texts are parsed in blocks of ``BLOCK`` letters, all blocks side by side, each with a phrase of
-        its own at the start: the same small addition for every language.
+        Texts are parsed in blocks of ``BLOCK`` letters, all blocks side by side, each beginning with a
+        new phrase: the same small addition for every language.
         """
         starts = np.concatenate([[0], ends[:-1]])
         sizes = ends - starts
@@ -144,7 +147,7 @@ class LanguageModel:
         length = np.minimum(BLOCK, ends[owner] - first)
         order = np.argsort(-length, kind="stable")
         first, length, owner = first[order], length[order], owner[order]
-        count = np.ones((len(self.languages), len(first)), np.int32)
+        count = np.zeros((len(self.languages), len(first)), np.int32)
         state = np.repeat(self.roots[:, None], len(first), axis=1)
         live = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
         for step in range(BLOCK):
