@@ -7,7 +7,7 @@ from widecast.functions import columns as C
 from widecast.operators import encode as N
 from widecast.operators import prep
 from widecast.operators.profile import profile, profile_report
-from widecast.plans.preparation import derive, model_table_categories, prepare, row_counts, with_products
+from widecast.plans.preparation import derive, model_table_categories, prepare, prepare_model_table, row_counts, with_products
 from widecast.sources.tables import read_table, schema_table, write_csv
 from widecast.spec import FeatureSpec, TableSpec
 
@@ -57,10 +57,9 @@ def test_lenient_numbers(dirty):
     assert got == {1: 1.5, 2: None, 3: None, 4: None, 5: None, 6: -2.0, 7: 3.0, 8: 1000.0, 9: 7.0, 10: 8.0}
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_unseen_levels_become_null(spark, dirty, limit):
+def test_unseen_levels_become_null(spark, dirty):
     levels = spark.createDataFrame([("a",), ("b",)], "level string")
-    got = {r["id"]: r["level"] for r in prep.known_levels_only(dirty, "level", levels, broadcast_rows=limit).collect()}
+    got = {r["id"]: r["level"] for r in prep.known_levels_only(dirty, "level", levels).collect()}
     assert got[4] is None and got[5] is None and got[1] == "a" and len(got) == len(DIRTY)
 
 
@@ -156,7 +155,22 @@ def test_presets_sizes():
     assert len(P.model_columns()) == 90 == len(set(P.model_columns()))
     assert len(P.CATEGORY_COLUMNS) == 31
     assert len(P.typed_spec().predictors) == 64
-    assert "market_price_level" not in model_table_categories()
+    assert model_table_categories() == P.CATEGORY_COLUMNS and set(P.CATEGORY_COLUMNS) <= set(P.model_columns())
+    conformed = {f.name for f in P.conformed_schema().fields} - {P.KEY, P.LABEL}
+    types = {c for c in P.CATEGORY_COLUMNS if c.endswith(("_type", "_pref"))}
+    shares = {"in_10s_per", "in_10_30s_per", "in_30_60s_per", "out_60s_per"}
+    left_out = {"membership_level", "dt_m_1032", "dt_m_1034", "dt_m_1035", "age_level"}
+    assert set(P.model_columns()) == conformed - left_out | types | shares | {"age"}
+    assert "market_price_level" in P.model_columns() and "market_price" not in P.model_columns()
+
+
+def test_model_table_of_92_columns(spark):
+    table = spark.range(40).select(
+        F.concat(F.lit("u"), "id").alias(P.KEY), *[(F.col("id") % (i + 2)).alias(c) for i, c in enumerate(P.model_columns())], F.when(F.col("id") % 4 > 0, "x").alias(P.LABEL)
+    )
+    parts = prepare_model_table(table.withColumn("market_price", F.lit(1)))
+    assert parts.labelled.columns == [P.KEY, *P.model_columns(), P.LABEL] and len(parts.labelled.columns) == 92
+    assert parts.labelled.count() == 30 and parts.to_score.count() == 10
 
 
 def test_packaged_preparation(spark, tmp_path):

@@ -79,3 +79,9 @@ def test_permutation_keeps_all_values(table, group_rows):
 def test_factors_must_match_classes():
     with pytest.raises(ValueError):
         S.class_factors(["a", "b"], [1.0])
+
+
+def test_split_keeps_tiny_shares(spark):
+    many = spark.range(100_000).selectExpr("concat('k', id) AS user")
+    _, rare = S.split(many, "user", [0.9996, 0.0004], 5)
+    assert 15 <= rare.count() <= 80

@@ -83,4 +83,7 @@ class BalancedLearner(Learner):
         before, after = (
             {r["label"]: r["prior"] for r in class_priors(t, spec.label).collect()} for t in (labelled, balanced)
         )
+        gone = [c for c in classes if not after.get(c)]
+        if gone:
+            raise ValueError(f"resampling left no row of {gone}: raise their factors")
         return PriorCorrectedModel(model, [before[c] for c in classes], [after[c] for c in classes], self.params())

@@ -383,9 +383,6 @@ class BoostLearner(Learner):
             [names.index(c) for c in column_sample(names, self.column_rate, self.seed, r, t.klass)] for t in growing
         ]
         sampled = row_sample(state, "__key", self.row_rate, self.seed, r).drop("__key") if self.row_rate < 1 else state
-        # Each task adds up several stored blocks before it emits its sums, so the shuffle grows with
-        # the number of cores and not with the number of blocks.
-        sampled = sampled.coalesce(2 * state.sparkSession.sparkContext.defaultParallelism)
         step = self.eta * self.annealing**r
         start = np.asarray(prior, float)
         for level in range(self.depth):

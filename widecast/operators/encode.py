@@ -130,13 +130,13 @@ def pivot_levels(df: DataFrame, column: str, top_k: int = 20, min_support: int =
 
 def category_sql(column: str, data_type: T.DataType) -> str:
     c = quoted(column)
-    return f"CAST(CAST({c} AS BIGINT) AS STRING)" if isinstance(data_type, T.NumericType) else f"CAST({c} AS STRING)"
+    return f"CAST(try_cast({c} AS BIGINT) AS STRING)" if isinstance(data_type, T.NumericType) else f"CAST({c} AS STRING)"
 
 
 def number_sql(column: str) -> str:
-    """The column as a double with NaN read as missing, as SQL text: one call to the JVM where the
+    """The column as a double, with NaN and texts that are no number read as missing, as SQL text: one call to the JVM where the
     column functions need many, which counts on tables of a hundred columns."""
-    return f"nullif(CAST({quoted(column)} AS DOUBLE), double('NaN'))"
+    return f"nullif(try_cast({quoted(column)} AS DOUBLE), double('NaN'))"
 
 
 def fill_values(df: DataFrame, real: Sequence[str], integral: Sequence[str]) -> dict[str, float]:

@@ -167,7 +167,8 @@ def permuted(df: DataFrame, key: str, columns: Sequence[str], seed: int, group_r
 
 
 def permutation_importance(model: Model, df: DataFrame, key: str, label: str, features: Sequence[str], seed: int = 1) -> DataFrame:
-    """(variable, importance, scaled, share): rise of the log loss when a feature's values move.
+    """(variable, importance, scaled, share): rise of the log loss when a feature's values move;
+    negative where moving them helps.
 
     One shuffle moves all features; the scored variants are measured together in one job.
     """
@@ -184,5 +185,5 @@ def permutation_importance(model: Model, df: DataFrame, key: str, label: str, fe
         together = together.unionByName(v)
     losses = metrics_table(together, label, model.classes, by=["variant"]).select("variant", "logloss").collect()
     loss = {r["variant"]: r["logloss"] for r in losses}
-    rows = [(f, max(0.0, loss[f] - loss[""])) for f in features]
+    rows = [(f, loss[f] - loss[""]) for f in features]
     return scaled_importance(df.sparkSession.createDataFrame(rows, "variable string, importance double"))

@@ -20,11 +20,10 @@ from widecast.functions import columns as C
 from widecast.operators.encode import number_sql, quoted
 from widecast.operators.learner import Learner, Model, label_classes, with_prediction
 from widecast.operators.prep import require_columns
-from widecast.session import settle
+from widecast.session import written
 from widecast.spec import TableSpec
 
 MIN_DEVIATION = 0.001
-BROADCAST_LEVELS = 200_000
 
 
 def class_priors(df: DataFrame, label: str) -> DataFrame:
@@ -111,7 +110,7 @@ def merge_moments(parts: Sequence[tuple[int, float | None, float | None]]) -> tu
 class NaiveBayesModel(Model):
     family = "naive_bayes"
 
-    def __init__(self, classes, categorical, numeric, prior, gauss, levels, params, broadcastable):
+    def __init__(self, classes, categorical, numeric, prior, gauss, levels, params):
         self.classes: list[str] = classes
         self.categorical: list[str] = categorical
         self.numeric: list[str] = numeric
@@ -119,7 +118,6 @@ class NaiveBayesModel(Model):
         self.gauss: dict[str, list[tuple[float | None, float | None]]] = gauss
         self.levels: DataFrame | None = levels
         self.params = params
-        self.broadcastable: bool = broadcastable
 
     def _gaussian(self, i: int, k: int) -> str | None:
         """Log density of numeric feature ``i`` in class ``k``; 0 for a missing value.
@@ -153,8 +151,6 @@ class NaiveBayesModel(Model):
             table = self.levels.filter(F.col("feature") == c).selectExpr(
                 f"value AS `__value{i}`", *[f"logs[{k}] AS `__l{i}_{k}`" for k in range(n)]
             )
-            if self.broadcastable:
-                table = F.broadcast(table)
             df = df.join(table, C.category_text(c, types[c]) == F.col(f"__value{i}"), "left")
         return df.select(*columns, F.expr(f"array({', '.join(scores)})").alias(out))
 
@@ -173,7 +169,6 @@ class NaiveBayesModel(Model):
             "prior": self.prior,
             "gauss": self.gauss,
             "params": self.params,
-            "broadcastable": self.broadcastable,
         }
         write_meta(spark, path, meta)
         if self.levels is not None:
@@ -186,7 +181,7 @@ class NaiveBayesModel(Model):
         m = read_meta(spark, path)
         levels = spark.read.parquet(f"{path}/levels") if m["categorical"] else None
         gauss = {f: [tuple(p) for p in pairs] for f, pairs in m["gauss"].items()}
-        return cls(m["classes"], m["categorical"], m["numeric"], m["prior"], gauss, levels, m["params"], m["broadcastable"])
+        return cls(m["classes"], m["categorical"], m["numeric"], m["prior"], gauss, levels, m["params"])
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -217,21 +212,22 @@ class NaiveBayesLearner(Learner):
             .agg(F.count(F.lit(1)).alias("n"), *_moment_measures(spec.numeric))
             .collect()  # folds x classes rows
         )
-        levels, small = None, True
+        levels = None
         if spec.categorical:
-            counts, _ = settle(level_counts(df, spec.label, spec.categorical, fold))
+            counts = written(level_counts(df, spec.label, spec.categorical, fold), "level-counts")
             if fold:  # every count goes to the models that leave another fold out
                 others = F.filter(F.array(*[F.lit(i) for i in left_out]), lambda i: i != F.col("part"))
                 counts = counts.withColumn("model", F.explode(others))
-            levels, small = settle(conditionals(counts, classes, self.laplace, ["model"] if fold else []))
-            small = small or levels.limit(BROADCAST_LEVELS + 1).count() <= BROADCAST_LEVELS
+            # Stored by feature: a join reads its own levels only, and is a broadcast if their bytes allow it.
+            by = ["model"] if fold else []
+            levels = written(conditionals(counts, classes, self.laplace, by), "levels", [*by, "feature"])
         models = []
         for i in left_out:
             own = levels.filter(F.col("model") == i).drop("model") if levels is not None and fold else levels
-            models.append(self._model(classes, [r for r in grouped if fold is None or r["part"] != i], own, small))
+            models.append(self._model(classes, [r for r in grouped if fold is None or r["part"] != i], own))
         return models
 
-    def _model(self, classes: list[str], grouped: list, levels: DataFrame | None, small: bool) -> NaiveBayesModel:
+    def _model(self, classes: list[str], grouped: list, levels: DataFrame | None) -> NaiveBayesModel:
         spec = self.spec
         rows = {c: [r for r in grouped if r["label"] == c] for c in classes}
         n = {c: sum(r["n"] for r in rows[c]) for c in classes}
@@ -243,4 +239,4 @@ class NaiveBayesLearner(Learner):
             f: [merge_moments([(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in rows[c]]) for c in classes]
             for i, f in enumerate(spec.numeric)
         }
-        return NaiveBayesModel(classes, spec.categorical, spec.numeric, prior, gauss, levels, self.params(), small)
+        return NaiveBayesModel(classes, spec.categorical, spec.numeric, prior, gauss, levels, self.params())

@@ -84,17 +84,13 @@ def lenient_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: C.lenient_number(c) for c in columns})
 
 
-def known_levels_only(
-    df: DataFrame, column: str, levels: DataFrame, level_column: str = "level", broadcast_rows: int = 100_000
-) -> DataFrame:
+def known_levels_only(df: DataFrame, column: str, levels: DataFrame, level_column: str = "level") -> DataFrame:
     """Null out the values of ``column`` that are not in ``levels``.
 
-    A level table up to ``broadcast_rows`` rows is broadcast. A larger one is joined without a
-    hint; its keys are unique, so the adaptive skew join can split a hot value on the left.
+    The planner broadcasts the level table if its measured bytes allow it; else its keys are unique, so
+    the adaptive skew join can split a hot value on the left.
     """
     known = levels.select(F.col(level_column).alias("__level")).distinct()
-    if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        known = F.broadcast(known)
     joined = df.join(known, df[column] == known["__level"], "left")
     return joined.withColumn(column, F.col("__level")).drop("__level")
 

@@ -9,18 +9,19 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from widecast.functions import columns as C
 
-SPLIT_STEPS = 1000
+HASH_RANGE = 1 << 32
 
 
 def split(df: DataFrame, key: str, shares: Sequence[float], seed: int) -> list[DataFrame]:
-    """Disjoint parts that together are the input; part sizes follow ``shares``."""
+    """Disjoint parts that together are the input; part sizes follow ``shares``, down to shares of 2^-32."""
     if abs(sum(shares) - 1) > 1e-9:
         raise ValueError("shares must add up to 1")
-    step = C.hash_value(key, "split", seed) % SPLIT_STEPS
-    bounds = [0]
+    step = C.hash_value(key, "split", seed)
+    bounds, upto = [0], 0.0
     for share in shares:
-        bounds.append(bounds[-1] + round(share * SPLIT_STEPS))
-    bounds[-1] = SPLIT_STEPS
+        upto += share
+        bounds.append(round(upto * HASH_RANGE))
+    bounds[-1] = HASH_RANGE
     return [df.filter((step >= low) & (step < high)) for low, high in zip(bounds, bounds[1:])]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from widecast.functions import columns as C
 from widecast.operators.prep import require_columns
-from widecast.session import settle
+from widecast.session import written
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def categorical_checks(df: DataFrame, features: Sequence[str], label: str) -> Da
     chi2 / n = sum(cell^2 / (row * column)) - 1. Rows and columns are summed from the counted
     cells, never from the table again. Rows whose category is missing take no part in V.
     """
-    counted, _ = settle(contingency(df, features, label))
+    counted = written(contingency(df, features, label), "contingency")
     cells = counted.filter(F.col("value").isNotNull() & F.col("label").isNotNull())
     by_value = Window.partitionBy("feature", "value")  # at most one row per class
     cells = cells.withColumn("row_n", F.sum("n").over(by_value))
@@ -85,7 +85,7 @@ def categorical_checks(df: DataFrame, features: Sequence[str], label: str) -> Da
     sides = cols.groupBy("feature").agg(F.count(F.lit(1)).alias("n_labels"))
     levels = cells.select("feature", "value").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_values"))
     share = (
-        cells.join(cols, ["feature", "label"])
+        cells.join(F.broadcast(cols), ["feature", "label"])  # features x classes rows
         .groupBy("feature")
         .agg(F.sum(F.col("n") * F.col("n") / (F.col("row_n").cast("double") * F.col("col_n"))).alias("s"))
     )

@@ -123,7 +123,7 @@ def search(
     candidates: Sequence[Learner],
     df: DataFrame,
     nfolds: int,
-    max_models: int = 12,
+    max_models: int | None = None,
     max_runtime_secs: float | None = None,
     exclude: Iterable[str] = (),
     sort_by: str = "mean_per_class_error",
@@ -133,7 +133,7 @@ def search(
     refit: str = "all",
     parallelism: int = 1,
 ) -> SearchResult:
-    """Train candidates in order until the model or time budget is used up.
+    """Train candidates in order until the model or time budget, if any, is used up.
 
     Families in ``exclude`` are left out. The time budget is looked at before each candidate starts.
     """

@@ -54,9 +54,8 @@ def prepare_model_table(df: DataFrame, to_score_path: str | None = None) -> Prep
 
 
 def model_table_categories() -> list[str]:
-    """Category columns of the model table. It holds the market price itself, not its level."""
-    columns = set(P.model_columns())
-    return [c for c in P.CATEGORY_COLUMNS if c in columns]
+    """The model-table columns that are read as categories."""
+    return list(P.CATEGORY_COLUMNS)
 
 
 def row_counts(prepared: Prepared) -> DataFrame:

@@ -46,30 +46,32 @@ PRODUCTS = {  # new column: the two factors; the first is then left out of the p
 }
 PICKLIST_COLUMNS = ["credit_level", "gender", "age_level", "market_price_level", "cust_point_level", "brand", "product"]
 
-# Columns the model table has on top of, or in place of, the conformed ones.
-TYPE_COLUMNS = """
-dt_m_1012_type dt_m_1027_type dt_m_1032_type dt_m_1034_type dt_m_1075_type dt_m_1086_type dt_m_1087_type
-dt_m_1096_type dt_m_1102_type dt_m_1108_type dt_m_1594_type dt_m_1617_type dt_m_1620_type dt_m_1630_type
-dt_m_1633_type
-app1_visits_type app2_visits_type app3_visits_type app4_visits_type app5_visits_type app6_visits_type
-app7_visits_type app8_visits_type
+# The predictors of the model table.
+MODEL_COLUMNS = """
+credit_level gender inet_pd_inst_cnt star_level
+dt_m_1000 dt_m_1003 dt_m_1004 dt_m_1005 dt_m_1006 dt_m_1009 dt_m_1011 dt_m_1012 dt_m_1015 dt_m_1017
+dt_m_1027 dt_m_1028 dt_m_1041 dt_m_1044 dt_m_1051 dt_m_1053 dt_m_1067
+dt_m_1069 dt_m_1073 dt_m_1074 dt_m_1075 dt_m_1085 dt_m_1086 dt_m_1087 dt_m_1096 dt_m_1099 dt_m_1102
+dt_m_1105 dt_m_1108 dt_m_1111 dt_m_1594 dt_m_1601 dt_m_1617 dt_m_1618 dt_m_1620 dt_m_1630 dt_m_1633
+last_year_capture_user_flag app1_visits app2_visits app3_visits app4_visits app5_visits app6_visits
+app7_visits app8_visits access_net_dur tmlRegister_net_dur prdOpen_dur tmlRegister_dur prdOpen_net_dur
+brand product cust_point_level age market_price_level app_cnt dt_m_1012_type
+dt_m_1027_type dt_m_1032_type dt_m_1034_type dt_m_1075_type dt_m_1086_type dt_m_1087_type
+dt_m_1096_type dt_m_1102_type dt_m_1108_type dt_m_1594_type dt_m_1617_type dt_m_1620_type
+dt_m_1630_type dt_m_1633_type app1_visits_type app2_visits_type app3_visits_type
+app4_visits_type app5_visits_type app6_visits_type app7_visits_type app8_visits_type
+dt_m_1087_pref in_10s_per in_10_30s_per in_30_60s_per out_60s_per dt_m_1035_pref
 """.split()
-PREFERENCE_COLUMNS = ["dt_m_1035_pref", "dt_m_1087_pref"]
-SHARE_COLUMNS = ["in_10s_per", "in_10_30s_per", "in_30_60s_per", "out_60s_per"]
-MODEL_TABLE_LEAVES_OUT = ["membership_level", "dt_m_1032", "dt_m_1034", "dt_m_1035", "age_level", "market_price_level"]
-MODEL_TABLE_ADDS = ["age", "market_price", *TYPE_COLUMNS, *PREFERENCE_COLUMNS, *SHARE_COLUMNS]
 
 # Model-table columns read as categories whatever their type.
-CATEGORY_COLUMNS = [
-    "gender",
-    "star_level",
-    "credit_level",
-    "cust_point_level",
-    "market_price_level",
-    "last_year_capture_user_flag",
-    *TYPE_COLUMNS,
-    *PREFERENCE_COLUMNS,
-]
+CATEGORY_COLUMNS = """
+gender star_level last_year_capture_user_flag
+market_price_level cust_point_level credit_level dt_m_1012_type
+dt_m_1027_type dt_m_1032_type dt_m_1034_type dt_m_1075_type dt_m_1086_type dt_m_1087_type
+dt_m_1096_type dt_m_1102_type dt_m_1108_type dt_m_1594_type dt_m_1617_type dt_m_1620_type
+dt_m_1630_type dt_m_1633_type app1_visits_type app2_visits_type app3_visits_type dt_m_1035_pref
+app4_visits_type app5_visits_type app6_visits_type app7_visits_type app8_visits_type dt_m_1087_pref
+""".split()
 
 # Class-balancing factors, folds, seeds and search budget of the packaged workflows.
 CLASS_FACTORS = [1.0, 1.0, 0.2, 1.0, 1.0]
@@ -99,8 +101,7 @@ def conformed_schema() -> T.StructType:
 
 def model_columns() -> list[str]:
     """The predictors of the model table."""
-    kept = [c for c in INT_COLUMNS + LONG_COLUMNS + DOUBLE_COLUMNS + STRING_COLUMNS if c not in MODEL_TABLE_LEAVES_OUT]
-    return [*kept, *MODEL_TABLE_ADDS]
+    return list(MODEL_COLUMNS)
 
 
 def typed_spec() -> TableSpec:

@@ -24,8 +24,8 @@ def _factor_sql(factors: dict[str, float]) -> str:
 
 @query(
     "split_parts",
-    f"""WITH {X.WIDE_SQL}, s AS (SELECT *, {hash_sql(KEY, 'split', SPLIT_SEED)} % 1000 AS step FROM wide)
-SELECT "user", label, CASE WHEN step < 800 THEN 'train' ELSE 'test' END AS part FROM s""",
+    f"""WITH {X.WIDE_SQL}, s AS (SELECT *, {hash_sql(KEY, 'split', SPLIT_SEED)} AS step FROM wide)
+SELECT "user", label, CASE WHEN step < 3435973837 THEN 'train' ELSE 'test' END AS part FROM s""",
 )
 def split_parts(spark, sf):
     train, test = S.split(X.wide(spark, sf), "user", [0.8, 0.2], SPLIT_SEED)
@@ -35,12 +35,22 @@ def split_parts(spark, sf):
 @query(
     "holdout_split",
     f"""WITH {X.WIDE_SQL}
-SELECT "user", label FROM wide WHERE {hash_sql(KEY, 'split', SPLIT_SEED)} % 1000 >= 800 AND label IS NOT NULL""",
+SELECT "user", label FROM wide WHERE {hash_sql(KEY, 'split', SPLIT_SEED)} >= 3435973837 AND label IS NOT NULL""",
 )
 def holdout_split(spark, sf):
     return S.holdout(_labelled(spark, sf), "user", 0.2, SPLIT_SEED)[1].select("user", "label")
 
 
+@query(
+    "rare_split",
+    f"""WITH {X.WIDE_SQL}
+SELECT "user", label FROM wide WHERE {hash_sql(KEY, 'split', SPLIT_SEED)} >= 4293249309""",
+)
+def rare_split(spark, sf):
+    """A share far below one thousandth."""
+    return S.split(X.wide(spark, sf), "user", [0.9996, 0.0004], SPLIT_SEED)[1].select("user", "label")
+
+
 @query(
     "label_cut",
     """WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),

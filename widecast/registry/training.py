@@ -169,7 +169,7 @@ moved AS (SELECT *, {moved} FROM base),
 test AS MATERIALIZED ({variants}), {scores_sql()},
 losses AS (SELECT split_part(s."user", '|', 1) AS variable, avg(-ln(least(greatest(CASE t.label {loss} END, 1e-15), 1))) AS loss
            FROM scored s JOIN test t ON s."user" = t."user" GROUP BY 1),
-importance AS (SELECT variable, greatest(0, loss - (SELECT loss FROM losses WHERE variable = '')) AS importance FROM losses WHERE variable <> '')
+importance AS (SELECT variable, loss - (SELECT loss FROM losses WHERE variable = '') AS importance FROM losses WHERE variable <> '')
 {SCALED_SQL}"""
 
 

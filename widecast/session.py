@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
@@ -77,16 +78,11 @@ def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], R]], parallel
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
 
 
-LOCAL_ROWS = 50_000
+def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back.
 
-
-def settle(df: DataFrame, max_rows: int = LOCAL_ROWS) -> tuple[DataFrame, bool]:
-    """Fix a small result so that later plans do not recompute it; also tells whether it was small.
-
-    Up to ``max_rows`` rows come to the driver and become a local relation (no job, broadcast for
-    free). A larger result stays distributed, as a reliable checkpoint.
+    Like ``cut_lineage``, but the planner then knows the table's bytes, also those of one partition.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, df.schema), True
-    return cut_lineage(df), False
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
