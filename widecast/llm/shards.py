@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from widecast.llm.common import stored
 
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 MOST_BUCKETS = 4096
 HASH_DIGITS = 14
 
