@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 R = TypeVar("R")
 
@@ -84,5 +84,7 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     Like ``cut_lineage``, but the planner then knows the table's bytes, also those of one partition.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    # Few files for each value, but large values still in several tasks.
+    ready = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    ready.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
