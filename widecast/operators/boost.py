@@ -25,26 +25,26 @@ from typing import Any, ClassVar
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Bucketizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import Bucketizer, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from widecast.functions import columns as C
 from widecast.operators.encode import category_sql, number_sql, quoted
 from widecast.operators.learner import Learner, Model, label_classes, with_prediction
 from widecast.operators.sample import column_sample, row_sample
-from widecast.operators.walk import BINS, gradient_sums, margins_from_prior, margins_from_stored, walk
+from widecast.operators.walk import BINS, bin_set, gradient_sums, joined_sets, margins_from_prior, margins_from_stored, walk
 from widecast.session import cut_lineage
 from widecast.sources.models import read_meta, write_meta
 from widecast.spec import TableSpec
 
-MAX_BINS = 62  # a node's left side is a set of bins kept in one 64-bit whole number
+MAX_BINS = 62  # of a numeric column, with the one for missing values; a category has one for each level
 TREE_SCHEMA = T.StructType(
     [
         T.StructField("round", T.IntegerType(), False),
         T.StructField("class", T.IntegerType(), False),
         T.StructField("node", T.IntegerType(), False),
         T.StructField("feature", T.IntegerType(), False),
-        T.StructField("left", T.LongType(), False),
+        T.StructField("left", T.ArrayType(T.LongType(), False), False),
         T.StructField("value", T.DoubleType(), False),
         T.StructField("gain", T.DoubleType(), False),
         T.StructField("rows", T.DoubleType(), False),
@@ -68,16 +68,22 @@ def bin_edges(df: DataFrame, numeric: Sequence[str], bins: int) -> dict[str, lis
     return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(numeric)}
 
 
+def bin_counts(stages: Sequence) -> list[int]:
+    """Number of bins of every predictor, the one for missing values included, from the binner's stages."""
+    numbers = [len(s) for stage in stages if isinstance(stage, Bucketizer) for s in stage.getSplitsArray()]
+    return numbers + [len(labels) + 1 for stage in stages if isinstance(stage, StringIndexerModel) for labels in stage.labelsArray]
+
+
 def fit_binner(
     df: DataFrame, spec: TableSpec, max_bins: int = MAX_BINS, edges: Mapping[str, Sequence[float]] | None = None
 ) -> PipelineModel:
     """Stages that add ``__bins``: one small integer per predictor, 0 for missing or unseen.
 
-    Numbers fall between quantile edges. Categories are numbered by frequency; those past the last
-    bin share it.
+    Numbers fall between quantile edges, ``max_bins`` at most. Every level of a category has a bin of
+    its own, numbered by frequency.
     """
-    if not 3 <= max_bins <= MAX_BINS:
-        raise ValueError(f"max_bins must lie between 3 and {MAX_BINS}")
+    if max_bins < 3:
+        raise ValueError("max_bins must be 3 or more")
     numeric, categorical = spec.numeric, spec.categorical
     types = {f.name: f.dataType for f in df.schema.fields}
     known = dict(edges or {})
@@ -87,7 +93,7 @@ def fit_binner(
     for i, c in enumerate(numeric):
         first.append(f"{number_sql(c)} AS `__x{i}`")
         made += [f"__x{i}", f"__b{i}"]
-        slots[c] = f"CAST(coalesce(`__b{i}` + 1, 0) AS SMALLINT)"
+        slots[c] = f"coalesce(`__b{i}` + 1, 0)"
     for i, c in enumerate(categorical):
         first.append(f"{category_sql(c, types[c])} AS `__c{i}`")
         made += [f"__c{i}", f"__i{i}"]
@@ -112,11 +118,9 @@ def fit_binner(
         ).fit(stages[0].transform(df))
         stages.append(indexer)
         for i, (c, levels) in enumerate(zip(categorical, indexer.labelsArray)):
-            slots[c] = (
-                f"CAST(CASE WHEN `__i{i}` >= {len(levels)} THEN 0 "
-                f"ELSE least(`__i{i}` + 1, {max_bins - 1}) END AS SMALLINT)"
-            )
-    gathered = ", ".join(slots[c] for c in [*numeric, *categorical])
+            slots[c] = f"CASE WHEN `__i{i}` >= {len(levels)} THEN 0 ELSE `__i{i}` + 1 END"
+    whole = "SMALLINT" if max(bin_counts(stages), default=0) < 2**15 else "INT"
+    gathered = ", ".join(f"CAST({slots[c]} AS {whole})" for c in [*numeric, *categorical])
     dropped = ", ".join(quoted(m) for m in made)
     stages.append(SQLTransformer(statement=f"SELECT *, array({gathered}) AS {BINS} FROM __THIS__"))
     stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__"))
@@ -133,7 +137,7 @@ class Tree:
     round: int
     klass: int
     feature: np.ndarray  # -1 for a leaf
-    left: np.ndarray  # set of bins that go left, one bit each
+    left: list[np.ndarray]  # of every node the set of bins that go left, one bit each in 64-bit words
     value: np.ndarray
     gain: np.ndarray
     rows: np.ndarray
@@ -141,15 +145,15 @@ class Tree:
     @classmethod
     def empty(cls, round_no: int, klass: int, depth: int) -> Tree:
         n = 2 ** (depth + 1) - 1
-        return cls(round_no, klass, np.full(n, -1, np.int32), np.zeros(n, np.int64), *(np.zeros(n) for _ in range(3)))
+        return cls(round_no, klass, np.full(n, -1, np.int32), [np.zeros(0, np.int64)] * n, *(np.zeros(n) for _ in range(3)))
 
     def plain(self) -> tuple:
         """What a task needs, as arrays."""
-        return self.klass, self.feature, self.left, self.value
+        return self.klass, self.feature, joined_sets(self.left), self.value
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """Node of every row after at most ``levels`` steps."""
-        return walk(self.feature, self.left, bins, levels)
+        return walk(self.feature, joined_sets(self.left), bins, levels)
 
     def to_rows(self) -> list[tuple]:
         used = [0]
@@ -157,7 +161,7 @@ class Tree:
             if self.feature[i] >= 0:
                 used += [2 * i + 1, 2 * i + 2]
         return [
-            (self.round, self.klass, i, int(self.feature[i]), int(self.left[i]), float(self.value[i]), float(self.gain[i]), float(self.rows[i]))
+            (self.round, self.klass, i, int(self.feature[i]), self.left[i].tolist(), float(self.value[i]), float(self.gain[i]), float(self.rows[i]))
             for i in used
         ]
 
@@ -205,7 +209,7 @@ def best_splits(
             *[f"sum({c}) {upto} AS l{c}" for c in "ghn"],
             *[f"sum({c}) {whole} AS t{c}" for c in "ghn"],
             *[f"sum(CASE WHEN {is_number} AND bin = 0 THEN {c} ELSE 0.0D END) {whole} AS m{c}" for c in "ghn"],
-            f"sum(shiftleft(1L, bin)) {upto} AS levels",
+            "place",
         )
     )
 
@@ -223,15 +227,18 @@ def best_splits(
             allowed += f" AND {is_number} AND mn > 0"
         gain = f"({weight(gl, hl, nl)} + {weight(gr, hr, nr)} - {weight('tg', 'th', 'tn')})"
         # Without missing values in the node, they go to the larger side.
-        zero = f"CAST(mn > 0 OR {nl} >= {nr} AS BIGINT)" if missing_left else "0L"
+        zero = f"(mn > 0 OR {nl} >= {nr})" if missing_left else "false"
         return f"""named_struct(
             'score', CASE WHEN {allowed} THEN round({gain} / {float(rows)!r}D, 10) ELSE -1.0D END,
             'minus_feature', -feature, 'minus_bin', -bin,
-            'left', CASE WHEN {is_number} THEN shiftleft(1L, bin + 1) - 2L + {zero} ELSE levels END,
-            'gain', {gain}, 'lg', {gl}, 'lh', {hl}, 'ln', {nl}, 'tg', tg, 'th', th, 'tn', tn)"""
+            'zero_left', {zero}, 'gain', {gain}, 'lg', {gl}, 'lh', {hl}, 'ln', {nl}, 'tg', tg, 'th', th, 'tn', tn, 'place', place)"""
 
-    best = f"greatest(max({candidate(True)}), max({candidate(False)}))"
-    return cells.groupBy("class", "node").agg(F.expr(best).alias("b")).selectExpr("class", "node", "-b.minus_feature AS feature", "b.*")
+    # The column's best cut first, then the category levels up to it, and at last the best column.
+    cut = cells.selectExpr("class", "node", "feature", "bin", "place", f"greatest(max({candidate(True)}) {whole}, max({candidate(False)}) {whole}) AS b")
+    goes_left = f"NOT ({is_number}) AND (place < b.place OR place = b.place AND bin <= -b.minus_bin)"
+    by_column = cut.groupBy("class", "node", "feature").agg(F.first("b").alias("b"), F.expr(f"collect_list(bin) FILTER (WHERE {goes_left})").alias("levels"))
+    best = by_column.groupBy("class", "node").agg(F.expr("max_by(struct(b, levels), b)").alias("m"))
+    return best.selectExpr("class", "node", "-m.b.minus_feature AS feature", "-m.b.minus_bin AS bin", "m.levels", "m.b.*")
 
 
 # ---------------------------------------------------------------- model and learner
@@ -290,7 +297,7 @@ class BoostModel(Model):
         for r in spark.read.parquet(f"{path}/trees").collect():  # bounded by the model's settings
             t = trees.setdefault((r["round"], r["class"]), Tree.empty(r["round"], r["class"], m["depth"]))
             i = r["node"]
-            t.feature[i], t.left[i], t.value[i], t.gain[i], t.rows[i] = r["feature"], r["left"], r["value"], r["gain"], r["rows"]
+            t.feature[i], t.left[i], t.value[i], t.gain[i], t.rows[i] = r["feature"], np.array(r["left"], np.int64), r["value"], r["gain"], r["rows"]
         ordered = [trees[k] for k in sorted(trees)]
         return cls(m["classes"], m["params"], m["columns"], m["prior"], m["depth"], PipelineModel.load(f"{path}/binner"), ordered)
 
@@ -345,12 +352,12 @@ class BoostLearner(Learner):
         )
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            prior, trees = self._boost(spark, state, classes, names)
+            prior, trees = self._boost(spark, state, classes, names, bin_counts(binner.stages))
         finally:
             state.unpersist()
         return BoostModel(classes, self.params(), names, prior, self.depth, binner, trees)
 
-    def _boost(self, spark: SparkSession, state: DataFrame, classes: list[str], names: list[str]) -> tuple[list[float], list[Tree]]:
+    def _boost(self, spark: SparkSession, state: DataFrame, classes: list[str], names: list[str], sizes: list[int]) -> tuple[list[float], list[Tree]]:
         """All rounds on the binned table."""
         stored: list[DataFrame] = []
         counts = {r["__y"]: r["n"] for r in state.groupBy("__y").agg(F.sum("__w").alias("n")).collect()}
@@ -360,7 +367,7 @@ class BoostLearner(Learner):
         recent: list[Tree] = []  # grown since the stored state
         try:
             for r in range(self.rounds):
-                grown = self._grow(state, r, prior, recent, names, rows)
+                grown = self._grow(state, r, prior, recent, names, sizes, rows)
                 trees += grown
                 recent += grown
                 if (r + 1) % self.checkpoint_interval == 0 and r + 1 < self.rounds:
@@ -375,7 +382,7 @@ class BoostLearner(Learner):
                 old.unpersist()
         return prior, trees
 
-    def _grow(self, state: DataFrame, r: int, prior, recent: list[Tree], names: list[str], rows: float) -> list[Tree]:
+    def _grow(self, state: DataFrame, r: int, prior, recent: list[Tree], names: list[str], sizes: list[int], rows: float) -> list[Tree]:
         """One round: a tree per class, level by level."""
         k, width = len(prior), len(names)
         growing = [Tree.empty(r, c, self.depth) for c in range(k)]
@@ -388,13 +395,13 @@ class BoostLearner(Learner):
         for level in range(self.depth):
             sums = sampled.mapInArrow(
                 gradient_sums(
-                    start, [t.plain() for t in recent], [t.plain() for t in growing], level, self.depth, columns, self.max_bins, width
+                    start, [t.plain() for t in recent], [t.plain() for t in growing], level, self.depth, columns, sizes, width
                 ),
                 SUMS_SCHEMA,
             )
             found = best_splits(
                 sums, len(self.spec.numeric), self.mode, self.reg_lambda, self._min_rows, self.min_child_weight, rows
-            ).collect()  # at most classes x 2^level rows
+            ).collect()  # at most classes x 2^level rows, with the levels of a category that go left
             split = False
             for b in found:
                 tree, i = growing[b["class"]], b["node"] + 2**level - 1
@@ -403,7 +410,8 @@ class BoostLearner(Learner):
                 if b["score"] <= 0:
                     continue
                 split = True
-                tree.feature[i], tree.left[i], tree.gain[i] = b["feature"], b["left"], b["gain"]
+                left = range(0 if b["zero_left"] else 1, b["bin"] + 1) if b["feature"] < len(self.spec.numeric) else b["levels"]
+                tree.feature[i], tree.left[i], tree.gain[i] = b["feature"], bin_set(left), b["gain"]
                 for child, g, h, n in (
                     (2 * i + 1, b["lg"], b["lh"], b["ln"]),
                     (2 * i + 2, b["tg"] - b["lg"], b["th"] - b["lh"], b["tn"] - b["ln"]),

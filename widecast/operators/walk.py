@@ -1,7 +1,8 @@
 """The part of boosting that runs inside tasks: walking trees and summing gradients of one batch.
 
 Everything here is sent to the Python workers by value, so executors need numpy and pyarrow but not
-this package. A tree is (class, column per node, left bins per node, value per node).
+this package. A tree is (class, column per node, left bins of all nodes, value per node); the bins that
+go left are bits of 64-bit words, so that a category may have any number of levels.
 """
 
 from __future__ import annotations
@@ -14,10 +15,28 @@ from pyspark import cloudpickle
 
 BINS = "__bins"
 HESSIAN_FLOOR = 1e-6
+DENSE_CELLS = 1 << 15  # columns with more (node, bin) cells are summed sparsely
+LOOSE_CELLS = 1 << 20  # sparse sums held by one task
+
+
+def bin_set(bins):
+    """Bins as the bits of words."""
+    bins = np.asarray(bins, np.int64)
+    words = np.zeros(int(bins.max()) // 64 + 1 if len(bins) else 0, np.int64)
+    np.bitwise_or.at(words, bins >> 6, np.left_shift(np.int64(1), bins & 63))
+    return words
+
+
+def joined_sets(sets):
+    """All nodes' words one after the other, with each node's first word and number of words."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    # One word more, so that a node without words has something to look at.
+    return np.cumsum(sizes) - sizes, sizes, np.concatenate([*sets, np.zeros(1, np.int64)])
 
 
 def walk(feature, left, bins, levels):
     """Node of every row after at most ``levels`` steps from the root."""
+    first, sizes, words = left
     node = np.zeros(len(bins), np.int64)
     row = np.arange(len(bins))
     for _ in range(levels):
@@ -25,7 +44,9 @@ def walk(feature, left, bins, levels):
         inner = column >= 0
         if not inner.any():
             break
-        goes_left = (left[node] >> bins[row, np.where(inner, column, 0)]) & 1
+        own = bins[row, np.where(inner, column, 0)].astype(np.int64)
+        within = (own >> 6) < sizes[node]
+        goes_left = (words[first[node] + np.where(within, own >> 6, 0)] >> (own & 63)) & within
         node = np.where(inner, 2 * node + 2 - goes_left, node)
     return node
 
@@ -66,19 +87,34 @@ def margins_from_stored(shared, depth, width):
     return compute
 
 
-def gradient_sums(prior, trees, growing, level, depth, columns, bins, width):
+def summed(parts):
+    """Sums of (cell, g, h, n) arrays by cell."""
+    cells = np.concatenate([p[0] for p in parts])
+    found, at = np.unique(cells, return_inverse=True)
+    return found, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(found)) for i in (1, 2, 3))
+
+
+def cell_rows(klass, column, size, cell, g, h, n):
+    columns = [np.full(len(cell), x, np.int32) for x in (klass, column)]
+    columns = [columns[0], (cell // size).astype(np.int32), columns[1], (cell % size).astype(np.int32), g, h, n]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["class", "node", "feature", "bin", "g", "h", "n"])
+
+
+def gradient_sums(prior, trees, growing, level, depth, columns, sizes, width):
     """For ``mapInArrow``: sums of gradient, hessian and weight of the task's rows by
-    (class, node of the level, column, bin). Output and memory are bounded by those cells."""
+    (class, node of the level, column, bin).
+
+    ``sizes`` has the number of bins of each column. Columns with few cells have an array of them all;
+    those with many levels keep the cells that occur, and give them out whenever there are too many.
+    """
     first, nodes, k = 2**level - 1, 2**level, len(prior)
-    cells = nodes * bins
 
     def sums(batches):
-        total = [np.zeros((3, len(columns[c]), cells)) for c in range(k)]
-        seen = False
+        dense = {(c, j): np.zeros((3, nodes * sizes[j])) for c in range(k) for j in columns[c] if nodes * sizes[j] <= DENSE_CELLS}
+        loose, held = {}, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            seen = True
             binned = list_matrix(batch.column(BINS), width)
             y = batch.column("__y").to_numpy(zero_copy_only=False)
             w = batch.column("__w").to_numpy(zero_copy_only=False)
@@ -93,28 +129,26 @@ def gradient_sums(prior, trees, growing, level, depth, columns, bins, width):
                     continue
                 wc, pc = w[here], p[here, c]
                 measures = (wc * (pc - (y[here] == c)), wc * np.maximum(pc * (1 - pc), HESSIAN_FLOOR), wc)
-                base = node[here] * bins
-                for j, column in enumerate(columns[c]):
-                    cell = base + binned[here, column]
-                    for i, measure in enumerate(measures):
-                        total[c][i, j] += np.bincount(cell, measure, cells)
-        if not seen:
-            return
-        for c in range(k):
-            j, cell = np.nonzero(total[c][2])
-            g, h, n = (total[c][i, j, cell] for i in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(j), c, np.int32)),
-                    pa.array((cell // bins).astype(np.int32)),
-                    pa.array(np.asarray(columns[c], np.int32)[j]),
-                    pa.array((cell % bins).astype(np.int32)),
-                    pa.array(g),
-                    pa.array(h),
-                    pa.array(n),
-                ],
-                names=["class", "node", "feature", "bin", "g", "h", "n"],
-            )
+                for j in columns[c]:
+                    cell = node[here] * sizes[j] + binned[here, j]
+                    if (c, j) in dense:
+                        for i, measure in enumerate(measures):
+                            dense[c, j][i] += np.bincount(cell, measure, nodes * sizes[j])
+                    else:
+                        part = summed([(cell, *measures)])
+                        loose.setdefault((c, j), []).append(part)
+                        held += len(part[0])
+            if held > LOOSE_CELLS:
+                loose = {key: [summed(parts)] for key, parts in loose.items()}
+                held = sum(len(parts[0][0]) for parts in loose.values())
+                if held > LOOSE_CELLS // 2:
+                    yield from (cell_rows(c, j, sizes[j], *parts[0]) for (c, j), parts in loose.items())
+                    loose, held = {}, 0
+        for (c, j), total in dense.items():
+            cell = np.flatnonzero(total[2])
+            if len(cell):
+                yield cell_rows(c, j, sizes[j], cell, *total[:, cell])
+        yield from (cell_rows(c, j, sizes[j], *summed(parts)) for (c, j), parts in loose.items())
 
     return sums
 

@@ -26,7 +26,6 @@ def boost_sql(
     min_rows: float = 10.0,
     min_child_weight: float = 1.0,
     reg_lambda: float = 1.0,
-    max_bins: int = 62,
 ) -> str:
     """``source`` is a CTE chain, ``train`` and ``test`` are tables in it."""
     k = len(classes)
@@ -40,7 +39,7 @@ def boost_sql(
         else:
             t = f"CAST({c} AS VARCHAR)"
             ctes.append(
-                f"lev{j} AS (SELECT {t} AS v, least(row_number() OVER (ORDER BY count(*) DESC, {t}), {max_bins - 1}) AS bin "
+                f"lev{j} AS (SELECT {t} AS v, row_number() OVER (ORDER BY count(*) DESC, {t}) AS bin "
                 f"FROM {train} WHERE {c} IS NOT NULL GROUP BY {t})"
             )
             binned.append(f"SELECT \"user\", {j}, coalesce(lev{j}.bin, 0) FROM {{0}} LEFT JOIN lev{j} ON {t} = lev{j}.v")
@@ -82,7 +81,7 @@ def boost_sql(
   FROM g{r} JOIN n{t} USING ("user", c) JOIN bins USING ("user") WHERE learns AND open GROUP BY ALL)"""
             )
             ctes.append(
-                f"""place{t} AS (SELECT *, j < {len(spec.numeric)} AS is_number,
+                f"""place{t} AS MATERIALIZED (SELECT *, j < {len(spec.numeric)} AS is_number,
   CASE WHEN j < {len(spec.numeric)} THEN CAST(bin AS DOUBLE) ELSE round(g / {side}, 10) END AS place FROM hist{t})"""
             )
             sums = ", ".join(
@@ -92,7 +91,7 @@ def boost_sql(
                 for x in "ghn"
             )
             ctes.append(
-                f"cum{t} AS (SELECT *, {sums}, list(bin) OVER (PARTITION BY c, node, j ORDER BY place, bin ROWS UNBOUNDED PRECEDING) AS upto FROM place{t})"
+                f"cum{t} AS (SELECT *, {sums} FROM place{t})"
             )
             both = []
             for missing_left in (True, False):
@@ -105,7 +104,7 @@ def boost_sql(
                 gain = f"{weight(gl, hl, nl)} + {weight(f'tg - {gl}', f'th - {hl}', f'tn - {nl}')} - {weight('tg', 'th', 'tn')}"
                 zero = f"(mn > 0 OR {nl} >= tn - {nl})" if missing_left else "false"
                 both.append(
-                    f"SELECT c, node, j, bin, is_number, upto, CASE WHEN {allowed} THEN round(({gain}) / (SELECT rows FROM total), 10) ELSE -1 END AS score, "
+                    f"SELECT c, node, j, bin, is_number, place AS spot, CASE WHEN {allowed} THEN round(({gain}) / (SELECT rows FROM total), 10) ELSE -1 END AS score, "
                     f"{zero} AS zero_left, {gain} AS gain, {gl} AS lg, {hl} AS lh, tg, th FROM cum{t}"
                 )
             ctes.append(
@@ -118,9 +117,10 @@ def boost_sql(
   SELECT n."user", n.c, CASE WHEN n.open AND b.score > 0 THEN 2 * n.node + CASE
            WHEN b.is_number AND x.bin = 0 THEN CASE WHEN b.zero_left THEN 1 ELSE 2 END
            WHEN b.is_number THEN CASE WHEN x.bin <= b.bin THEN 1 ELSE 2 END
-           WHEN list_contains(b.upto, x.bin) THEN 1 ELSE 2 END ELSE n.node END AS node,
+           WHEN y.place < b.spot OR y.place = b.spot AND x.bin <= b.bin THEN 1 ELSE 2 END ELSE n.node END AS node,
          n.open AND coalesce(b.score > 0, false) AS open
-  FROM n{t} n LEFT JOIN best{t} b ON n.c = b.c AND n.node = b.node AND n.open LEFT JOIN bins x ON n."user" = x."user" AND x.j = b.j)"""
+  FROM n{t} n LEFT JOIN best{t} b ON n.c = b.c AND n.node = b.node AND n.open LEFT JOIN bins x ON n."user" = x."user" AND x.j = b.j
+  LEFT JOIN place{t} y ON y.c = b.c AND y.node = b.node AND y.j = b.j AND y.bin = x.bin)"""
             )
         values = [f"SELECT c, 0 AS node, {leaf('tg', 'th')} AS v FROM best{r}_0"]
         for level in range(depth):

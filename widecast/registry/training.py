@@ -20,6 +20,8 @@ from widecast.registry.bayes import scores_sql
 from widecast.registry.boost_sql import boost_sql
 from widecast.registry.common import FOLD_SEED, as_doubles, fold_sql, hash_sql, rounded, scratch
 from widecast.sources.models import load_model, save_model
+from widecast.sources.tables import read_table
+from widecast.spec import TableSpec
 
 K = 3
 SPEC = X.WIDE_SPEC
@@ -74,6 +76,35 @@ def boost_saved_and_loaded(spark, sf):
     return scored.select("user", "predict", *as_doubles("probabilities", 5))
 
 
+LEVELS_SPEC = TableSpec.build("user", "label", real=["o_totalprice"], picklist=["o_custkey"])
+LEVELS_CLASSES = ("c0", "c1", "c2")
+LEVELS_EDGES = {"o_totalprice": [50000.0 * i for i in range(1, 10)]}
+LEVELS_SQL = f"""lines AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS "user", o_custkey, o_totalprice,
+         'c' || CAST((CASE WHEN o_totalprice > 300000 THEN o_custkey + 1 ELSE (o_custkey * 7919) // 13 END) % 3 AS VARCHAR) AS label
+  FROM orders
+), folded AS (SELECT *, {fold_sql(K)} AS fold FROM lines),
+train AS (SELECT * FROM folded WHERE fold <> 0), test AS (SELECT * FROM folded WHERE fold = 0)"""
+
+
+@query(
+    "boost_many_levels_score",
+    boost_sql(LEVELS_SQL, "train", "test", LEVELS_SPEC, LEVELS_CLASSES, LEVELS_EDGES, "gradient", **SETTINGS)
+    + '\nSELECT "user", predict, ' + ", ".join(f"round(p{i}, 6) AS p{i}" for i in range(3)) + " FROM boosted",
+)
+def boost_many_levels_score(spark, sf):
+    """A category with a level for every customer, each of which a split can send either way."""
+    customer = F.col("o_custkey")
+    target = F.when(F.col("o_totalprice") > 300000, customer + 1).otherwise(F.expr("o_custkey * 7919 div 13")) % 3
+    orders = read_table(spark, f"{sf}/orders.parquet").select(
+        F.col("o_orderkey").cast("string").alias("user"), "o_custkey", "o_totalprice", F.concat(F.lit("c"), target.cast("string")).alias("label")
+    )
+    df = assign_folds(orders, "user", K, FOLD_SEED)
+    learner = replace(EXACT, spec=LEVELS_SPEC, classes=LEVELS_CLASSES, edges=tuple((c, tuple(e)) for c, e in LEVELS_EDGES.items()))
+    scored = learner.fit(df.filter("fold <> 0")).transform(df.filter("fold = 0"))
+    return scored.select("user", "predict", *as_doubles("probabilities", 3))
+
+
 SAMPLED = BoostLearner(
     spec=SPEC, name="gbm", classes=CLASSES, rounds=3, depth=3, eta=0.3, row_rate=0.7, column_rate=0.5, checkpoint_interval=2, max_bins=32
 )
