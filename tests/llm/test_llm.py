@@ -120,6 +120,22 @@ def test_grammar_round_trip():
                 assert np.array_equal(repair.expand_span(symbols, 500, rules, spans, a, b), ids[a:b])
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(8)
+    # Few pairs are frequent, so that no round shortens the block by much.
+    ids = rng.permutation(30_000).astype(np.uint32)
+    for k in range(300):
+        at = rng.integers(0, len(ids) - 2, 5)
+        ids[at], ids[at + 1] = 30_000 + 2 * k, 30_001 + 2 * k
+    for block, base in ((ids, 31_000), (rng.zipf(1.3, 20_000).clip(max=400).astype(np.uint32), 401)):
+        last = rng.random(len(block)) < 0.01
+        last[-1] = True
+        symbols, marks, rules, spans = repair.compress(block, last, base)
+        assert np.array_equal(repair.expand(symbols, base, rules, spans), block)
+        pairs = (symbols[:-1].astype(np.int64) << 32 | symbols[1:])[~marks[:-1]]
+        assert np.unique(pairs, return_counts=True)[1].max() < repair.MIN_COUNT
+
+
 # Byte-level BPE
 
 

@@ -24,7 +24,6 @@ BLOCK_IDS = 1_000_000
 PART_BYTES = 32 << 20
 MOST_PARTS = 20_000
 MIN_COUNT = 4
-MIN_GAIN = 0.1
 PAIRS_A_ROUND = 10_000
 #: A chunk of unaccented or precomposed Latin letters and closing signs is two pieces to any normaliser.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -114,29 +113,46 @@ def encode(df: DataFrame, path: str, end_id: int, id_column: str = "doc_id", tex
     return ready.mapInArrow(run, f"part int, doc_id {ready.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN):
+def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_COUNT):
     """Re-Pair of one block: what is left of ``ids``, the end marks of documents in it, rules, spans.
 
-    A round counts all pairs and replaces up to ``PAIRS_A_ROUND`` of them at once, the most frequent
-    first (the others have the next round). A symbol is
-    either left or right in the pairs of one round, so that no two replacements overlap; a pair of
-    equal symbols has its symbol to itself and replaces every other position of a run. It ends when no
-    pair occurs ``min_count`` times or a round shortens the sequence by less than ``min_gain``.
+    A round replaces up to ``PAIRS_A_ROUND`` pairs at once, the most frequent first; the others have a
+    later round. A symbol is either left or right in the pairs of one round, so that no two
+    replacements overlap; a pair of equal symbols has its symbol to itself and replaces every other
+    position of a run. It ends when no pair occurs ``min_count`` times.
+
+    The count of a pair only falls once its symbols exist. So a round counts only positions whose pair
+    was frequent in the round before or has a new symbol; the sequence is a chain in which replaced
+    symbols are passed over, and is gathered at the end.
     """
+    n = len(ids)
     seq, last = ids.astype(np.int64), last.copy()
-    lefts, rights, spans = [], [], []
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    stays = np.ones(n, bool)
+    size = 1 << 12
+    known = np.ones(base + size, np.int64)
+    side = np.zeros(base + size, np.int8)  # 0 free, 1 left, 2 right, 3 paired with itself
+    lefts, rights = [], []
     following = base
-    while len(seq) > 1:
-        keys = (seq[:-1] << 32) | seq[1:]
-        sorted_keys = np.sort(keys[~last[:-1]])
-        if not len(sorted_keys):
+    spots = np.flatnonzero(~last[:-1])  # where a frequent pair may begin
+    while len(spots):
+        keys = (seq[spots] << 32) | seq[after[spots]]
+        # Slots of a hash hold at least a pair's count: most rare pairs go before the sort.
+        slots = max(12, len(keys).bit_length())
+        slot = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * following)) >> np.uint64(64 - slots)
+        frequent = np.bincount(slot.view(np.int64), minlength=1 << slots)[slot] >= min_count
+        spots, keys = spots[frequent], keys[frequent]
+        if not len(keys):
             break
+        sorted_keys = np.sort(keys)
         at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
         counts = np.diff(at, append=len(sorted_keys))
         often = counts >= min_count
         pairs, counts = sorted_keys[at[often]], counts[often]
+        if not len(pairs):
+            break
         order = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
-        side = np.zeros(following, np.int8)  # 0 free, 1 left, 2 right, 3 paired with itself
+        side[:following] = 0
         chosen = []
         for pair, a, b in zip(pairs[order].tolist(), (pairs[order] >> 32).tolist(), (pairs[order] & 0xFFFFFFFF).tolist()):
             if a == b:
@@ -146,35 +162,39 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_
             elif side[a] in (0, 1) and side[b] in (0, 2):
                 side[a], side[b] = 1, 2
                 chosen.append(pair)
-        if not chosen:
-            break
         chosen = np.sort(np.array(chosen, np.int64))
-        here = side[seq]
-        spots = np.flatnonzero(((here[:-1] == 1) | (here[:-1] == 3)) & ~last[:-1])
-        left, right = here[spots], here[spots + 1]
-        spots = spots[(left == 1) & (right == 2) | (left == 3) & (seq[spots] == seq[spots + 1])]
-        rule = np.minimum(np.searchsorted(chosen, keys[spots]), len(chosen) - 1)
-        hit = chosen[rule] == keys[spots]
-        spots, rule = spots[hit], rule[hit]
-        index = np.arange(len(spots))
-        run_start = np.maximum.accumulate(np.where(np.diff(spots, prepend=-2) != 1, index, 0))
-        spots, rule = spots[(index - run_start) % 2 == 0], rule[(index - run_start) % 2 == 0]
+        left, right = side[keys >> 32], side[keys & 0xFFFFFFFF]
+        maybe = np.flatnonzero((left == 1) & (right == 2) | (left == 3) & (keys >> 32 == keys & 0xFFFFFFFF))
+        rule = np.minimum(np.searchsorted(chosen, keys[maybe]), len(chosen) - 1)
+        hit = chosen[rule] == keys[maybe]
+        found, rule = spots[maybe[hit]], rule[hit]
+        index = np.arange(len(found))
+        run_start = np.maximum.accumulate(np.where(np.concatenate([[True], after[found[:-1]] != found[1:]]), index, 0))
+        odd = (index - run_start) % 2 == 0
+        found, rule = found[odd], rule[odd]
         lefts.append(chosen >> 32)
         rights.append(chosen & 0xFFFFFFFF)
-        known = np.concatenate([np.ones(base, np.int64), *spans])
-        spans.append(known[lefts[-1]] + known[rights[-1]])
-        before = len(seq)
-        seq[spots] = following + rule
-        last[spots] = last[spots + 1]
-        stay = np.ones(before, bool)
-        stay[spots + 1] = False
-        seq, last = seq[stay], last[stay]
+        while len(known) < following + len(chosen):
+            known, side = np.concatenate([known, np.ones_like(known)]), np.concatenate([side, np.zeros_like(side)])
+        known[following : following + len(chosen)] = known[lefts[-1]] + known[rights[-1]]
+        gone = after[found]
+        seq[found] = following + rule
+        last[found] = last[gone]
+        after[found] = after[gone]
+        inside = after[found] < n
+        before[after[found[inside]]] = found[inside]
+        stays[gone] = False
         following += len(chosen)
-        if len(spots) < min_gain * before:
-            break
+        ahead = before[found]
+        # The old ones, a new symbol's among them, and those before a new symbol.
+        marked = np.zeros(n, bool)
+        marked[spots] = True
+        marked[ahead[ahead >= 0]] = True
+        spots = np.flatnonzero(marked)
+        spots = spots[stays[spots] & ~last[spots]]
     empty = np.zeros(0, np.int64)
     rules = np.stack([np.concatenate([empty, *lefts]), np.concatenate([empty, *rights])], axis=1)
-    return seq.astype(np.uint32), last, rules.astype(np.uint32), np.concatenate([empty, *spans]).astype(np.uint32)
+    return seq[stays].astype(np.uint32), last[stays], rules.astype(np.uint32), known[base:following].astype(np.uint32)
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray, spans: np.ndarray) -> np.ndarray:
