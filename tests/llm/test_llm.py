@@ -263,6 +263,17 @@ def test_language_query_and_odd_rows(spark, docs, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(empty, F.lit(True))).collect()} == {"und"}
 
 
+def test_a_small_language_with_many_copies_is_learned(spark):
+    rng = random.Random(6)
+    made = lambda signs, n: [" ".join("".join(rng.choices(signs, k=6)) for _ in range(30)) for _ in range(n)]
+    large, small = made("abcdef", 300), made("uvwxyz", 3)
+    rows = [("large", t) for t in large] + [("small", t) for t in small] + [("small", small[0])] * 60_000
+    df = spark.createDataFrame(rows, "lang string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    model = langid.fit(df, F.lit(True))
+    assert model.languages == ["large", "small"]
+    assert {r.lang_pred for r in langid.predict(df.filter("lang = 'small'"), model).select("lang_pred").distinct().collect()} == {"small"}
+
+
 # Pages
 
 PAGES = [

@@ -184,22 +184,24 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_letters: int = SAMPLE_LETTERS) -> LanguageModel:
-    """Learn from about ``sample_docs`` rows of each language, chosen by a hash of the text among those
-    with ``learn``, and of these from the first ``sample_letters`` letters.
+    """Learn from about ``sample_docs`` distinct texts of each language, one at least, chosen by a hash of
+    the text among the rows with ``learn``, and of these from the first ``sample_letters`` letters.
 
     Null languages and null texts are not learned from. With no language at all, every prediction is
     ``und``.
     """
-    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return LanguageModel.fit({})
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col("lang") == language, F.lit(min(1.0, (sample_docs + 4 * math.sqrt(sample_docs)) / n))).otherwise(share)
     number = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    # Copies of one text have one hash; they count once, so that a large group of them can't be the sample.
-    taken = rows.filter(number < share * (1 << 40)).select("lang", number.alias("number"), F.left("text", F.lit(sample_letters)).alias("text")).distinct().collect()
+    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).withColumn("number", number)
+    # Copies of one text have one hash and are drawn together, so the share is of distinct texts. The
+    # smallest hash is always in.
+    known = rows.groupBy("lang", "number").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n"), F.min("number").alias("least")).collect()
+    if not known:
+        return LanguageModel.fit({})
+    below = F.lit(0)
+    for r in known:
+        share = min(1.0, (sample_docs + 4 * math.sqrt(sample_docs)) / r["n"])
+        below = F.when(F.col("lang") == r["lang"], F.lit(max(math.ceil(share * (1 << 40)), r["least"] + 1))).otherwise(below)
+    taken = rows.filter(F.col("number") < below).select("lang", "number", F.left("text", F.lit(sample_letters)).alias("text")).distinct().collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(taken, key=lambda r: (r["lang"], r["number"], r["text"])):
         samples.setdefault(r["lang"], [])
