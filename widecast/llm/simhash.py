@@ -29,21 +29,27 @@ FRONTIER = 200_000
 DIRECT = 256
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bits that are set in over half of the hashes of the text's word shingles; 0 without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's word shingles in order; a shorter text is one, and none is without words."""
     # Bytes know no letters but A-Z and no white space but the six ASCII signs.
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-        slices = map(joined.__getitem__, map(slice, starts, ends[shingle - 1 :].tolist()))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(seed)), np.uint64, len(starts))
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
+    slices = map(joined.__getitem__, map(slice, starts, ends[shingle - 1 :].tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(seed)), np.uint64, len(starts))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Bits that are set in over half of the hashes of the text's word shingles; 0 without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     if len(octets) < 64:
         ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
