@@ -199,6 +199,22 @@ def test_overlaps_survive_substitutions(spark):
     assert decontaminate.overlaps(docs.filter("false"), benchmark).count() == 0
 
 
+def test_ten_words_at_the_ends_of_texts_and_items():
+    item = [f"i{k}" for k in range(30)]
+    eleven = [f"e{k}" for k in range(11)]
+    other = [f"o{k}" for k in range(50)]
+    cases = [
+        (item[-10:] + other, 0, 0), (other + item[:10], 0, 50), (item[-10:], 0, 0), (item[:10], 0, 0), (item[-11:-5] + ["x"] + item[-4:], 0, 0), (item[10:20], 0, 0),
+        (other + item[-10:] + other, 0, 50), (other + item[:10] + other, 0, 50), (other + eleven[:5] + ["x"] + eleven[6:] + other, 1, 50), (eleven[1:], 1, 0), (other, None, 0), (item[-9:], None, 0), ([], None, 0),
+    ]
+    seeds = decontaminate.Seeds.of([(0, " ".join(item)), (1, " ".join(eleven))])
+    texts = [" ".join(words) for words, _, _ in cases]
+    want = [(t, i, first, 10) for t, (_, i, first) in enumerate(cases) if i is not None]
+    assert [(t, i, first, n) for t, i, first, _, n in seeds.overlaps(*decontaminate.words_of(texts))] == want
+    alone = [(t, *found[1:3], found[4]) for t, text in enumerate(texts) for found in seeds.overlaps(*decontaminate.words_of([text]))]
+    assert alone == want
+
+
 def test_overlaps_of_the_query_hold_every_whole_item(spark, docs):
     def plain(t):
         return " " + " ".join(re.findall(r"\w+", t.lower())) + " "

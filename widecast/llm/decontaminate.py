@@ -29,6 +29,9 @@ SHORTEST = 5
 MIN_EQUAL = 10
 MIN_SHARE = 0.8
 BLOCK_WORDS = 2_000_000
+#: Stand before and behind each text and each item, so that windows reach over their ends; they equal nothing.
+PAD = WINDOW - MIN_EQUAL
+TEXT_PAD, ITEM_PAD = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 WORD_PATTERN = re.compile(r"\w+")
 
 
@@ -86,17 +89,18 @@ class Seeds:
         for i, flat in enumerate(words):
             if len(flat) < SHORTEST:
                 continue
-            width, masks = (WINDOW, MASKS) if len(flat) >= WINDOW else (len(flat), (tuple(range(len(flat))),))
-            for found in seeds_at(flat, width, masks):
+            whole = len(flat) < MIN_EQUAL  # all words must be equal
+            width, masks = (len(flat), (tuple(range(len(flat))),)) if whole else (WINDOW, MASKS)
+            for found in seeds_at(flat if whole else np.pad(flat, PAD, constant_values=ITEM_PAD), width, masks):
                 hashes.append(found)
                 item.append(np.full(len(found), i, np.int32))
-                position.append(np.arange(len(found), dtype=np.int32))
+                position.append(np.arange(len(found), dtype=np.int32) - (0 if whole else PAD))
         all_hashes = np.concatenate(hashes)
         order = np.argsort(all_hashes, kind="stable")
         bits = min(28, max(16, int(16 * len(all_hashes) + 1).bit_length()))
         table = np.zeros(1 << bits, bool)
         table[all_hashes >> np.uint64(64 - bits)] = True
-        widths = sorted({WINDOW if len(w) >= WINDOW else len(w) for w in words if len(w) >= SHORTEST})
+        widths = sorted({WINDOW if len(w) >= MIN_EQUAL else len(w) for w in words if len(w) >= SHORTEST})
         return Seeds(items, words, widths, bits, table, all_hashes[order], np.concatenate(item)[order], np.concatenate(position)[order])
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,10 +119,11 @@ class Seeds:
 
     def overlaps(self, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word in the text, words, equal words): the best overlap for each pair."""
-        spots, item, position = self.candidates(words)
-        text = np.searchsorted(ends, spots, side="right")
         starts = np.concatenate([[0], ends[:-1]])
-        spots = spots - starts[text] if len(spots) else spots
+        before = 2 * PAD * np.arange(len(ends))
+        spots, item, position = self.candidates(np.insert(words, np.repeat(np.stack([starts, ends], axis=1).ravel(), PAD), TEXT_PAD))
+        text = np.searchsorted(ends + before + 2 * PAD, spots, side="right")
+        spots = spots - (starts + before)[text] - PAD if len(spots) else spots
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         # One alignment for each text, item and shift; windows that reach over a text's end fail here.
         for t, i, shift in np.unique(np.stack([text, item, spots - position], axis=1), axis=0).tolist() if len(spots) else []:
@@ -162,8 +167,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     """``doc_id, item_id, first_word, n_words, n_equal``: the best overlap of each document and item.
 
     An overlap counts with 10 equal words (all, for a shorter item) and at least 0.8 of the words
-    equal. Items of under 5 words are too little evidence and never match; of 5 to 11 words, only the
-    whole item does. Null and empty texts overlap with nothing; repeated rows give repeated results.
+    equal, at the ends of texts and items as well. Items of under 5 words are too little evidence and
+    never match; of 5 to 9 words, only the whole item does. Null and empty texts overlap with nothing; repeated rows give repeated results.
     The documents are read once for each block of items; nothing of them is shuffled.
     """
     small_batches(docs.sparkSession)
