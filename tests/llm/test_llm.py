@@ -446,6 +446,15 @@ def test_near_copies_of_odd_rows(spark, odd, empty):
     assert nearcopies.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, nearcopies.one_of_each])
+def test_other_texts_of_one_id_stay(spark, one_of_each):
+    rng = random.Random(12)
+    a, b, c = (" ".join(rng.choices([f"w{k}" for k in range(900)], k=80)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (3, a)]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b), (3, c)])
+
+
 # Top-k
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from widecast.llm.common import pieces, small_batches, stored, texts_of
+from widecast.llm.common import fresh, pieces, small_batches, stored, texts_of
 
 BITS = 64
 SHINGLE = 4
@@ -305,11 +305,15 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which no group has more than one: its smallest id.
 
-    Of repeated rows with that id one stays. Rows with a null id all stay, since nothing names them.
+    Of repeated rows with that id and text one stays, of several texts with that id in the group one text;
+    rows of one id in different groups all stay. Rows with a null id all stay, since nothing names them.
     """
-    kept = groups(docs, doc_id, text, budget).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.filter(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").select(docs.columns)
-    return named.dropDuplicates([doc_id]).unionAll(docs.filter(F.col(doc_id).isNull()))
+    own, named = fresh(docs, "text_hash"), F.col(doc_id).isNotNull()
+    hashed = docs.withColumn(own, F.xxhash64(F.col(text).cast("string")))
+    rows = hashed.select(F.when(named, F.struct(F.col(doc_id).alias("id"), F.col(own).alias("text_hash"))).alias("doc_id"), F.col(text).alias("text"))
+    kept = groups(rows, budget=budget).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias(doc_id), F.col("doc_id.text_hash").alias(own)).distinct()
+    one = hashed.filter(named).join(kept, [doc_id, own], "left_semi").dropDuplicates([doc_id, own]).select(docs.columns)
+    return one.unionAll(docs.filter(~named))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
