@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widecast.llm import bytebpe, decontaminate, html_text, langid, quality, repair, shards, simhash, topk, toxicity
+from widecast.llm import bytebpe, conversations, decontaminate, html_text, langid, perplexity, quality, repair, resample, shards, simhash, topk, toxicity
 from widecast.llm.common import id_crc, table
 
 END_ID = 2
@@ -85,6 +85,28 @@ def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT_SCORE).cast("int").alias("predicted"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five documents in a hundred, drawn by their likeness to the benchmark's texts."""
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by a checksum of its rows' keys."""
+    rows = table(spark, sf_dir, "conversations")
+    report = conversations.Repair(conversations.damage(rows)).report
+    numbers, words = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"], ["audit", "repaired_sha256"]
+    every = conversations.same(rows.select("conv_id").distinct(), report, [*numbers, *words])
+    # Conversations that lost all rows.
+    return every.fillna(0, numbers).fillna({"audit": "", "repaired_sha256": conversations.NO_ROWS_SHA256})
+
+
+def op13_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document, perplexity bands of its language among them."""
+    judged = perplexity.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *perplexity.BASE, "base_failed", "kept", "entropy")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -94,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUNS = (
     op1_repair_token_files, op2_byte_bpe, op3_decontaminate, op4_language_id, op5_main_text, op6_stratified_shards, op7_simhash_groups,
-    op8_exact_topk, op9_pairwise_quality, op10_weak_toxicity, pipeline,
+    op8_exact_topk, op9_pairwise_quality, op10_weak_toxicity, op11_importance_resample, op12_conversation_repair, op13_perplexity_rules, pipeline,
 )
 QUERIES = {f.__name__: f for f in RUNS}
 
