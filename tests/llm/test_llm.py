@@ -67,12 +67,17 @@ def key(row):
 # Re-Pair files
 
 
+def text_hash(text):
+    """The hash that orders rows of one id; a null text has the seed."""
+    return 42 if text is None else int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64))
+
+
 def expected_files(rows):
     tokenizer = Tokenizer.from_file(WORDS)
     tokenizer.encode_special_tokens = True
     out, start = [], 0
-    made = [(d, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], np.uint32)) for d, t in rows]
-    for d, ids in sorted(made, key=lambda r: (r[0] is not None, r[0] or 0, r[1].astype("<u2").tobytes())):
+    made = [(d, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], np.uint32), text_hash(t)) for d, t in rows]
+    for d, ids, _ in sorted(made, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
         out.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     return out

@@ -8,21 +8,24 @@ are ids. Pairs never reach over the end of a document, so every document is a ru
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from widecast.llm.common import ChunkTable, binaries, gather, pieces, remembered, scratch, small_batches, texts_of
+from widecast.llm.common import binaries, flat_bytes, gather, pieces, remembered, scratch, small_batches
 
 BLOCK_IDS = 1_000_000
 PART_BYTES = 32 << 20
-MOST_PARTS = 20_000
+#: A part has at least so many times the root of the table's bytes: a quarter of a GB at 100 TB.
+GROWTH = 25
+REMEMBERED = 1_000_000
 MIN_COUNT = 4
 PAIRS_A_ROUND = 10_000
 #: A chunk of unaccented or precomposed Latin letters and closing signs is two pieces to any normaliser.
@@ -35,6 +38,167 @@ FILE_SCHEMA = (
 )
 
 
+class Chunks:
+    """Values of byte strings, remembered in arrays: an open hash table of verified entries.
+
+    A string's hash is a difference of prefix sums of its bytes times powers of an odd number, so all
+    strings of a buffer are hashed at once. Entries are compared byte by byte. At a bound of entries
+    the quarter that was met most often stays; results do not depend on it.
+    """
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+    LONGEST = 256  # longer strings are not remembered
+    SPAN = 1 << 21  # bytes hashed at once
+
+    def __init__(self, values_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = REMEMBERED) -> None:
+        self.values_of, self.dtype, self.most = values_of, dtype, most
+        self.bits = (2 * most).bit_length()
+        n = self.SPAN + self.LONGEST + 1
+        inverse = pow(self.BASE, -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.BASE, np.uint64)]), dtype=np.uint64)
+            self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse, np.uint64)]), dtype=np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.n = 0
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.hits, self.sizes, self.starts, self.lengths, self.offsets = (np.zeros(1 << 12, np.int64) for _ in range(5))
+        self.bytes, self.byte_count = np.zeros(1 << 16, np.uint8), 0
+        self.values, self.value_count = np.zeros(1 << 16, self.dtype), 0
+
+    def hashed(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hashes of short strings in order of their places, which lie within ``SPAN`` bytes."""
+        low = int(starts[0])
+        part = data[low : int(starts[-1] + sizes[-1])]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * self.powers[: len(part)], out=sums[1:])
+        at = starts - low
+        h = (sums[at + sizes] - sums[at]) * self.inverses[at] + sizes.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+    def same(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which strings are those of their entries."""
+        out = self.sizes[entry] == sizes
+        some = np.flatnonzero(out)
+        if len(some):
+            equal = gather(self.bytes, self.offsets[entry[some]], sizes[some]) == gather(data, starts[some], sizes[some])
+            ends = np.cumsum(sizes[some])
+            out[some] = np.diff(np.concatenate([[0], np.cumsum(equal)])[ends], prepend=0) == sizes[some]
+        return out
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        mask = (1 << self.bits) - 1
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        entry = self.slots[at].astype(np.int64)
+        live = np.flatnonzero((entry >= 0) & (self.hashes[entry] != hashes))
+        while len(live):
+            at[live] = (at[live] + 1) & mask
+            entry[live] = self.slots[at[live]]
+            live = live[(entry[live] >= 0) & (self.hashes[entry[live]] != hashes[live])]
+        return entry
+
+    def place(self, hashes: np.ndarray, first: int) -> None:
+        """Put new entries, of different hashes, into free slots."""
+        mask = (1 << self.bits) - 1
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        live = np.arange(len(hashes))
+        while len(live):
+            free = live[self.slots[at[live]] < 0]
+            self.slots[at[free]] = first + free
+            live = live[self.slots[at[live]] != first + live]
+            at[live] = (at[live] + 1) & mask
+
+    def store(self, hashes: np.ndarray, raw: np.ndarray, sizes: np.ndarray, flat: np.ndarray, lengths: np.ndarray, hits: np.ndarray | None = None) -> None:
+        first, m = self.n, len(hashes)
+        for name in ("hashes", "hits", "sizes", "starts", "lengths", "offsets"):
+            held = getattr(self, name)
+            if len(held) < first + m:
+                setattr(self, name, np.concatenate([held, np.zeros(max(len(held), m), held.dtype)]))
+        if len(self.bytes) < self.byte_count + len(raw):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), len(raw)), np.uint8)])
+        if len(self.values) < self.value_count + len(flat):
+            self.values = np.concatenate([self.values, np.zeros(max(len(self.values), len(flat)), self.dtype)])
+        here = slice(first, first + m)
+        self.hashes[here], self.sizes[here], self.lengths[here] = hashes, sizes, lengths
+        self.offsets[here] = self.byte_count + np.cumsum(sizes) - sizes
+        self.starts[here] = self.value_count + np.cumsum(lengths) - lengths
+        self.hits[here] = 0 if hits is None else hits
+        self.bytes[self.byte_count : self.byte_count + len(raw)] = raw
+        self.values[self.value_count : self.value_count + len(flat)] = flat
+        self.n, self.byte_count, self.value_count = first + m, self.byte_count + len(raw), self.value_count + len(flat)
+        self.place(hashes, first)
+
+    def forget(self) -> None:
+        kept = np.sort(np.argpartition(-self.hits[: self.n], self.n // 4)[: self.n // 4])
+        held = [x[kept] for x in (self.hashes, self.sizes, self.lengths, self.hits)]
+        raw, flat = gather(self.bytes, self.offsets[kept], held[1]), gather(self.values, self.starts[kept], held[2])
+        self.clear()
+        self.store(held[0], raw, held[1], flat, held[2], held[3] // 2)
+
+    def short(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of short strings that lie within ``SPAN`` bytes, and their numbers."""
+        if self.n > self.most:
+            self.forget()
+        hashes = self.hashed(data, starts, sizes)
+        entry = self.find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            _, at = np.unique(hashes[new], return_index=True)
+            chosen = np.sort(new[at])
+            raw = gather(data, starts[chosen], sizes[chosen])
+            self.store(hashes[chosen], raw, sizes[chosen], *self.values_of(sliced(raw, sizes[chosen])))
+            entry[new] = self.find(hashes[new])
+        self.hits[: self.n] += np.bincount(entry, minlength=self.n)
+        lengths, at = self.lengths[entry], self.starts[entry]
+        flat = gather(self.values, at, lengths)
+        wrong = np.flatnonzero(~self.same(entry, data, starts, sizes))
+        if len(wrong):  # another string of the same hash
+            flat, lengths = spliced(flat, lengths, wrong, *self.values_of(sliced(gather(data, starts[wrong], sizes[wrong]), sizes[wrong])))
+        return flat, lengths
+
+    def values_at(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all strings, one after the other, and the number of each one's values."""
+        long = np.flatnonzero(sizes > self.LONGEST)
+        some = np.flatnonzero(sizes <= self.LONGEST)
+        span = (starts[some] - (starts[some[0]] if len(some) else 0)) // self.SPAN
+        cuts = np.flatnonzero(np.diff(span)) + 1
+        parts = [self.short(data, starts[k], sizes[k]) for k in np.split(some, cuts) if len(k)]
+        flat = np.concatenate([np.zeros(0, self.dtype), *(f for f, _ in parts)])
+        lengths = np.zeros(len(starts), np.int64)
+        lengths[some] = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        if len(long):
+            flat, lengths = spliced(flat, lengths, long, *self.values_of(sliced(gather(data, starts[long], sizes[long]), sizes[long])))
+        return flat, lengths
+
+
+def sliced(raw: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Byte strings that lie one after the other."""
+    whole, ends = raw.tobytes(), np.cumsum(sizes).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def spliced(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` with those at ``at`` exchanged for runs of ``other``."""
+    starts, ends = np.cumsum(lengths) - lengths, lengths.copy()
+    starts[at], ends[at] = len(flat) + np.cumsum(sizes) - sizes, sizes
+    return gather(np.concatenate([flat, other]), starts, ends), ends
+
+
+def chunk_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes between blanks, newlines and the texts' ends: starts, sizes, and how many come before each text's end."""
+    inside = (data != 32) & (data != 10)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    starts = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | cut[:-1]))
+    stops = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | cut[1:])) + 1
+    return starts, stops - starts, np.searchsorted(starts, bounds[1:], side="left")
+
+
 class TextIds:
     """Ids of texts by the ``tokenizers`` library, which is asked once for each distinct piece."""
 
@@ -51,21 +215,23 @@ class TextIds:
         if suffix:
             self.closes = np.zeros(self.size, bool)
             self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.parts = ChunkTable(self.library, np.uint32)
-        self.chunks = ChunkTable(self.split, np.uint32)
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.parts = Chunks(self.library, self.kind, REMEMBERED // 2)
+        self.chunks = Chunks(self.split, self.kind)
 
-    def library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Plain words go in long strings, cut again where an id closes a word; all else one by one."""
-        plain = np.array([self.closes is not None and WORD.fullmatch(p) is not None for p in parts], bool)
-        words = [p for p, x in zip(parts, plain) if x]
-        others = [p for p, x in zip(parts, plain) if not x]
+        texts = [p.decode() for p in parts]
+        plain = np.array([self.closes is not None and WORD.fullmatch(p) is not None for p in texts], bool)
+        words = [p for p, x in zip(texts, plain.tolist()) if x]
+        others = [p for p, x in zip(texts, plain.tolist()) if not x]
         joined = [" ".join(words[i : i + WORDS_PER_CALL]) for i in range(0, len(words), WORDS_PER_CALL)]
         found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        flat = np.fromiter((i for e in found for i in e.ids), np.uint32)
+        flat = np.concatenate([np.zeros(0, self.kind), *(np.array(e.ids, self.kind) for e in found)])
         ends = np.flatnonzero(self.closes[flat]) + 1 if len(words) else np.zeros(0, np.int64)
         if len(ends) != len(words):
             raise ValueError("the vocabulary doesn't close each word")
-        rest = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        rest = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         lengths = np.zeros(len(parts), np.int64)
         lengths[plain] = np.diff(ends, prepend=0)
         lengths[~plain] = [len(x) for x in rest]
@@ -74,43 +240,32 @@ class TextIds:
         starts[~plain] = len(flat) + np.cumsum(lengths[~plain]) - lengths[~plain]
         return gather(np.concatenate([flat, *rest]), starts, lengths), lengths
 
-    def split(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def split(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words in small letters and the signs behind them apart, since each repeats in many chunks."""
         parts = []
         for chunk in chunks:
-            m = SIMPLE.fullmatch(chunk)
-            parts += (m[1].lower(), m[2]) if m else (chunk, "")
-        flat, lengths = self.parts.values_of(parts)
+            m = SIMPLE.fullmatch(text := chunk.decode())
+            parts += (m[1].lower().encode(), m[2].encode()) if m else (chunk, b"")
+        del text
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat, lengths = self.parts.values_at(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes)
         return flat, lengths.reshape(-1, 2).sum(axis=1)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.chunks.encode(texts)
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), and where each text's ids end."""
+        data, bounds = flat_bytes(column)
+        starts, sizes, upto = chunk_places(data, bounds)
+        flat, lengths = self.chunks.values_at(data, starts, sizes)
+        return flat, np.concatenate([[0], np.cumsum(lengths)])[upto]
 
 
 def text_ids(path: str) -> TextIds:
     return remembered(("text ids", path), lambda: TextIds(path))
 
 
-def encode(df: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", bounds: Sequence = ()) -> DataFrame:
-    """``part, doc_id, ids``: ids of every whole text, with ``end_id`` behind; null texts count as empty.
-
-    ``part`` counts the ``bounds`` below the document's id (0 for a null id). ``ids`` is binary, little-endian, of 16-bit words if the vocabulary allows it, else of 32.
-    """
-    small_batches(df.sparkSession)
-    wide = text_ids(path).size > 1 << 16 or end_id >= 1 << 16
-    ready = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, edges = text_ids(path), np.array(bounds)
-        for batch in pieces(batches):
-            flat, ends = kept.encode(texts_of(batch))
-            out = np.insert(flat, ends, end_id).astype(np.uint32 if wide else np.uint16)
-            doc_ids = batch.column("doc_id")
-            part = np.zeros(len(batch), np.int32)
-            if len(edges):
-                part[np.asarray(doc_ids.is_valid())] = np.searchsorted(edges, doc_ids.drop_null().to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(part), doc_ids, binaries(out, ends + np.arange(1, len(ends) + 1))], names=["part", "doc_id", "ids"])
-
-    return ready.mapInArrow(run, f"part int, doc_id {ready.schema['doc_id'].dataType.simpleString()}, ids binary")
+def with_ends(flat: np.ndarray, ends: np.ndarray, end_id: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with ``end_id`` behind each text's."""
+    return np.insert(flat.astype(kind), ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
 def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_COUNT):
@@ -224,68 +379,71 @@ def expand_span(symbols: np.ndarray, base: int, rules: np.ndarray, spans: np.nda
     return expand(symbols[first:beyond], base, rules, spans)[start - before : stop - before]
 
 
-def parts_of(df: DataFrame, id_column: str, text_column: str, part_bytes: int) -> tuple[int, list]:
-    """Number of parts by the table's bytes, and the ids that separate them."""
-    size = df.agg(F.sum(F.octet_length(F.col(text_column).cast("string"))).alias("bytes")).first()["bytes"] or 0
-    parts = int(min(MOST_PARTS, max(1, -(-size // part_bytes))))
-    if parts == 1:
-        return 1, []
-    shares = [i / parts for i in range(1, parts)]
-    bounds = df.agg(F.percentile_approx(id_column, shares, 20 * parts).alias("bounds")).first()["bounds"]
-    return parts, sorted(set(bounds or []))
+def number_of_parts(df: DataFrame, part_bytes: int) -> int:
+    """Parts of ``part_bytes`` of text. Of very large tables both the number and the size of parts grow."""
+    size = df.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    return max(1, -(-size // max(part_bytes, GROWTH * math.isqrt(size))))
 
 
 def write(df: DataFrame, path: str, folder: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", block_ids: int = BLOCK_IDS, part_bytes: int = PART_BYTES) -> None:
     """Write the ids of all texts to ``folder`` in ascending id order.
 
-    Rows go to parts by id (bounds from the ids alone), are sorted inside a part (null ids first,
-    equal ids by their token ids) and compressed in blocks of about ``block_ids`` ids, which bounds
-    memory whatever a part holds; a longer document is a block of its own. An empty table gives an
-    empty folder of files.
+    Texts are dealt out by ranges of their ids, of any type that has an order, null ids first; rows of one
+    id are in the order of their text's hash, so also a null or repeated id is dealt over many tasks.
+    Each task encodes its texts in that order and compresses them in blocks of about ``block_ids`` ids,
+    which bounds memory whatever a part holds; a longer document is a block of its own. Null texts count
+    as empty. An empty table gives an empty folder of files.
     """
-    parts, bounds = parts_of(df, id_column, text_column, part_bytes)
-    ready = encode(df, path, end_id, id_column, text_column, bounds)
+    small_batches(df.sparkSession)
+    ready = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    parts = number_of_parts(ready, part_bytes)
     base = max(text_ids(path).size, end_id + 1)
-    wide = text_ids(path).size > 1 << 16 or end_id >= 1 << 16
+    ids_kind = np.uint32 if base > 1 << 16 else np.uint16
     kind = ready.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in FILE_SCHEMA.split(", ")]
-        held: list[tuple] = []
+        held_ids: list = []
+        held: list[np.ndarray] = []
         state = {"ids": 0, "part": None, "block": 0, "start": 0}
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), np.uint32 if wide else np.uint16)
-            ends = np.cumsum([len(x) // (4 if wide else 2) for _, x in held])
+            ids = np.concatenate(held)
+            ends = np.cumsum([len(x) for x in held])
             last = np.zeros(len(ids), bool)
             last[ends - 1] = True
             symbols, marks, rules, spans = compress(ids, last, base)
-            row = [state["part"], state["block"], state["start"], len(ids), base, [d for d, _ in held], ends.astype(np.uint32).tobytes(), (np.flatnonzero(marks) + 1).astype(np.uint32).tobytes(), rules.tobytes(), spans.tobytes(), symbols.tobytes()]
+            row = [state["part"], state["block"], state["start"], len(ids), base, list(held_ids), ends.astype(np.uint32).tobytes(), (np.flatnonzero(marks) + 1).astype(np.uint32).tobytes(), rules.tobytes(), spans.tobytes(), symbols.tobytes()]
             state.update(block=state["block"] + 1, start=state["start"] + len(ids), ids=0)
             held.clear()
+            held_ids.clear()
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(id_type), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
-        for batch in batches:
+        kept = text_ids(path)
+        for batch in pieces(batches):
             id_type = batch.schema.field("doc_id").type
-            for part, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
-                size = len(ids) // (4 if wide else 2)
-                if held and (state["ids"] + size > block_ids or part != state["part"]):
+            flat, ends = with_ends(*kept.encode(batch.column("text")), end_id, ids_kind)
+            for part, doc_id, start, stop in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                if held and (state["ids"] + stop - start > block_ids or part != state["part"]):
                     yield block()
                 if part != state["part"]:
                     state.update(part=part, block=0, start=0)
-                held.append((doc_id, ids))
-                state["ids"] += size
+                held.append(flat[start:stop])
+                held_ids.append(doc_id)
+                state["ids"] += stop - start
         if held:
             yield block()
 
-    placed = ready.repartitionById(parts, F.col("part"))
-    sorted_rows = placed.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    sorted_rows.mapInArrow(run, FILE_SCHEMA.format(kind=kind)).write.mode("overwrite").parquet(folder)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    # Rows equal in both are one text repeated; a number of their own lets the ranges part them too.
+    dealt = ready.withColumn("own", F.monotonically_increasing_id()).repartitionByRange(parts, *order, F.col("own"))
+    placed = dealt.sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    placed.mapInArrow(run, FILE_SCHEMA.format(kind=kind)).write.mode("overwrite").parquet(folder)
 
 
 def part_starts(files: DataFrame) -> DataFrame:
-    """Where each part starts in the whole; reads two columns and gives at most ``MOST_PARTS`` rows."""
+    """Where each part starts in the whole; reads two columns and gives a row for each part."""
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))

@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from widecast.llm.common import pieces, remembered, small_batches, stored
+from widecast.llm.common import flat_bytes, pieces, remembered, small_batches, stored
 
 BUCKETS = 10_000
 LEAST_WORDS = 20
@@ -103,17 +102,6 @@ def crc() -> Crc:
     return remembered(("crc",), Crc)
 
 
-def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text column (null: none), and where each text starts and the last ends."""
-    full = pc.fill_null(column.cast(pa.large_string()), "")
-    if len(full) == 0:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = full.buffers()
-    ends = np.frombuffer(offsets, np.int64)[full.offset : full.offset + len(full) + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[ends[0] : ends[-1]], ends - ends[0]
-
-
 def words_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes with A-Z as a-z, where words start, their lengths, and how many words come before each text's end.
 
@@ -153,12 +141,12 @@ def feature_buckets(raw: np.ndarray, bounds: np.ndarray, buckets: int) -> Iterat
         m = high - low
         state = own ^ table.over(np.full(len(own), ONES), size)
         found, there = np.zeros((3, m), np.int64), np.zeros((3, m), bool)
-        found[0], there[0] = (state[:m] ^ ONES) % np.uint32(buckets), True
+        found[0], there[0] = (state[:m] ^ ONES).astype(np.int64) % buckets, True
         for k in (1, 2):
             more = max(0, len(own) - k)
             state = table.over(table.behind(state[:more], 32), size[k : k + more]) ^ own[k : k + more]
             some = min(m, more)
-            found[k, :some] = (state[:some] ^ ONES) % np.uint32(buckets)
+            found[k, :some] = (state[:some] ^ ONES).astype(np.int64) % buckets
             there[k, :some] = of[:some] == of[k : k + some]
         yield low, found, there, ends
     if n == 0:
