@@ -43,7 +43,7 @@ def test_sparse_sums_agree_with_dense_ones(monkeypatch):
     def cells(dense, loose):
         monkeypatch.setattr(walk, "DENSE_CELLS", dense)
         monkeypatch.setattr(walk, "LOOSE_CELLS", loose)
-        made = walk.gradient_sums(start, [], [(c, *empty) for c in range(2)], 0, 1, [[0, 1], [0, 1]], sizes, 2)
+        made = walk.gradient_sums(start, [(c, *empty) for c in range(2)], 0, [[0, 1], [0, 1]], sizes, 2)
         found = {}
         for out in made(iter([batch.slice(i, 500) for i in range(0, n, 500)])):
             for row in zip(*(c.to_pylist() for c in out.columns)):

@@ -7,9 +7,10 @@ saved ``pyspark.ml`` stages. One tree level, for all classes together, is one Sp
 2. the partial sums are grouped, and cumulative window sums give each candidate split's gain;
 3. the best split per (class, node) comes back: at most classes x 2^level rows.
 
-So a round costs ``depth`` passes over the binned table whatever the class count, the shuffle holds
-sums and never rows, and no row state is rewritten between passes: margins are recomputed from the
-trees grown since the last stored state, which is replaced every ``checkpoint_interval`` rounds.
+So a round costs ``depth`` passes over the binned table whatever the class count, and the shuffle holds
+sums and never rows. Rows carry their margins, brought up to date once a round, so a level costs the same
+however many trees there are; every ``checkpoint_interval`` rounds the rows are stored. Of two sibling
+nodes only the one with fewer rows is summed, and the other's sums are their parent's less those.
 
 ``gradient`` mode splits on the variance of the residuals and sets leaves by one Newton step
 (Friedman 2001); ``newton`` mode uses second-order gains and leaves (Chen & Guestrin 2016).
@@ -25,18 +26,27 @@ from typing import Any, ClassVar
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Bucketizer, SQLTransformer, StringIndexer, StringIndexerModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.ml.feature import Bucketizer, SQLTransformer
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from widecast.functions import columns as C
 from widecast.operators.encode import category_sql, number_sql, quoted
+from widecast.operators.levels import Levels
 from widecast.operators.learner import Learner, Model, label_classes, with_prediction
 from widecast.operators.sample import column_sample, row_sample
 from widecast.operators.walk import BINS, bin_set, gradient_sums, joined_sets, margins_from_prior, margins_from_stored, walk
-from widecast.session import cut_lineage
+from widecast.session import cut_lineage, written
 from widecast.sources.models import read_meta, write_meta
 from widecast.spec import TableSpec
 
+SKETCH_COLUMNS = 100
+SKETCH_TASKS = 64
+SKETCH_POINTS = 2_000
+SKETCH_ACCURACY = 10_000
+#: One step of a sketch's points, and the sketch's own error.
+RANK_ERROR = 1 / SKETCH_POINTS + 1 / SKETCH_ACCURACY
+MIDDLE_TASKS = 64  # tasks whose sums are added before the final sums
+WIDE_BINS = 20_000  # more bins than that of a column are sorted over several tasks; at most 2^15, a bitmap
 MAX_BINS = 62  # of a numeric column, with the one for missing values; a category has one for each level
 TREE_SCHEMA = T.StructType(
     [
@@ -57,74 +67,91 @@ SUMS_SCHEMA = "class int, node int, feature int, bin int, g double, h double, n
 
 
 def bin_edges(df: DataFrame, numeric: Sequence[str], bins: int) -> dict[str, list[float]]:
-    """Inner bin edges of all numeric columns from one pass of mergeable quantile sketches."""
-    if not numeric:
-        return {}
+    """Inner bin edges of all numeric columns: values at equal steps of rank, up to ``RANK_ERROR`` of the rows off.
+
+    Each column is sketched by groups of ``SKETCH_TASKS`` tasks. A column's sketches are merged as one
+    list of values, each with the weight of the rows it stands for, so the largest task of the merge reads
+    one column's sketches.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    points = [i / bins for i in range(1, bins)]
-    row = df.agg(
-        *[F.percentile_approx(C.clean_number(c, types[c]), points, 10_000).alias(f"q{i}") for i, c in enumerate(numeric)]
-    ).first()
-    return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(numeric)}
+    known: dict[str, list[float]] = {c: [] for c in numeric}
+    points = [i / SKETCH_POINTS for i in range(1, SKETCH_POINTS + 1)]
+    # Above some hundred groups Spark would sort the rows instead of keeping a sketch for each.
+    for at in range(0, len(numeric), SKETCH_COLUMNS):
+        some = numeric[at : at + SKETCH_COLUMNS]
+        values = F.array(*[F.struct(F.lit(i).alias("feature"), C.clean_number(c, types[c]).alias("value")) for i, c in enumerate(some)])
+        rows = df.select(F.floor(F.spark_partition_id() / SKETCH_TASKS).alias("tasks"), F.explode(values).alias("v")).select("tasks", "v.*")
+        sketches = rows.filter("value IS NOT NULL").groupBy("feature", "tasks").agg(F.percentile_approx("value", points, SKETCH_ACCURACY).alias("q"), F.count("*").alias("n"))
+        upto = Window.partitionBy("feature").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        weights = sketches.select("feature", "n", F.explode("q").alias("value")).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+        steps = weights.select("feature", "value", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy("feature")).alias("all"))
+        crossed = f"(upto - n) * {bins} div all < least(upto * {bins} div all, {bins - 1})"
+        for r in steps.filter(crossed).select("feature", "value").collect():  # fewer than ``bins`` rows for each column
+            known[some[r["feature"]]].append(r["value"])
+    return {c: sorted(v) for c, v in known.items()}
 
 
-def bin_counts(stages: Sequence) -> list[int]:
-    """Number of bins of every predictor, the one for missing values included, from the binner's stages."""
-    numbers = [len(s) for stage in stages if isinstance(stage, Bucketizer) for s in stage.getSplitsArray()]
-    return numbers + [len(labels) + 1 for stage in stages if isinstance(stage, StringIndexerModel) for labels in stage.labelsArray]
+@dataclass
+class Binner:
+    """Adds ``__bins``: one small integer per predictor, 0 for missing or unseen.
 
+    Numbers fall between edges; every level of a category has a bin of its own, numbered by frequency
+    in a stored table that is joined to the rows.
+    """
 
-def fit_binner(
-    df: DataFrame, spec: TableSpec, max_bins: int = MAX_BINS, edges: Mapping[str, Sequence[float]] | None = None
-) -> PipelineModel:
-    """Stages that add ``__bins``: one small integer per predictor, 0 for missing or unseen.
+    numeric: list[str]
+    numbers: PipelineModel
+    levels: Levels
 
-    Numbers fall between quantile edges, ``max_bins`` at most. Every level of a category has a bin of
-    its own, numbered by frequency.
-    """
+    @property
+    def sizes(self) -> list[int]:
+        """Number of bins of every predictor, the one for missing values included."""
+        splits = [len(s) for stage in self.numbers.stages if isinstance(stage, Bucketizer) for s in stage.getSplitsArray()]
+        return splits + [n + 1 for n in self.levels.sizes.values()]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        marks = {c: f"__i{i}" for i, c in enumerate(self.levels.texts)}
+        binned = self.levels.indexed(self.numbers.transform(df), marks)
+        slots = [f"coalesce(`__b{i}` + 1, 0)" for i in range(len(self.numeric))] + [f"coalesce(`{m}` + 1, 0)" for m in marks.values()]
+        whole = "SMALLINT" if max(self.sizes, default=0) < 2**15 else "INT"
+        return binned.selectExpr(*map(quoted, df.columns), f"array({', '.join(f'CAST({s} AS {whole})' for s in slots)}) AS {BINS}")
+
+    def meta(self) -> dict[str, Any]:
+        return {"numeric": self.numeric, "levels": [[c, e, self.levels.sizes[c]] for c, e in self.levels.texts.items()]}
+
+    def save(self, path: str) -> None:
+        self.numbers.write().overwrite().save(f"{path}/numbers")
+        self.levels.save(f"{path}/levels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, meta: Mapping[str, Any]) -> Binner:
+        levels = Levels.load(spark, f"{path}/levels", {c: e for c, e, _ in meta["levels"]}, {c: n for c, _, n in meta["levels"]})
+        return cls(meta["numeric"], PipelineModel.load(f"{path}/numbers"), levels)
+
+
+def fit_binner(df: DataFrame, spec: TableSpec, max_bins: int = MAX_BINS, edges: Mapping[str, Sequence[float]] | None = None) -> Binner:
+    """Learn the edges of numeric columns, for ``max_bins`` bins at most, and the levels of categories."""
     if max_bins < 3:
         raise ValueError("max_bins must be 3 or more")
     numeric, categorical = spec.numeric, spec.categorical
     types = {f.name: f.dataType for f in df.schema.fields}
     known = dict(edges or {})
     known |= bin_edges(df, [c for c in numeric if c not in known], max_bins - 1)
-    made: list[str] = []
-    first, stages, slots = [], [], {}
-    for i, c in enumerate(numeric):
-        first.append(f"{number_sql(c)} AS `__x{i}`")
-        made += [f"__x{i}", f"__b{i}"]
-        slots[c] = f"coalesce(`__b{i}` + 1, 0)"
-    for i, c in enumerate(categorical):
-        first.append(f"{category_sql(c, types[c])} AS `__c{i}`")
-        made += [f"__c{i}", f"__i{i}"]
-    stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(first)} FROM __THIS__"))
+    stages: list = []
     if numeric:
         inf = float("inf")
-        stages.append(
+        stages = [
+            SQLTransformer(statement=f"SELECT *, {', '.join(f'{number_sql(c)} AS `__x{i}`' for i, c in enumerate(numeric))} FROM __THIS__"),
             Bucketizer(
                 inputCols=[f"__x{i}" for i in range(len(numeric))],
                 outputCols=[f"__b{i}" for i in range(len(numeric))],
                 # Spark wants at least three splits; a constant column gets one harmless edge.
                 splitsArray=[[-inf, *(known[c] or [0.0]), inf] for c in numeric],
                 handleInvalid="keep",
-            )
-        )
-    if categorical:
-        indexer = StringIndexer(
-            inputCols=[f"__c{i}" for i in range(len(categorical))],
-            outputCols=[f"__i{i}" for i in range(len(categorical))],
-            stringOrderType="frequencyDesc",
-            handleInvalid="keep",
-        ).fit(stages[0].transform(df))
-        stages.append(indexer)
-        for i, (c, levels) in enumerate(zip(categorical, indexer.labelsArray)):
-            slots[c] = f"CASE WHEN `__i{i}` >= {len(levels)} THEN 0 ELSE `__i{i}` + 1 END"
-    whole = "SMALLINT" if max(bin_counts(stages), default=0) < 2**15 else "INT"
-    gathered = ", ".join(f"CAST({slots[c]} AS {whole})" for c in [*numeric, *categorical])
-    dropped = ", ".join(quoted(m) for m in made)
-    stages.append(SQLTransformer(statement=f"SELECT *, array({gathered}) AS {BINS} FROM __THIS__"))
-    stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__"))
-    return Pipeline(stages=stages).fit(df)
+            ),
+        ]
+    levels = Levels.learn(df, {c: category_sql(c, types[c]) for c in categorical}, by_frequency=True)
+    return Binner(list(numeric), Pipeline(stages=stages).fit(df), levels)
 
 
 # ---------------------------------------------------------------- trees
@@ -178,43 +205,69 @@ def margin_column(spark: SparkSession, prior: Sequence[float], trees: Sequence[T
 # ---------------------------------------------------------------- one level
 
 
+def combined(sums: DataFrame, tasks: int, least: float) -> DataFrame:
+    """One row for each (class, node, column, bin), dealt out by column.
+
+    Of very many tasks, the sums of some are added first, so that no column waits for one task to read
+    them all. What is left of a difference of equal sums has less weight than any row, and goes.
+    """
+    measures = [F.sum(c).alias(c) for c in "ghn"]
+    if tasks > MIDDLE_TASKS:
+        some = sums.withColumn("tasks", F.floor(F.spark_partition_id() / MIDDLE_TASKS))
+        sums = some.repartition("class", "node", "feature", "tasks").groupBy("class", "node", "feature", "bin", "tasks").agg(*measures)
+    # One exchange by column serves the grouping and the windows.
+    whole = sums.repartition("class", "node", "feature").groupBy("class", "node", "feature", "bin").agg(*measures)
+    return whole.filter(F.col("n") > least / 2)
+
+
+def placed(cells: DataFrame, n_numeric: int, newton: bool, reg_lambda: float) -> DataFrame:
+    """Cells with their place among their column's: numbers by bin, categories by mean gradient."""
+    return cells.selectExpr("*", f"CASE WHEN feature < {n_numeric} THEN CAST(bin AS DOUBLE) ELSE round(g / {side('h', 'n', newton, reg_lambda)}, 10) END AS place")
+
+
+def side(h: str, n: str, newton: bool, reg_lambda: float) -> str:
+    return f"({h} + {reg_lambda!r}D)" if newton else f"({n})"
+
+
+def running(cells: DataFrame, n_numeric: int, wide: bool) -> DataFrame:
+    """Cells with the sums up to each (``lg``...), of the column (``tg``...) and of its missing values (``mg``...).
+
+    A column's cells are one window; if some have very many (``wide``), cells are sorted in ranges, a
+    window goes over the part of a column in a range, and the sums of the ranges before are added.
+    """
+    missing = [f"CASE WHEN feature < {n_numeric} AND bin = 0 THEN {c} ELSE 0.0D END" for c in "ghn"]
+    key = "class, node, feature"
+    if not wide:
+        whole = f"OVER (PARTITION BY {key})"
+        upto = f"OVER (PARTITION BY {key} ORDER BY place, bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        sums = [s for c, m in zip("ghn", missing) for s in (f"sum({c}) {upto} AS l{c}", f"sum({c}) {whole} AS t{c}", f"sum({m}) {whole} AS m{c}")]
+        return cells.selectExpr("class", "node", "feature", "bin", "place", *sums)
+    # The ranges must stay as they are once their sums are taken.
+    dealt = written(cells.repartitionByRange("class", "node", "feature", "place", "bin").withColumn("range", F.spark_partition_id()), "split-ranges")
+    ranges = dealt.groupBy("class", "node", "feature", "range").agg(*[F.expr(f"sum({c})").alias(f"r{c}") for c in "ghn"], *[F.expr(f"sum({m})").alias(f"o{c}") for c, m in zip("ghn", missing)])
+    earlier = f"OVER (PARTITION BY {key} ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"OVER (PARTITION BY {key})"
+    sums = [s for c in "ghn" for s in (f"coalesce(sum(r{c}) {earlier}, 0.0D) AS b{c}", f"sum(r{c}) {whole} AS t{c}", f"sum(o{c}) {whole} AS m{c}")]
+    before = ranges.selectExpr("class", "node", "feature", "range", *sums)
+    upto = f"OVER (PARTITION BY {key}, range ORDER BY place, bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    inside = dealt.join(before, ["class", "node", "feature", "range"])
+    return inside.selectExpr("class", "node", "feature", "bin", "place", *[s for c in "ghn" for s in (f"b{c} + sum({c}) {upto} AS l{c}", f"t{c}", f"m{c}")])
+
+
 def best_splits(
-    sums: DataFrame, n_numeric: int, mode: str, reg_lambda: float, min_rows: float, min_child_weight: float, rows: float
+    cells: DataFrame, n_numeric: int, mode: str, reg_lambda: float, min_rows: float, min_child_weight: float, rows: float, wide: bool = False
 ) -> DataFrame:
-    """(class, node) with its sums and its best split, from the (class, node, column, bin) sums.
+    """(class, node) with its sums, its best split and the levels that go left, from the ``placed`` cells.
 
     Numeric columns are cut between bins, with missing values tried on both sides; category bins are
-    first ordered by their mean gradient. Gains are compared per training row and to ten decimals,
+    ordered by their mean gradient. Gains are compared per training row and to ten decimals,
     so that the order of floating-point additions does not decide between equal splits.
     """
     newton = mode == "newton"
     is_number = f"feature < {n_numeric}"
-    whole = "OVER (PARTITION BY class, node, feature)"
-    upto = "OVER (PARTITION BY class, node, feature ORDER BY place, bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-
-    def side(h: str, n: str) -> str:
-        return f"({h} + {reg_lambda!r}D)" if newton else f"({n})"
-
-    # One exchange by column serves the grouping and the windows.
-    cells = (
-        sums.repartition("class", "node", "feature")
-        .groupBy("class", "node", "feature", "bin")
-        .agg(*[F.sum(c).alias(c) for c in "ghn"])
-        .selectExpr("*", f"CASE WHEN {is_number} THEN CAST(bin AS DOUBLE) ELSE round(g / {side('h', 'n')}, 10) END AS place")
-        .selectExpr(
-            "class",
-            "node",
-            "feature",
-            "bin",
-            *[f"sum({c}) {upto} AS l{c}" for c in "ghn"],
-            *[f"sum({c}) {whole} AS t{c}" for c in "ghn"],
-            *[f"sum(CASE WHEN {is_number} AND bin = 0 THEN {c} ELSE 0.0D END) {whole} AS m{c}" for c in "ghn"],
-            "place",
-        )
-    )
 
     def weight(g: str, h: str, n: str) -> str:
-        return f"try_divide(({g}) * ({g}), {side(h, n)})"
+        return f"try_divide(({g}) * ({g}), {side(h, n, newton, reg_lambda)})"
 
     def candidate(missing_left: bool) -> str:
         gl, hl, nl = (f"l{c}" if missing_left else f"(l{c} - m{c})" for c in "ghn")
@@ -233,12 +286,31 @@ def best_splits(
             'minus_feature', -feature, 'minus_bin', -bin,
             'zero_left', {zero}, 'gain', {gain}, 'lg', {gl}, 'lh', {hl}, 'ln', {nl}, 'tg', tg, 'th', th, 'tn', tn, 'place', place)"""
 
-    # The column's best cut first, then the category levels up to it, and at last the best column.
-    cut = cells.selectExpr("class", "node", "feature", "bin", "place", f"greatest(max({candidate(True)}) {whole}, max({candidate(False)}) {whole}) AS b")
-    goes_left = f"NOT ({is_number}) AND (place < b.place OR place = b.place AND bin <= -b.minus_bin)"
-    by_column = cut.groupBy("class", "node", "feature").agg(F.first("b").alias("b"), F.expr(f"collect_list(bin) FILTER (WHERE {goes_left})").alias("levels"))
-    best = by_column.groupBy("class", "node").agg(F.expr("max_by(struct(b, levels), b)").alias("m"))
-    return best.selectExpr("class", "node", "-m.b.minus_feature AS feature", "-m.b.minus_bin AS bin", "m.levels", "m.b.*")
+    sums = running(cells, n_numeric, wide)
+    bits = "bitmap_construct_agg(bitmap_bit_position(bin + 1))"
+    if not wide:
+        # The column's best cut first, then the levels up to it, and at last the best column, all on one exchange.
+        whole = "OVER (PARTITION BY class, node, feature)"
+        cut = sums.selectExpr("class", "node", "feature", "bin", "place", f"greatest(max({candidate(True)}) {whole}, max({candidate(False)}) {whole}) AS b")
+        goes_left = f"NOT ({is_number}) AND (place < b.place OR place = b.place AND bin <= -b.minus_bin)"
+        by_column = cut.groupBy("class", "node", "feature").agg(F.first("b").alias("b"), F.expr(f"{bits} FILTER (WHERE {goes_left})").alias("bits"))
+        sets = f"CASE WHEN NOT ({is_number}) THEN array(named_struct('block', 1L, 'bits', bits)) END AS sets"
+        best = by_column.selectExpr("class", "node", "b", sets).groupBy("class", "node").agg(F.expr("max_by(struct(b, sets), b)").alias("m"))
+        return best.selectExpr("class", "node", "-m.b.minus_feature AS feature", "-m.b.minus_bin AS bin", "m.sets", "m.b.*")
+    best = sums.groupBy("class", "node").agg(F.expr(f"greatest(max({candidate(True)}), max({candidate(False)}))").alias("b"))
+    best = best.selectExpr("class", "node", "-b.minus_feature AS feature", "-b.minus_bin AS bin", "b.*")
+    # The levels up to a category's cut, in numbered bitmaps made in the tasks. At most classes x 2^level rows are broadcast.
+    at = best.filter(f"score > 0 AND NOT ({is_number})").selectExpr("class", "node", "feature", "bin AS cut_bin", "place AS cut_place")
+    left = cells.join(F.broadcast(at), ["class", "node", "feature"]).filter("place < cut_place OR place = cut_place AND bin <= cut_bin")
+    blocks = left.groupBy("class", "node", F.expr("bitmap_bucket_number(bin + 1)").alias("block")).agg(F.expr(bits).alias("bits"))
+    return best.join(blocks.groupBy("class", "node").agg(F.collect_list(F.struct("block", "bits")).alias("sets")), ["class", "node"], "left")
+
+
+def words_of_bitmaps(bitmaps: Sequence) -> np.ndarray:
+    """Numbered bitmaps of equal size as one run of 64-bit words."""
+    parts = {b["block"]: np.frombuffer(bytes(b["bits"]), "<i8") for b in bitmaps}
+    none = np.zeros(len(next(iter(parts.values()))), np.int64)
+    return np.trim_zeros(np.concatenate([parts.get(i, none) for i in range(1, max(parts) + 1)]), "b")
 
 
 # ---------------------------------------------------------------- model and learner
@@ -253,7 +325,7 @@ class BoostModel(Model):
         self.columns: list[str] = columns
         self.prior: list[float] = prior
         self.depth: int = depth
-        self.binner: PipelineModel = binner
+        self.binner: Binner = binner
         self.trees: list[Tree] = trees
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -285,9 +357,10 @@ class BoostModel(Model):
                 "columns": self.columns,
                 "prior": self.prior,
                 "depth": self.depth,
+                "binner": self.binner.meta(),
             },
         )
-        self.binner.write().overwrite().save(f"{path}/binner")
+        self.binner.save(f"{path}/binner")
         self.tree_table(spark).write.mode("overwrite").parquet(f"{path}/trees")
 
     @classmethod
@@ -299,7 +372,7 @@ class BoostModel(Model):
             i = r["node"]
             t.feature[i], t.left[i], t.value[i], t.gain[i], t.rows[i] = r["feature"], np.array(r["left"], np.int64), r["value"], r["gain"], r["rows"]
         ordered = [trees[k] for k in sorted(trees)]
-        return cls(m["classes"], m["params"], m["columns"], m["prior"], m["depth"], PipelineModel.load(f"{path}/binner"), ordered)
+        return cls(m["classes"], m["params"], m["columns"], m["prior"], m["depth"], Binner.load(spark, f"{path}/binner", m["binner"]), ordered)
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -352,39 +425,43 @@ class BoostLearner(Learner):
         )
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            prior, trees = self._boost(spark, state, classes, names, bin_counts(binner.stages))
+            prior, trees = self._boost(spark, state, classes, names, binner.sizes)
         finally:
             state.unpersist()
         return BoostModel(classes, self.params(), names, prior, self.depth, binner, trees)
 
     def _boost(self, spark: SparkSession, state: DataFrame, classes: list[str], names: list[str], sizes: list[int]) -> tuple[list[float], list[Tree]]:
         """All rounds on the binned table."""
-        stored: list[DataFrame] = []
-        counts = {r["__y"]: r["n"] for r in state.groupBy("__y").agg(F.sum("__w").alias("n")).collect()}
-        rows = sum(counts.values())
+        weights = state.select("__y", "__w", F.spark_partition_id().alias("task")).groupBy("__y")
+        found = weights.agg(F.sum("__w").alias("n"), F.min(F.when(F.col("__w") > 0, F.col("__w"))).alias("least"), F.max("task").alias("last")).collect()
+        counts = {r["__y"]: r["n"] for r in found}
+        rows, tasks, least = sum(counts.values()), 1 + max((r["last"] for r in found), default=0), min((r["least"] for r in found if r["least"]), default=1.0)
         prior = [math.log(max(counts.get(k, 0.0), 1e-9) / rows) for k in range(len(classes))]
         trees: list[Tree] = []
-        recent: list[Tree] = []  # grown since the stored state
+        before: DataFrame | None = None  # its rows are kept until the next state's are there
         try:
             for r in range(self.rounds):
-                grown = self._grow(state, r, prior, recent, names, sizes, rows)
+                grown = self._grow(state, r, prior, names, sizes, rows, tasks, least)
                 trees += grown
-                recent += grown
-                if (r + 1) % self.checkpoint_interval == 0 and r + 1 < self.rounds:
-                    margins = margin_column(spark, prior, recent, self.depth, len(names), stored=bool(stored))
-                    # Cached for the many passes to come; a lost block is read from the checkpoint again.
-                    state = cut_lineage(state.withColumn("__f", margins)).persist(StorageLevel.MEMORY_AND_DISK)
-                    for old in stored:
-                        old.unpersist()
-                    stored, recent = [state], []
+                if before is not None:
+                    before.unpersist()
+                    before = None
+                if r + 1 < self.rounds:
+                    margins = margin_column(spark, prior, grown, self.depth, len(names), stored="__f" in state.columns)
+                    before, state = state, state.withColumn("__f", margins)
+                    if (r + 1) % self.checkpoint_interval == 0:
+                        state = cut_lineage(state)
+                    # Cached for the passes of a round; a lost block is made again from the last checkpoint.
+                    state = state.persist(StorageLevel.MEMORY_AND_DISK)
         finally:
-            for old in stored:
-                old.unpersist()
+            for old in (before, state):
+                if old is not None:
+                    old.unpersist()
         return prior, trees
 
-    def _grow(self, state: DataFrame, r: int, prior, recent: list[Tree], names: list[str], sizes: list[int], rows: float) -> list[Tree]:
+    def _grow(self, state: DataFrame, r: int, prior, names: list[str], sizes: list[int], rows: float, tasks: int, least: float) -> list[Tree]:
         """One round: a tree per class, level by level."""
-        k, width = len(prior), len(names)
+        spark, k, width, numbers = state.sparkSession, len(prior), len(names), len(self.spec.numeric)
         growing = [Tree.empty(r, c, self.depth) for c in range(k)]
         columns = [
             [names.index(c) for c in column_sample(names, self.column_rate, self.seed, r, t.klass)] for t in growing
@@ -392,31 +469,45 @@ class BoostLearner(Learner):
         sampled = row_sample(state, "__key", self.row_rate, self.seed, r).drop("__key") if self.row_rate < 1 else state
         step = self.eta * self.annealing**r
         start = np.asarray(prior, float)
-        for level in range(self.depth):
-            sums = sampled.mapInArrow(
-                gradient_sums(
-                    start, [t.plain() for t in recent], [t.plain() for t in growing], level, self.depth, columns, sizes, width
-                ),
-                SUMS_SCHEMA,
-            )
-            found = best_splits(
-                sums, len(self.spec.numeric), self.mode, self.reg_lambda, self._min_rows, self.min_child_weight, rows
-            ).collect()  # at most classes x 2^level rows, with the levels of a category that go left
-            split = False
-            for b in found:
-                tree, i = growing[b["class"]], b["node"] + 2**level - 1
-                if level == 0:
-                    tree.value[i], tree.rows[i] = step * self._leaf(b["tg"], b["th"], k), b["tn"]
-                if b["score"] <= 0:
-                    continue
-                split = True
-                left = range(0 if b["zero_left"] else 1, b["bin"] + 1) if b["feature"] < len(self.spec.numeric) else b["levels"]
-                tree.feature[i], tree.left[i], tree.gain[i] = b["feature"], bin_set(left), b["gain"]
-                for child, g, h, n in (
-                    (2 * i + 1, b["lg"], b["lh"], b["ln"]),
-                    (2 * i + 2, b["tg"] - b["lg"], b["th"] - b["lh"], b["tn"] - b["ln"]),
-                ):
-                    tree.value[child], tree.rows[child] = step * self._leaf(g, h, k), n
-            if not split:
-                break
+        cells: DataFrame | None = None  # the level's sums
+        taken: list[np.ndarray] | None = None  # nodes summed from rows
+        derived: list[tuple[int, int, int]] = []  # class, parent, the child whose sums are the parent's less its sibling's
+        try:
+            for level in range(self.depth):
+                task = gradient_sums(start, [t.plain() for t in growing], level, columns, sizes, width, taken)
+                sums = sampled.mapInArrow(task, SUMS_SCHEMA)
+                if cells is not None:
+                    # At most classes x 2^level rows.
+                    place = F.broadcast(spark.createDataFrame(derived, "class int, node int, child int"))
+                    parents = cells.join(place, ["class", "node"]).select("class", F.col("child").alias("node"), "feature", "bin", *"ghn")
+                    sums = sums.unionByName(parents)
+                above, cells = cells, placed(combined(sums, tasks, least), numbers, self.mode == "newton", self.reg_lambda)
+                cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+                wide = max(sizes, default=0) > WIDE_BINS
+                # At most classes x 2^level rows.
+                found = best_splits(cells, numbers, self.mode, self.reg_lambda, self._min_rows, self.min_child_weight, rows, wide).collect()
+                if above is not None:
+                    above.unpersist()
+                taken, derived = [np.zeros(2 ** (level + 1), bool) for _ in range(k)], []
+                for b in found:
+                    tree, i = growing[b["class"]], b["node"] + 2**level - 1
+                    if level == 0:
+                        tree.value[i], tree.rows[i] = step * self._leaf(b["tg"], b["th"], k), b["tn"]
+                    if b["score"] <= 0:
+                        continue
+                    left = words_of_bitmaps(b["sets"]) if b["feature"] >= numbers else bin_set(range(0 if b["zero_left"] else 1, b["bin"] + 1))
+                    tree.feature[i], tree.left[i], tree.gain[i] = b["feature"], left, b["gain"]
+                    for child, g, h, n in (
+                        (2 * i + 1, b["lg"], b["lh"], b["ln"]),
+                        (2 * i + 2, b["tg"] - b["lg"], b["th"] - b["lh"], b["tn"] - b["ln"]),
+                    ):
+                        tree.value[child], tree.rows[child] = step * self._leaf(g, h, k), n
+                    smaller = 2 * b["node"] + int(b["ln"] > b["tn"] - b["ln"])
+                    taken[b["class"]][smaller] = True
+                    derived.append((b["class"], b["node"], smaller ^ 1))
+                if not derived:
+                    break
+        finally:
+            if cells is not None:
+                cells.unpersist()
         return growing

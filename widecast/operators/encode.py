@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from widecast.functions import columns as C
+from widecast.operators.levels import Levels
 from widecast.operators.prep import require_columns
 from widecast.spec import TableSpec
 
@@ -30,12 +31,12 @@ def as_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: C.category_text(c, types[c]) for c in columns})
 
 
-def fit_levels(df: DataFrame, columns: Sequence[str], order: str = "alphabetAsc") -> StringIndexerModel:
-    """Level tables of category columns; null and unseen values share the index after the last."""
+def fit_levels(df: DataFrame, columns: Sequence[str], order: str = "alphabetAsc") -> Levels:
+    """Level tables of category columns, alphabetical or (``frequencyDesc``) the most frequent first; null and unseen values share the index after the last."""
     require_columns(df, columns)
-    return StringIndexer(
-        inputCols=list(columns), outputCols=[f"{c}_index" for c in columns], stringOrderType=order, handleInvalid="keep"
-    ).fit(df)
+    if order not in ("alphabetAsc", "frequencyDesc"):
+        raise ValueError(f"unknown order {order!r}")
+    return Levels.learn(df, {c: f"CAST({quoted(c)} AS STRING)" for c in columns}, order == "frequencyDesc")
 
 
 def index_levels(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -47,7 +48,9 @@ def index_levels(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def index_label(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
     """Label position in alphabetical order; a null label is an error."""
-    return StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="error").fit(df).transform(df)
+    levels = fit_levels(df, [label])
+    found = levels.indexed(df, {label: out})
+    return found.withColumn(out, F.when(F.col(out).isNull(), F.raise_error(F.lit(f"null in {label}"))).otherwise(F.col(out)).cast("double"))
 
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -94,20 +94,28 @@ def summed(parts):
     return found, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(found)) for i in (1, 2, 3))
 
 
-def cell_rows(klass, column, size, cell, g, h, n):
-    columns = [np.full(len(cell), x, np.int32) for x in (klass, column)]
-    columns = [columns[0], (cell // size).astype(np.int32), columns[1], (cell % size).astype(np.int32), g, h, n]
+def cell_rows(klass, column, size, cell, g, h, n, sibling):
+    """Sums as rows; with ``sibling``, also what they take off the sums of the node beside."""
+    node, bins = (cell // size).astype(np.int32), (cell % size).astype(np.int32)
+    if sibling:
+        node, bins = np.concatenate([node, node ^ 1]), np.concatenate([bins, bins])
+        g, h, n = (np.concatenate([x, -x]) for x in (g, h, n))
+    columns = [np.full(len(node), klass, np.int32), node, np.full(len(node), column, np.int32), bins, g, h, n]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["class", "node", "feature", "bin", "g", "h", "n"])
 
 
-def gradient_sums(prior, trees, growing, level, depth, columns, sizes, width):
+def gradient_sums(prior, growing, level, columns, sizes, width, taken=None):
     """For ``mapInArrow``: sums of gradient, hessian and weight of the task's rows by
     (class, node of the level, column, bin).
 
+    Rows carry their margins (``__f``; before the first tree all have the prior's), so the cost doesn't
+    depend on the trees grown before. ``taken`` has the nodes to sum for each class, of two siblings the
+    one with fewer rows: the other's sums are their parent's less these, which are given out negated too.
     ``sizes`` has the number of bins of each column. Columns with few cells have an array of them all;
     those with many levels keep the cells that occur, and give them out whenever there are too many.
     """
     first, nodes, k = 2**level - 1, 2**level, len(prior)
+    sibling = taken is not None
 
     def sums(batches):
         dense = {(c, j): np.zeros((3, nodes * sizes[j])) for c in range(k) for j in columns[c] if nodes * sizes[j] <= DENSE_CELLS}
@@ -118,13 +126,14 @@ def gradient_sums(prior, trees, growing, level, depth, columns, sizes, width):
             binned = list_matrix(batch.column(BINS), width)
             y = batch.column("__y").to_numpy(zero_copy_only=False)
             w = batch.column("__w").to_numpy(zero_copy_only=False)
-            start = list_matrix(batch.column("__f"), k) if "__f" in batch.schema.names else prior
-            m = margins(binned, start, trees, depth)
+            m = list_matrix(batch.column("__f"), k) if "__f" in batch.schema.names else np.broadcast_to(prior, (len(binned), k))
             p = np.exp(m - m.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             for c, feature, left, _ in growing:
                 node = walk(feature, left, binned, level) - first
                 here = np.flatnonzero(node >= 0)
+                if sibling:
+                    here = here[taken[c][node[here]]]
                 if not len(here):
                     continue
                 wc, pc = w[here], p[here, c]
@@ -142,13 +151,13 @@ def gradient_sums(prior, trees, growing, level, depth, columns, sizes, width):
                 loose = {key: [summed(parts)] for key, parts in loose.items()}
                 held = sum(len(parts[0][0]) for parts in loose.values())
                 if held > LOOSE_CELLS // 2:
-                    yield from (cell_rows(c, j, sizes[j], *parts[0]) for (c, j), parts in loose.items())
+                    yield from (cell_rows(c, j, sizes[j], *parts[0], sibling) for (c, j), parts in loose.items())
                     loose, held = {}, 0
         for (c, j), total in dense.items():
             cell = np.flatnonzero(total[2])
             if len(cell):
-                yield cell_rows(c, j, sizes[j], cell, *total[:, cell])
-        yield from (cell_rows(c, j, sizes[j], *summed(parts)) for (c, j), parts in loose.items())
+                yield cell_rows(c, j, sizes[j], cell, *total[:, cell], sibling)
+        yield from (cell_rows(c, j, sizes[j], *summed(parts), sibling) for (c, j), parts in loose.items())
 
     return sums
 

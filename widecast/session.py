@@ -78,13 +78,14 @@ def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], R]], parallel
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
 
 
-def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: Sequence[str] = (), gathered: bool = False) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Like ``cut_lineage``, but the planner then knows the table's bytes, also those of one partition.
+    ``gathered`` says that rows of one partition are already in few tasks.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     # Few files for each value, but large values still in several tasks.
-    ready = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    ready = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by and not gathered else df
     ready.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
