@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widecast.llm import bytebpe, decontaminate, langid, nearcopies, quality
+from widecast.llm import bytebpe, decontaminate, langid, quality, simhash
 from widecast.llm.common import fresh, id_crc, stored, table
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -34,8 +34,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: 0.8 of their five-word shingles shared."""
-    return nearcopies.one_of_each(docs)
+    """One document, that of the smallest id, of each group that the near-copy operator finds, with its own settings."""
+    return simhash.one_of_each(docs)
 
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
