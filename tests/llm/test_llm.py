@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from widecast.llm import bytebpe, decontaminate, html_text, langid, nearcopies, quality, queries, repair, shards, simhash, topk, toxicity
+from widecast.llm import bytebpe, decontaminate, html_text, langid, quality, queries, repair, shards, simhash, topk, toxicity
 from widecast.llm.common import id_crc
 
 SF = "/root/testdata/sf0.001"
@@ -313,6 +313,20 @@ def test_main_text_of_small_pages(spark):
     assert html_text.extract(df.filter("false")).count() == 0
 
 
+def test_pages_of_many_elements_take_linear_time():
+    """Nested elements, lists of links and ends that open nothing, a hundred thousand each."""
+    import time
+
+    n = 100_000
+    lists = "<ul><li><a href=x>one</a></li><li><a>two</a><a>three</a></li></ul>" * n
+    pages = ["<div><p>some words, here</p>" * n, "<article><p>" + "a long text, " * 50 + "</p>" + lists + "</article>", "<ul>" * n + "text" + "</nav></span>" * n]
+    start = time.process_time()
+    texts = [html_text.main_text(p) for p in pages]
+    assert time.process_time() - start < 30
+    assert texts[0].count("\n") > n // 2 and texts[1] == ("a long text, " * 50).strip() and texts[2] == "text"
+
+
+
 def test_main_text_query(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op5_main_text(spark, SF).collect():
@@ -414,49 +428,11 @@ def test_trie_join_loses_no_link(spark, bucket):
     assert np.array_equal(got, want)
 
 
-def brute_kept(rows):
-    """Smallest ids of the groups that a Jaccard similarity of 0.8 of five-word shingles connects."""
-    sets = []
-    for _, t in rows:
-        w = (t or "").encode().lower().split()
-        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    label = np.arange(len(rows))
-    for i in range(len(rows)):
-        near = [j for j in range(i) if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-        simhash.unite(label, np.full(len(near), i), np.array(near, int))
-    return sorted(min(d for (d, _), c in zip(rows, label) if c == g) for g in set(label.tolist()))
-
-
-@pytest.mark.parametrize("group_bytes", [1 << 24, 20_000])
-def test_near_copies_of_the_pipeline_by_shared_words(spark, docs, monkeypatch, group_bytes):
-    monkeypatch.setattr(nearcopies, "GROUP_BYTES", group_bytes)
-    rng = random.Random(9)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for i in range(40):  # chains of copies with more and more words changed
-        words = rng.choices([f"w{k}" for k in range(500)], k=rng.randint(60, 300))
-        for k in range(8):
-            rows.append((10_000 + 10 * i + k, " ".join(words)))
-            for at in rng.sample(range(len(words)), rng.randint(1, 1 + len(words) // 50)):
-                words[at] = f"x{rng.random()}"
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, df, SF).collect())
-    assert got == brute_kept(rows)
-    assert got != sorted({c for _, _, c in brute_groups(rows)})
-
-
-def test_near_copies_of_odd_rows(spark, odd, empty):
-    kept = nearcopies.one_of_each(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (False, 0), (True, 1), (True, 4), (True, 5), (True, 7), (True, 8)]
-    assert nearcopies.one_of_each(empty).count() == 0
-
-
-@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, nearcopies.one_of_each])
-def test_other_texts_of_one_id_stay(spark, one_of_each):
+def test_other_texts_of_one_id_stay(spark):
     rng = random.Random(12)
     a, b, c = (" ".join(rng.choices([f"w{k}" for k in range(900)], k=80)) for _ in range(3))
     rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (3, a)]
-    kept = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b), (3, c)])
 
 

@@ -164,7 +164,7 @@ def blocks_of(benchmark: DataFrame, item_column: str, text_column: str) -> Itera
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, first_word, n_words, n_equal``: the best overlap of each document and item.
+    """``doc_id, item_id, first_word, n_words, n_equal``: the best overlap of each document and each row of ``benchmark``.
 
     An overlap counts with 10 equal words (all, for a shorter item) and at least 0.8 of the words
     equal, at the ends of texts and items as well. Items of under 5 words are too little evidence and

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -76,6 +77,10 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
+#: A paragraph passes points to so many ancestors, the nth of them an nth.
+REACH = 64
+
+
 class Page:
     """Elements (parent, tag, left out) and, in page order, the blocks of text between block tags."""
 
@@ -84,6 +89,7 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.links: dict[int, int] = {}  # links that begin right inside an element
         self.at, self.link_depth, self.parts, self.link_size = 0, 0, [], 0
+        self.standing: Counter[str] = Counter()  # open elements by tag
         place, lowered = 0, None
         while True:
             m = MARKUP.search(html, place)
@@ -141,29 +147,37 @@ class Page:
             self.close_within(*IMPLIED_END[tag])
         if tag in ("body", "main", "article"):  # a head or menu that nobody closed ends here
             while self.at and self.out[self.at] and self.tag[self.at] in ("head", "title"):
-                self.at = self.parent[self.at]
+                self.rise(self.parent[self.at])
         self.parent.append(self.at)
+        self.standing[tag] += 1
         self.tag.append(tag)
         self.out.append(self.out[self.at] or is_boilerplate(tag, attributes))
         self.at = len(self.tag) - 1
 
+    def rise(self, element: int) -> None:
+        """Close all elements inside ``element``."""
+        while self.at != element:
+            self.standing[self.tag[self.at]] -= 1
+            self.at = self.parent[self.at]
+
     def close_within(self, ends: set[str], fences: set[str]) -> None:
+        if not any(self.standing[e] for e in ends):
+            return
         i = self.at
         while i and self.tag[i] not in fences:
             if self.tag[i] in ends:
-                self.at = self.parent[i]
+                self.rise(self.parent[i])
                 return
             i = self.parent[i]
 
     def close(self, tag: str) -> None:
         if tag == "a":
             self.link_depth = 0
-        i = self.at
-        while i and self.tag[i] != tag:
-            i = self.parent[i]
-        if i:
+        if self.standing[tag]:
             self.flush()
-            self.at = self.parent[i]
+            while self.tag[self.at] != tag:
+                self.rise(self.parent[self.at])
+            self.rise(self.parent[self.at])
             self.link_depth = 0
         elif tag not in INLINE:
             self.flush()
@@ -171,17 +185,24 @@ class Page:
     def main_text(self) -> str:
         """The text of the best container and its siblings, one line for each block."""
         n = len(self.tag)
-        points, size, linked = [0.0] * n, [0] * n, [0] * n
+        passed, size, linked, links = [0.0] * n, [0] * n, [0] * n, [self.links.get(i, 0) for i in range(n)]
         for i, text, in_links in self.blocks:
-            points_here = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - in_links / len(text))
-            holder, share = (self.parent[i] if self.tag[i] in LEAVES and i else i), 1
-            while i >= 0:
-                size[i] += len(text)
-                linked[i] += in_links
-                i = self.parent[i]
-            while holder >= 0:
-                points[holder] += points_here / share
-                holder, share = self.parent[holder], share + 1
+            # A paragraph's points are its element's parent's to pass on.
+            holder = self.parent[i] if self.tag[i] in LEAVES and i else i
+            passed[holder] += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - in_links / len(text))
+            size[i] += len(text)
+            linked[i] += in_links
+        for i in range(n - 1, 0, -1):  # parents come first
+            above = self.parent[i]
+            size[above] += size[i]
+            linked[above] += linked[i]
+            links[above] += links[i]
+        points = [0.0] * n
+        for i, own in enumerate(passed):
+            share = 1
+            while own and i >= 0 and share <= REACH:
+                points[i] += own / share
+                i, share = self.parent[i], share + 1
         if not self.blocks:
             return ""
         score = [p * (1 - (linked[i] / size[i] if size[i] else 0)) for i, p in enumerate(points)]
@@ -202,17 +223,10 @@ class Page:
                     if score[i] >= 0.2 * score[best] or inner and light or self.tag[i] in LEAVES and light and (size[i] >= 80 or self.tag[i] in ("h1", "h2")):
                         kept.add(i)
         for i in range(1, n):  # parents come first
-            if self.parent[i] in kept and i not in kept and not (self.tag[i] in ("ul", "ol") and size[i] and linked[i] >= 0.8 * size[i] and self.links_in(i) >= 3):
+            if self.parent[i] in kept and i not in kept and not (self.tag[i] in ("ul", "ol") and size[i] and linked[i] >= 0.8 * size[i] and links[i] >= 3):
                 kept.add(i)
         return "\n".join(text for i, text, _ in self.blocks if i in kept)
 
-    def links_in(self, element: int) -> int:
-        below = {element}
-        for i in range(element + 1, len(self.tag)):
-            if self.parent[i] in below:
-                below.add(i)
-        return sum(self.links.get(i, 0) for i in below)
-
 
 def main_text(html: str) -> str:
     return Page(html).main_text()
