@@ -48,7 +48,7 @@ class Chunks:
 
     BASE = 0x9E3779B97F4A7C15 | 1
     LONGEST = 256  # longer strings are not remembered
-    SPAN = 1 << 21  # bytes hashed at once
+    SPAN = 1 << 18  # bytes hashed at once
 
     def __init__(self, values_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = REMEMBERED) -> None:
         self.values_of, self.dtype, self.most = values_of, dtype, most
@@ -64,7 +64,7 @@ class Chunks:
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.n = 0
         self.hashes = np.zeros(1 << 12, np.uint64)
-        self.hits, self.sizes, self.starts, self.lengths, self.offsets = (np.zeros(1 << 12, np.int64) for _ in range(5))
+        self.hits, self.sizes, self.starts, self.lengths, self.offsets = (np.zeros(1 << 12, np.int32) for _ in range(5))
         self.bytes, self.byte_count = np.zeros(1 << 16, np.uint8), 0
         self.values, self.value_count = np.zeros(1 << 16, self.dtype), 0
 
@@ -153,7 +153,7 @@ class Chunks:
             raw = gather(data, starts[chosen], sizes[chosen])
             self.store(hashes[chosen], raw, sizes[chosen], *self.values_of(sliced(raw, sizes[chosen])))
             entry[new] = self.find(hashes[new])
-        self.hits[: self.n] += np.bincount(entry, minlength=self.n)
+        self.hits[: self.n] += np.bincount(entry, minlength=self.n).astype(np.int32)
         lengths, at = self.lengths[entry], self.starts[entry]
         flat = gather(self.values, at, lengths)
         wrong = np.flatnonzero(~self.same(entry, data, starts, sizes))
@@ -216,7 +216,7 @@ class TextIds:
             self.closes = np.zeros(self.size, bool)
             self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.parts = Chunks(self.library, self.kind, REMEMBERED // 2)
+        self.parts = Chunks(self.library, self.kind, 3 * REMEMBERED // 5)
         self.chunks = Chunks(self.split, self.kind)
 
     def library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
