@@ -19,7 +19,7 @@ nodes only the one with fewer rows is summed, and the other's sums are their par
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Hashable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any, ClassVar
 
@@ -375,6 +375,15 @@ class BoostModel(Model):
         return cls(m["classes"], m["params"], m["columns"], m["prior"], m["depth"], Binner.load(spark, f"{path}/binner", m["binner"]), ordered)
 
 
+@dataclass
+class Binned:
+    """Labelled rows as cached bins (``__y, __w, __bins`` and, for row samples, ``__key``)."""
+
+    classes: list[str]
+    binner: Binner
+    rows: DataFrame
+
+
 @dataclass(frozen=True, kw_only=True)
 class BoostLearner(Learner):
     family: ClassVar[str] = "boost"
@@ -410,25 +419,30 @@ class BoostLearner(Learner):
             return -g / (h + self.reg_lambda)
         return -g / max(h, 1e-12) * (k - 1) / k
 
-    def fit(self, df: DataFrame) -> BoostModel:
-        spark, spec = df.sparkSession, self.spec
+    def preparation(self) -> Hashable:
+        return "bins", repr(self.spec), self.classes, self.max_bins, self.edges, self.weight, self.row_rate < 1
+
+    def prepare(self, df: DataFrame) -> Binned:
+        spec = self.spec
         classes = list(self.classes or label_classes(df, spec.label))
-        names = [*spec.numeric, *spec.categorical]
         labelled = df.filter(F.col(spec.label).isNotNull())
         binner = fit_binner(labelled, spec, self.max_bins, dict(self.edges))
         weight = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
-        state = binner.transform(labelled).select(
+        rows = binner.transform(labelled).select(
             *([F.col(spec.key).cast("string").alias("__key")] if self.row_rate < 1 else []),
             C.class_index(spec.label, classes).cast("int").alias("__y"),
             weight.alias("__w"),
             BINS,
         )
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            prior, trees = self._boost(spark, state, classes, names, binner.sizes)
-        finally:
-            state.unpersist()
-        return BoostModel(classes, self.params(), names, prior, self.depth, binner, trees)
+        return Binned(classes, binner, rows.persist(StorageLevel.MEMORY_AND_DISK))
+
+    def release(self, prepared: Binned) -> None:
+        prepared.rows.unpersist()
+
+    def fit_prepared(self, prepared: Binned) -> BoostModel:
+        names = [*self.spec.numeric, *self.spec.categorical]
+        prior, trees = self._boost(prepared.rows.sparkSession, prepared.rows, prepared.classes, names, prepared.binner.sizes)
+        return BoostModel(prepared.classes, self.params(), names, prior, self.depth, prepared.binner, trees)
 
     def _boost(self, spark: SparkSession, state: DataFrame, classes: list[str], names: list[str], sizes: list[int]) -> tuple[list[float], list[Tree]]:
         """All rounds on the binned table."""
@@ -438,25 +452,22 @@ class BoostLearner(Learner):
         rows, tasks, least = sum(counts.values()), 1 + max((r["last"] for r in found), default=0), min((r["least"] for r in found if r["least"]), default=1.0)
         prior = [math.log(max(counts.get(k, 0.0), 1e-9) / rows) for k in range(len(classes))]
         trees: list[Tree] = []
-        before: DataFrame | None = None  # its rows are kept until the next state's are there
+        made: list[DataFrame] = []  # states with margins; the one before is kept until the next one's rows are there
         try:
             for r in range(self.rounds):
                 grown = self._grow(state, r, prior, names, sizes, rows, tasks, least)
                 trees += grown
-                if before is not None:
-                    before.unpersist()
-                    before = None
+                while len(made) > 1:
+                    made.pop(0).unpersist()
                 if r + 1 < self.rounds:
-                    margins = margin_column(spark, prior, grown, self.depth, len(names), stored="__f" in state.columns)
-                    before, state = state, state.withColumn("__f", margins)
+                    state = state.withColumn("__f", margin_column(spark, prior, grown, self.depth, len(names), stored="__f" in state.columns))
                     if (r + 1) % self.checkpoint_interval == 0:
                         state = cut_lineage(state)
                     # Cached for the passes of a round; a lost block is made again from the last checkpoint.
-                    state = state.persist(StorageLevel.MEMORY_AND_DISK)
+                    made.append(state.persist(StorageLevel.MEMORY_AND_DISK))
         finally:
-            for old in (before, state):
-                if old is not None:
-                    old.unpersist()
+            for old in made:
+                old.unpersist()
         return prior, trees
 
     def _grow(self, state: DataFrame, r: int, prior, names: list[str], sizes: list[int], rows: float, tasks: int, least: float) -> list[Tree]:

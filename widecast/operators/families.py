@@ -3,6 +3,7 @@ on vectors. Each is one saved pipeline from raw columns to class name."""
 
 from __future__ import annotations
 
+from collections.abc import Hashable
 from dataclasses import dataclass, field
 from typing import Any, ClassVar
 
@@ -74,6 +75,16 @@ class PipelineClassifier(Model):
         return cls(m["classes"], m["params"], PipelineModel.load(f"{path}/pipeline"), m["slots"], m["spreads"])
 
 
+@dataclass
+class Vectors:
+    """Labelled rows as cached vectors, with the stages that make them."""
+
+    classes: list[str]
+    stages: list
+    slots: list[list]
+    rows: DataFrame
+
+
 @dataclass(frozen=True, kw_only=True)
 class PipelineLearner(Learner):
     spec: TableSpec
@@ -85,31 +96,35 @@ class PipelineLearner(Learner):
     def estimator(self, features: str):
         raise NotImplementedError
 
-    def fit(self, df: DataFrame) -> PipelineClassifier:
+    def preparation(self) -> Hashable:
+        return "vectors", repr(self.spec), self.classes, self.weight, self.vector
+
+    def prepare(self, df: DataFrame) -> Vectors:
         label = self.spec.label
         classes = list(self.classes or label_classes(df, label))
         labelled = df.filter(F.col(label).isNotNull())
         stages = list(vectorizer(labelled, self.spec, self.vector).stages)
         ready = PipelineModel(stages).transform(labelled).withColumn("__y", C.class_index(label, classes))
         slots = [list(s) for s in vector_slots(ready)]
-        ready = ready.select(VECTOR, "__y", *([self.weight] if self.weight else []))
+        # Iterative training reads the vectors many times; the wide source is read once.
+        return Vectors(classes, stages, slots, ready.select(VECTOR, "__y", *([self.weight] if self.weight else [])).persist())
+
+    def release(self, prepared: Vectors) -> None:
+        prepared.rows.unpersist()
+
+    def fit_prepared(self, prepared: Vectors) -> PipelineClassifier:
         estimator = self.estimator(VECTOR).setLabelCol("__y")
         if self.weight:
             estimator = estimator.setWeightCol(self.weight)
         estimator = (
             estimator.setPredictionCol("__prediction").setProbabilityCol("__probability").setRawPredictionCol("__raw")
         )
-        # Iterative training reads the vectors many times; the wide source is read once.
-        ready = ready.persist()
+        fitted = estimator.fit(prepared.rows)
         spreads = None
-        try:
-            stages.append(estimator.fit(ready))
-            if self.reports_spreads:
-                spreads = ready.select(Summarizer.std(F.col(VECTOR)).alias("sd")).first()["sd"].toArray().tolist()
-        finally:
-            ready.unpersist()
-        stages.append(IndexToString(inputCol="__prediction", outputCol=PREDICT, labels=classes))
-        return PipelineClassifier(classes, self.params(), PipelineModel(stages), slots, spreads)
+        if self.reports_spreads:
+            spreads = prepared.rows.select(Summarizer.std(F.col(VECTOR)).alias("sd")).first()["sd"].toArray().tolist()
+        named = IndexToString(inputCol="__prediction", outputCol=PREDICT, labels=prepared.classes)
+        return PipelineClassifier(prepared.classes, self.params(), PipelineModel([*prepared.stages, fitted, named]), prepared.slots, spreads)
 
 
 @dataclass(frozen=True, kw_only=True)

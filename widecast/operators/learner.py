@@ -6,6 +6,7 @@ A model adds two columns to the rows it scores: ``probabilities`` (array of doub
 
 from __future__ import annotations
 
+from collections.abc import Hashable
 from dataclasses import asdict, dataclass
 from typing import Any, ClassVar
 
@@ -69,5 +70,23 @@ class Learner:
         plain = (str, int, float, bool, type(None), list, tuple, dict)
         return {k: v for k, v in asdict(self).items() if isinstance(v, plain) and k not in ("spec", "classes")}
 
-    def fit(self, df: DataFrame) -> Model:
+    def preparation(self) -> Hashable | None:
+        """What ``prepare`` depends on besides the rows; None if nothing can be shared between fits."""
+        return None
+
+    def prepare(self, df: DataFrame) -> Any:
+        """The input of ``fit_prepared``, stored or cached."""
         raise NotImplementedError
+
+    def release(self, prepared: Any) -> None:
+        """Give up what ``prepare`` cached."""
+
+    def fit_prepared(self, prepared: Any) -> Model:
+        raise NotImplementedError
+
+    def fit(self, df: DataFrame) -> Model:
+        prepared = self.prepare(df)
+        try:
+            return self.fit_prepared(prepared)
+        finally:
+            self.release(prepared)

@@ -8,7 +8,7 @@ those tables are small enough to broadcast.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Hashable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -172,18 +172,29 @@ class NaiveBayesModel(Model):
         }
         write_meta(spark, path, meta)
         if self.levels is not None:
-            self.levels.write.mode("overwrite").parquet(f"{path}/levels")
+            # By feature, as scoring reads them.
+            self.levels.write.mode("overwrite").partitionBy("feature").parquet(f"{path}/levels")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> NaiveBayesModel:
         from widecast.sources.models import read_meta
 
         m = read_meta(spark, path)
-        levels = spark.read.parquet(f"{path}/levels") if m["categorical"] else None
+        levels = spark.read.schema("value string, logs array<double>, feature string").parquet(f"{path}/levels") if m["categorical"] else None
         gauss = {f: [tuple(p) for p in pairs] for f, pairs in m["gauss"].items()}
         return cls(m["classes"], m["categorical"], m["numeric"], m["prior"], gauss, levels, m["params"])
 
 
+@dataclass
+class Statistics:
+    """What naive Bayes counts: rows and moments by part and class, and a stored table of level counts."""
+
+    classes: list[str]
+    grouped: list
+    counts: DataFrame | None
+    by_fold: bool
+
+
 @dataclass(frozen=True, kw_only=True)
 class NaiveBayesLearner(Learner):
     family: ClassVar[str] = "naive_bayes"
@@ -192,17 +203,11 @@ class NaiveBayesLearner(Learner):
     laplace: float = 0.1
     classes: tuple[str, ...] | None = None
 
-    def fit(self, df: DataFrame) -> NaiveBayesModel:
-        return self._fit_all(df, None, [None])[0]
-
-    def fit_folds(self, df: DataFrame, k: int, fold: str) -> list[NaiveBayesModel]:
-        """The ``k`` leave-one-fold-out models from the same two passes one fit needs.
-
-        Counts and moments are kept per fold; each model adds up those of the other folds.
-        """
-        return self._fit_all(df, fold, list(range(k)))
+    def preparation(self) -> Hashable:
+        return "counts", repr(self.spec), self.classes
 
-    def _fit_all(self, df: DataFrame, fold: str | None, left_out: Sequence[int | None]) -> list[NaiveBayesModel]:
+    def prepare(self, df: DataFrame, fold: str | None = None) -> Statistics:
+        """Counts and moments, kept per fold if there is one: two passes whatever the number of models."""
         spec = self.spec
         classes = list(self.classes or label_classes(df, spec.label))
         part = F.col(fold) if fold else F.lit(0)
@@ -212,20 +217,33 @@ class NaiveBayesLearner(Learner):
             .agg(F.count(F.lit(1)).alias("n"), *_moment_measures(spec.numeric))
             .collect()  # folds x classes rows
         )
-        levels = None
-        if spec.categorical:
-            counts = written(level_counts(df, spec.label, spec.categorical, fold), "level-counts")
-            if fold:  # every count goes to the models that leave another fold out
+        counts = written(level_counts(df, spec.label, spec.categorical, fold), "level-counts") if spec.categorical else None
+        return Statistics(classes, grouped, counts, fold is not None)
+
+    def fit_prepared(self, prepared: Statistics) -> NaiveBayesModel:
+        return self.models(prepared, [None])[0]
+
+    def fit_folds(self, df: DataFrame, k: int, fold: str) -> list[NaiveBayesModel]:
+        """The ``k`` leave-one-fold-out models from the same two passes one fit needs."""
+        return self.models(self.prepare(df, fold), list(range(k)))
+
+    def models(self, found: Statistics, left_out: Sequence[int | None]) -> list[NaiveBayesModel]:
+        """A model for each fold to leave out, or (None) of all rows; each adds up the others' counts and moments."""
+        levels, by = None, ["model"] if len(left_out) > 1 else []
+        if found.counts is not None:
+            counts = found.counts
+            if by:  # every count goes to the models that leave another fold out
                 others = F.filter(F.array(*[F.lit(i) for i in left_out]), lambda i: i != F.col("part"))
                 counts = counts.withColumn("model", F.explode(others))
+            elif left_out[0] is not None:
+                counts = counts.filter(F.col("part") != left_out[0])
             # Stored by feature: a join reads its own levels only, and is a broadcast if their bytes allow it.
-            by = ["model"] if fold else []
-            levels = written(conditionals(counts, classes, self.laplace, by), "levels", [*by, "feature"])
-        models = []
+            levels = written(conditionals(counts, found.classes, self.laplace, by), "levels", [*by, "feature"])
+        out = []
         for i in left_out:
-            own = levels.filter(F.col("model") == i).drop("model") if levels is not None and fold else levels
-            models.append(self._model(classes, [r for r in grouped if fold is None or r["part"] != i], own))
-        return models
+            own = levels.filter(F.col("model") == i).drop("model") if levels is not None and by else levels
+            out.append(self._model(found.classes, [r for r in found.grouped if i is None or r["part"] != i], own))
+        return out
 
     def _model(self, classes: list[str], grouped: list, levels: DataFrame | None) -> NaiveBayesModel:
         spec = self.spec

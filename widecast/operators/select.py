@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import itertools
 import re
-import time
-from collections.abc import Iterable, Sequence
+import threading
+import uuid
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import partial, reduce
 from typing import Any
@@ -14,25 +17,77 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from widecast.operators import evaluate as E
 from widecast.operators.learner import PREDICT, PROBABILITIES, Learner, Model, label_classes
-from widecast.session import concurrently
+from widecast.operators.prepared import Preparations
+from widecast.session import concurrently, written
 from widecast.sources.models import save_model
 
 FOLD = "fold"
-
-
-def fold_models(learner: Learner, df: DataFrame, k: int, fold: str = FOLD, parallelism: int = 1) -> list[Model]:
-    """One model per fold, fitted on the other folds; from one pass where the family can do that."""
+#: Names of the rows that a shared input was prepared from, beside the numbers of folds left out.
+ALL, FOLDS = "all", "folds"
+
+
+class TimeBudget:
+    """Ends the Spark jobs of counted work when the time is over, and those it starts after that."""
+
+    def __init__(self, spark: SparkSession, seconds: float | None) -> None:
+        self.context, self.seconds = spark.sparkContext, seconds
+        self.tag = f"budget-{uuid.uuid4().hex}"
+        self.over = seconds is not None and seconds <= 0
+        self.done = threading.Event()
+
+    def __enter__(self) -> TimeBudget:
+        if self.seconds is not None:
+            threading.Thread(target=self.watch, daemon=True).start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.done.set()
+
+    def watch(self) -> None:
+        if self.done.wait(max(0.0, self.seconds)):
+            return
+        self.over = True
+        while not self.done.wait(0.2):
+            self.context.cancelJobsWithTag(self.tag)
+
+    @contextmanager
+    def counted(self) -> Iterator[None]:
+        """Work of this thread, and of threads it starts, that ends with the budget."""
+        self.context.addJobTag(self.tag)
+        try:
+            yield
+        finally:
+            self.context.removeJobTag(self.tag)
+
+
+def fold_models(
+    learner: Learner, df: DataFrame, k: int, fold: str = FOLD, parallelism: int = 1, shared: Preparations | None = None
+) -> list[Model]:
+    """One model per fold, fitted on the other folds; from one pass where the family can do that.
+
+    ``shared`` has the inputs that other learners prepared from the same rows.
+    """
+    shared = shared or Preparations()
     if hasattr(learner, "fit_folds"):
-        return learner.fit_folds(df, k, fold)
-    fits = [partial(learner.fit, df.filter(F.col(fold) != i)) for i in range(k)]
+        with shared.using((FOLDS, learner.preparation()), lambda: learner.prepare(df, fold), learner.release) as prepared:
+            return learner.models(prepared, list(range(k)))
+    fits = [partial(shared.fit, learner, df.filter(F.col(fold) != i), i) for i in range(k)]
     return concurrently(df.sparkSession, fits, parallelism)
 
 
+def expect_uses(shared: Preparations, learner: Learner, k: int, refit: bool) -> None:
+    """Announce what ``fold_models``, and a fit on all rows, will use."""
+    for part in [FOLDS] if hasattr(learner, "fit_folds") else range(k):
+        shared.expect(learner, part)
+    if refit:
+        shared.expect(learner, ALL)
+
+
 def oof_predict(
-    learner: Learner, df: DataFrame, k: int, fold: str = FOLD, keep: Sequence[str] | None = None, parallelism: int = 1
+    learner: Learner, df: DataFrame, k: int, fold: str = FOLD, keep: Sequence[str] | None = None, parallelism: int = 1, shared: Preparations | None = None
 ) -> tuple[DataFrame, list[Model]]:
     """Every row scored by a model that did not see its fold, and the ``k`` fold models."""
-    models = fold_models(learner, df, k, fold, parallelism)
+    models = fold_models(learner, df, k, fold, parallelism, shared)
     parts = []
     for i, model in enumerate(models):
         scored = model.transform(df.filter(F.col(fold) == i))
@@ -73,6 +128,7 @@ class SearchResult:
     trained: list[Trained]
     sort_by: str
     stopped_by: str = "candidates"
+    prepared: Counter = field(default_factory=Counter)  # how often each shared input was made
 
     def measured(self, spark: SparkSession) -> DataFrame:
         rows = [(t.learner.name, *(float(t.measured[m]) for m in E.METRICS)) for t in self.trained]
@@ -87,9 +143,13 @@ class SearchResult:
         return min(self.trained, key=lambda t: (sign * t.measured[self.sort_by], t.learner.name))
 
 
-def cross_validate(learner: Learner, df: DataFrame, k: int, label: str, classes: Sequence[str], key: str, fold: str = FOLD) -> Trained:
-    oof, models = oof_predict(learner, df, k, fold, keep=[key, label, fold])
-    return Trained(learner, E.metrics(oof, label, classes), oof, models)
+def cross_validate(
+    learner: Learner, df: DataFrame, k: int, label: str, classes: Sequence[str], key: str, fold: str = FOLD, shared: Preparations | None = None
+) -> Trained:
+    """Metrics out of fold. The scored rows are stored once; metrics and later users read that table."""
+    oof, models = oof_predict(learner, df, k, fold, keep=[key, label, fold], shared=shared)
+    stored = written(oof, "oof")
+    return Trained(learner, E.metrics(stored, label, classes), stored, models)
 
 
 def with_known_classes(learner: Learner, classes: Sequence[str]) -> Learner:
@@ -135,7 +195,8 @@ def search(
 ) -> SearchResult:
     """Train candidates in order until the model or time budget, if any, is used up.
 
-    Families in ``exclude`` are left out. The time budget is looked at before each candidate starts.
+    Families in ``exclude`` are left out. Inputs that several candidates prepare alike are made once. When
+    the time is over, running jobs are ended and the candidates finished by then are the result.
     """
     if refit not in ("all", "leader", "none"):
         raise ValueError(f"unknown refit {refit!r}")
@@ -149,28 +210,39 @@ def search(
     label, key = chosen[0].spec.label, chosen[0].spec.key
     labelled = df.filter(F.col(label).isNotNull())
     classes = label_classes(labelled, label)
-    started = time.monotonic()
+    first = [with_known_classes(c, classes) for c in chosen[:max_models]]
+    shared = Preparations()
+    for learner in first:
+        expect_uses(shared, learner, nfolds, refit == "all")
 
     def run(learner: Learner) -> Trained | None:
-        if max_runtime_secs is not None and time.monotonic() - started > max_runtime_secs:
+        if budget.over:
             return None
-        learner = with_known_classes(learner, classes)
-        t = cross_validate(learner, labelled, nfolds, label, classes, key, fold)
-        if refit == "all":
-            t.model = learner.fit(labelled)
+        try:
+            with budget.counted():
+                t = cross_validate(learner, labelled, nfolds, label, classes, key, fold, shared)
+                if refit == "all":
+                    t.model = shared.fit(learner, labelled, ALL)
+        except Exception:
+            if budget.over:  # its jobs were ended
+                return None
+            raise
         if not keep_oof:
             t.oof = None
         if not keep_fold_models:
             t.fold_models = []
         return t
 
-    first = chosen[:max_models]
-    done = concurrently(df.sparkSession, [partial(run, c) for c in first], parallelism)
+    with TimeBudget(df.sparkSession, max_runtime_secs) as budget:
+        try:
+            done = concurrently(df.sparkSession, [partial(run, c) for c in first], parallelism)
+        finally:
+            shared.close()
     trained = [t for t in done if t is not None]
     if not trained:
         raise ValueError("the time budget ended before the first model")
     stopped = "time" if len(trained) < len(first) else "models" if len(first) < len(chosen) else "candidates"
-    result = SearchResult(classes, trained, sort_by, stopped)
+    result = SearchResult(classes, trained, sort_by, stopped, shared.made)
     if refit == "leader":
         result.leader.model = result.leader.learner.fit(labelled)
     return result

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from widecast.operators.boost import BoostLearner
 from widecast.operators.learner import PREDICT, PROBABILITIES, Learner, Model, label_classes
-from widecast.operators.select import FOLD, fold_models, with_known_classes
+from widecast.operators.prepared import Preparations
+from widecast.operators.select import ALL, FOLD, expect_uses, fold_models, with_known_classes
 from widecast.session import concurrently, cut_lineage
 from widecast.sources.models import load_model, read_meta, write_meta
 from widecast.spec import TableSpec
@@ -43,7 +44,13 @@ def level_one(
     All base models of one fold score its rows in the same pass, so no join by key is needed.
     """
     names = [b.name for b in base]
-    by_learner = concurrently(df.sparkSession, [partial(fold_models, b, df, k, fold) for b in base], parallelism)
+    shared = Preparations()
+    for b in base:
+        expect_uses(shared, b, k, refit=False)
+    try:
+        by_learner = concurrently(df.sparkSession, [partial(fold_models, b, df, k, fold, shared=shared) for b in base], parallelism)
+    finally:
+        shared.close()
     parts = [
         append_base(df.filter(F.col(fold) == i), names, [models[i] for models in by_learner], keep) for i in range(k)
     ]
@@ -131,6 +138,12 @@ class StackLearner(Learner):
         base = [with_known_classes(b, classes) for b in self.base]
         # Stored, since it stands on all fold models of all base learners.
         table = cut_lineage(level_one(base, labelled, self.folds, [self.spec.key, label], self.fold, self.parallelism))
-        fits = [partial(self.meta_learner(classes).fit, table), *(partial(b.fit, labelled) for b in base)]
-        meta, *models = concurrently(df.sparkSession, fits, self.parallelism)
+        shared = Preparations()
+        for b in base:
+            shared.expect(b, ALL)
+        fits = [partial(self.meta_learner(classes).fit, table), *(partial(shared.fit, b, labelled, ALL) for b in base)]
+        try:
+            meta, *models = concurrently(df.sparkSession, fits, self.parallelism)
+        finally:
+            shared.close()
         return StackModel([b.name for b in base], models, meta, self.params())
