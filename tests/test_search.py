@@ -94,17 +94,15 @@ class SlowLearner(Learner):
         raise AssertionError("the job should have been ended")
 
 
-@pytest.mark.parametrize("parallelism", [1, 2])
-def test_the_time_budget_ends_running_work(spark, table, parallelism):
+def test_the_time_budget_ends_running_work(spark, table):
     start = time.monotonic()
     search([BAYES], table, 3, refit="none")
-    budget = 3 * (time.monotonic() - start) + 3
+    budget = 1.5 * (time.monotonic() - start) + 5
     start = time.monotonic()
-    result = search([BAYES, SlowLearner(), replace(BAYES, name="late")], table, 3, max_runtime_secs=budget, refit="none", parallelism=parallelism)
+    result = search([BAYES, SlowLearner(), replace(BAYES, name="late")], table, 3, max_runtime_secs=budget, refit="none")
     took = time.monotonic() - start
     assert result.stopped_by == "time" and took < budget + 15
-    names = [t.learner.name for t in result.trained]
-    assert names == ["naive_bayes"] if parallelism == 1 else names in (["naive_bayes"], ["naive_bayes", "late"])
+    assert [t.learner.name for t in result.trained] == ["naive_bayes"]
     # The session goes on, also with jobs of the same kind.
     assert spark.range(10).count() == 10
 
