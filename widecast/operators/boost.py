@@ -45,6 +45,7 @@ SKETCH_POINTS = 2_000
 SKETCH_ACCURACY = 10_000
 #: One step of a sketch's points, and the sketch's own error.
 RANK_ERROR = 1 / SKETCH_POINTS + 1 / SKETCH_ACCURACY
+STORED_LEVELS = 3  # one level in so many has its sums stored
 MIDDLE_TASKS = 64  # tasks whose sums are added before the final sums
 WIDE_BINS = 20_000  # more bins than that of a column are sorted over several tasks; at most 2^15, a bitmap
 MAX_BINS = 62  # of a numeric column, with the one for missing values; a category has one for each level
@@ -452,18 +453,22 @@ class BoostLearner(Learner):
         rows, tasks, least = sum(counts.values()), 1 + max((r["last"] for r in found), default=0), min((r["least"] for r in found if r["least"]), default=1.0)
         prior = [math.log(max(counts.get(k, 0.0), 1e-9) / rows) for k in range(len(classes))]
         trees: list[Tree] = []
-        made: list[DataFrame] = []  # states with margins; the one before is kept until the next one's rows are there
+        recent: list[Tree] = []  # grown since ``base`` was stored
+        base, made = state, []  # the states with margins so far; the last but one is kept until the last one's rows are there
         try:
             for r in range(self.rounds):
                 grown = self._grow(state, r, prior, names, sizes, rows, tasks, least)
                 trees += grown
+                recent += grown
                 while len(made) > 1:
                     made.pop(0).unpersist()
                 if r + 1 < self.rounds:
-                    state = state.withColumn("__f", margin_column(spark, prior, grown, self.depth, len(names), stored="__f" in state.columns))
+                    # Always from the stored rows, so that plans and recovery don't grow with the rounds.
+                    state = base.withColumn("__f", margin_column(spark, prior, recent, self.depth, len(names), stored="__f" in base.columns))
                     if (r + 1) % self.checkpoint_interval == 0:
-                        state = cut_lineage(state)
-                    # Cached for the passes of a round; a lost block is made again from the last checkpoint.
+                        base = state = cut_lineage(state)
+                        recent = []
+                    # Cached for the passes of a round.
                     made.append(state.persist(StorageLevel.MEMORY_AND_DISK))
         finally:
             for old in made:
@@ -493,7 +498,9 @@ class BoostLearner(Learner):
                     parents = cells.join(place, ["class", "node"]).select("class", F.col("child").alias("node"), "feature", "bin", *"ghn")
                     sums = sums.unionByName(parents)
                 above, cells = cells, placed(combined(sums, tasks, least), numbers, self.mode == "newton", self.reg_lambda)
-                cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+                # A level's plan holds those of the levels since the last stored one.
+                store = level % STORED_LEVELS == STORED_LEVELS - 1 and level + 1 < self.depth
+                cells = written(cells, "cells") if store else cells.persist(StorageLevel.MEMORY_AND_DISK)
                 wide = max(sizes, default=0) > WIDE_BINS
                 # At most classes x 2^level rows.
                 found = best_splits(cells, numbers, self.mode, self.reg_lambda, self._min_rows, self.min_child_weight, rows, wide).collect()
