@@ -77,7 +77,7 @@ def expected_files(rows):
     tokenizer.encode_special_tokens = True
     out, start = [], 0
     made = [(d, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], np.uint32), text_hash(t)) for d, t in rows]
-    for d, ids, _ in sorted(made, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+    for d, ids, _ in sorted(made, key=lambda r: (r[0] is not None, 0 if r[0] is None else r[0], r[2])):
         out.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     return out
@@ -90,6 +90,15 @@ def test_token_files_of_odd_rows(spark, odd, part_bytes, tmp_path):
     assert sorted(got, key=lambda r: r[1]) == expected_files([(r[0], r[1]) for r in ODD])
 
 
+def test_token_files_of_string_ids_and_one_null_id(spark, tmp_path):
+    rows = [(f"k{i % 90:03}" if i % 3 else None, f"text number {i}, " * 40) for i in range(300)]
+    repair.write(spark.createDataFrame(rows, "doc_id string, text string"), WORDS, str(tmp_path), 2, block_ids=2000, part_bytes=20_000)
+    got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in repair.read(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[1]) == expected_files(rows)
+    nulls = spark.read.parquet(str(tmp_path)).filter("exists(doc_ids, x -> x IS NULL)")
+    assert nulls.select("part").distinct().count() > 2
+
+
 def test_token_files_registered_query(spark, docs):
     got = sorted(map(tuple, queries.op1_repair_token_files(spark, SF).collect()))
     assert got == expected_files([(r.doc_id, r.text) for r in docs.collect()])
