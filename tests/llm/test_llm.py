@@ -99,6 +99,19 @@ def test_token_files_of_string_ids_and_one_null_id(spark, tmp_path):
     assert nulls.select("part").distinct().count() > 2
 
 
+def test_ids_of_chunks_of_odd_letters():
+    """Chunks that are cut into word and signs, and those that only look alike, against the library."""
+    rng = np.random.default_rng(7)
+    signs = list("abzABZ.,!'`-09[]~") + list("ÀÖ×ØÞßàö÷øÿ") + ["Ā", "ſ", "İ", "e\u0301", "中", "Ω", "\t", "\xa0", "\u00c3"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 12)).tolist()) for _ in range(4000)]
+    texts += ["x" * 300, "Ä" * 200 + "!" * 100, "", "é" * 128, "é" * 129]
+    texts = [" ".join(texts[i : i + 9]) for i in range(0, len(texts), 9)]
+    tokenizer = Tokenizer.from_file(WORDS)
+    flat, ends = repair.TextIds(WORDS).encode(pa.array(texts))
+    got = [flat[a:b].tolist() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_registered_query(spark, docs):
     got = sorted(map(tuple, queries.op1_repair_token_files(spark, SF).collect()))
     assert got == expected_files([(r.doc_id, r.text) for r in docs.collect()])

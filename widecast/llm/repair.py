@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
@@ -28,10 +27,10 @@ GROWTH = 25
 REMEMBERED = 1_000_000
 MIN_COUNT = 4
 PAIRS_A_ROUND = 10_000
-#: A chunk of unaccented or precomposed Latin letters and closing signs is two pieces to any normaliser.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-WORD = re.compile(r"[a-zß-öø-ÿ]+")
 WORDS_PER_CALL = 500
+#: The lowest 0 to 8 bytes of a number.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SLACK = np.zeros(8, np.uint8)
 FILE_SCHEMA = (
     "part int, block int, start_in_part bigint, n_tokens bigint, base int, doc_ids array<{kind}>, "
     "doc_ends binary, symbol_ends binary, rules binary, spans binary, symbols binary"
@@ -41,6 +40,8 @@ FILE_SCHEMA = (
 class Chunks:
     """Values of byte strings, remembered in arrays: an open hash table of verified entries.
 
+    ``values_of`` gives the values of new strings, whose bytes lie one after the other, and their numbers.
+
     A string's hash is a difference of prefix sums of its bytes times powers of an odd number, so all
     strings of a buffer are hashed at once. Entries are compared byte by byte. At a bound of entries
     the quarter that was met most often stays; results do not depend on it.
@@ -50,7 +51,7 @@ class Chunks:
     LONGEST = 256  # longer strings are not remembered
     SPAN = 1 << 18  # bytes hashed at once
 
-    def __init__(self, values_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = REMEMBERED) -> None:
+    def __init__(self, values_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = REMEMBERED) -> None:
         self.values_of, self.dtype, self.most = values_of, dtype, most
         self.bits = (2 * most).bit_length()
         n = self.SPAN + self.LONGEST + 1
@@ -81,13 +82,19 @@ class Chunks:
         return h ^ (h >> np.uint64(29))
 
     def same(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Which strings are those of their entries."""
+        """Which strings are those of their entries, compared eight bytes at a time."""
         out = self.sizes[entry] == sizes
-        some = np.flatnonzero(out)
-        if len(some):
-            equal = gather(self.bytes, self.offsets[entry[some]], sizes[some]) == gather(data, starts[some], sizes[some])
-            ends = np.cumsum(sizes[some])
-            out[some] = np.diff(np.concatenate([[0], np.cumsum(equal)])[ends], prepend=0) == sizes[some]
+        low = int(starts[0])
+        here, held = words_at(np.concatenate([data[low : int(starts[-1] + sizes[-1])], SLACK])), words_at(self.bytes)
+        live = np.flatnonzero(out & (sizes > 0))
+        done = 0
+        while len(live):
+            left = sizes[live] - done
+            differ = here[starts[live] - low + done] ^ held[self.offsets[entry[live]] + done]
+            equal = differ & MASKS[np.minimum(left, 8)] == 0
+            out[live[~equal]] = False
+            live = live[equal & (left > 8)]
+            done += 8
         return out
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -119,8 +126,8 @@ class Chunks:
             held = getattr(self, name)
             if len(held) < first + m:
                 setattr(self, name, np.concatenate([held, np.zeros(max(len(held), m), held.dtype)]))
-        if len(self.bytes) < self.byte_count + len(raw):
-            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), len(raw)), np.uint8)])
+        if len(self.bytes) < self.byte_count + len(raw) + len(SLACK):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), len(raw)), np.uint8), SLACK])
         if len(self.values) < self.value_count + len(flat):
             self.values = np.concatenate([self.values, np.zeros(max(len(self.values), len(flat)), self.dtype)])
         here = slice(first, first + m)
@@ -151,14 +158,14 @@ class Chunks:
             _, at = np.unique(hashes[new], return_index=True)
             chosen = np.sort(new[at])
             raw = gather(data, starts[chosen], sizes[chosen])
-            self.store(hashes[chosen], raw, sizes[chosen], *self.values_of(sliced(raw, sizes[chosen])))
+            self.store(hashes[chosen], raw, sizes[chosen], *self.values_of(raw, sizes[chosen]))
             entry[new] = self.find(hashes[new])
         self.hits[: self.n] += np.bincount(entry, minlength=self.n).astype(np.int32)
         lengths, at = self.lengths[entry], self.starts[entry]
         flat = gather(self.values, at, lengths)
         wrong = np.flatnonzero(~self.same(entry, data, starts, sizes))
         if len(wrong):  # another string of the same hash
-            flat, lengths = spliced(flat, lengths, wrong, *self.values_of(sliced(gather(data, starts[wrong], sizes[wrong]), sizes[wrong])))
+            flat, lengths = spliced(flat, lengths, wrong, *self.values_of(gather(data, starts[wrong], sizes[wrong]), sizes[wrong]))
         return flat, lengths
 
     def values_at(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,14 +179,31 @@ class Chunks:
         lengths = np.zeros(len(starts), np.int64)
         lengths[some] = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
         if len(long):
-            flat, lengths = spliced(flat, lengths, long, *self.values_of(sliced(gather(data, starts[long], sizes[long]), sizes[long])))
+            flat, lengths = spliced(flat, lengths, long, *self.values_of(gather(data, starts[long], sizes[long]), sizes[long]))
         return flat, lengths
 
 
-def sliced(raw: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Byte strings that lie one after the other."""
-    whole, ends = raw.tobytes(), np.cumsum(sizes).tolist()
-    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+def words_at(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    return np.ndarray(len(padded) - len(SLACK) + 1, "<u8", padded, strides=(1,))
+
+
+def letters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are of unaccented or precomposed Latin letters, and which of those are of small ones."""
+    lead = raw == 0xC3
+    behind = np.concatenate([[False], lead[:-1]])
+    small = (raw >= 97) & (raw <= 122)
+    plain = small | (raw >= 65) & (raw <= 90)
+    accent = behind & (raw >= 0x80) & (raw <= 0xBF) & (raw != 0x97) & (raw != 0xB7)
+    small_accent = accent & (raw >= 0x9F)
+    return plain | accent | np.concatenate([accent[1:], [False]]), small | small_accent | np.concatenate([small_accent[1:], [False]])
+
+
+def sums_of(flags: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many flags are set in each of the runs that lie one after the other."""
+    upto = np.concatenate([[0], np.cumsum(flags)])
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
 
 
 def spliced(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,36 +243,53 @@ class TextIds:
         self.parts = Chunks(self.library, self.kind, 3 * REMEMBERED // 5)
         self.chunks = Chunks(self.split, self.kind)
 
-    def library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Plain words go in long strings, cut again where an id closes a word; all else one by one."""
-        texts = [p.decode() for p in parts]
-        plain = np.array([self.closes is not None and WORD.fullmatch(p) is not None for p in texts], bool)
-        words = [p for p, x in zip(texts, plain.tolist()) if x]
-        others = [p for p, x in zip(texts, plain.tolist()) if not x]
-        joined = [" ".join(words[i : i + WORDS_PER_CALL]) for i in range(0, len(words), WORDS_PER_CALL)]
+    def library(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words in small letters go in long strings, cut again where an id closes a word; all else one by one."""
+        sizes = sizes.astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        plain = (sums_of(letters(raw)[1], sizes) == sizes) & (sizes > 0) & (self.closes is not None)
+        n = int(plain.sum())
+        ends = np.cumsum(sizes[plain] + 1)
+        spaced = np.full(int(ends[-1]) if n else 0, 32, np.uint8)
+        inside = np.ones(len(spaced), bool)
+        inside[ends - 1] = False
+        spaced[inside] = gather(raw, starts[plain], sizes[plain])
+        cuts = [0, *ends[WORDS_PER_CALL - 1 : -1 : WORDS_PER_CALL].tolist(), len(spaced)] if n else []
+        joined = [spaced[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:])]
         found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         flat = np.concatenate([np.zeros(0, self.kind), *(np.array(e.ids, self.kind) for e in found)])
-        ends = np.flatnonzero(self.closes[flat]) + 1 if len(words) else np.zeros(0, np.int64)
-        if len(ends) != len(words):
+        closing = np.flatnonzero(self.closes[flat]) + 1 if n else np.zeros(0, np.int64)
+        if len(closing) != n:
             raise ValueError("the vocabulary doesn't close each word")
+        whole = raw.tobytes()
+        others = [whole[a : a + k].decode() for a, k in zip(starts[~plain].tolist(), sizes[~plain].tolist())]
         rest = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-        lengths = np.zeros(len(parts), np.int64)
-        lengths[plain] = np.diff(ends, prepend=0)
+        lengths = np.zeros(len(sizes), np.int64)
+        lengths[plain] = np.diff(closing, prepend=0)
         lengths[~plain] = [len(x) for x in rest]
-        starts = np.zeros(len(parts), np.int64)
-        starts[plain] = ends - lengths[plain]
-        starts[~plain] = len(flat) + np.cumsum(lengths[~plain]) - lengths[~plain]
-        return gather(np.concatenate([flat, *rest]), starts, lengths), lengths
-
-    def split(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words in small letters and the signs behind them apart, since each repeats in many chunks."""
-        parts = []
-        for chunk in chunks:
-            m = SIMPLE.fullmatch(text := chunk.decode())
-            parts += (m[1].lower().encode(), m[2].encode()) if m else (chunk, b"")
-        del text
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat, lengths = self.parts.values_at(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        places = np.zeros(len(sizes), np.int64)
+        places[plain] = closing - lengths[plain]
+        places[~plain] = len(flat) + np.cumsum(lengths[~plain]) - lengths[~plain]
+        return gather(np.concatenate([flat, *rest]), places, lengths), lengths
+
+    def split(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words in small letters and the signs behind them apart, since each repeats in many chunks.
+
+        A chunk of Latin letters and closing signs, neither digits nor the straight apostrophe among
+        them, is those two pieces to any normaliser; every other chunk stays whole.
+        """
+        sizes = sizes.astype(np.int64)
+        ends = np.cumsum(sizes)
+        letter, _ = letters(raw)
+        sign = (raw >= 33) & (raw <= 126) & (raw != 39) & ~((raw >= 48) & (raw <= 57)) & ~letter
+        other = np.concatenate([np.flatnonzero(~letter), [len(raw)]])
+        word = np.minimum(other[np.searchsorted(other, ends - sizes)], ends) - (ends - sizes)
+        simple = (word > 0) & (sums_of(sign, sizes) == sizes - word)
+        capital = np.repeat(simple, sizes) & letter
+        capital &= (raw >= 65) & (raw <= 90) | (raw >= 0x80) & (raw <= 0x9E)
+        first = np.where(simple, word, sizes)
+        parts = np.stack([first, sizes - first], axis=1).ravel()
+        flat, lengths = self.parts.values_at(raw + capital.astype(np.uint8) * np.uint8(32), np.cumsum(parts) - parts, parts)
         return flat, lengths.reshape(-1, 2).sum(axis=1)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
