@@ -327,7 +327,6 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_
     stays = np.ones(n, bool)
     size = 1 << 12
     known = np.ones(base + size, np.int64)
-    side = np.zeros(base + size, np.int8)  # 0 free, 1 left, 2 right, 3 paired with itself
     lefts, rights = [], []
     following = base
     spots = np.flatnonzero(~last[:-1])  # where a frequent pair may begin
@@ -348,17 +347,18 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_
         if not len(pairs):
             break
         order = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
-        side[:following] = 0
+        taken = bytearray(following)  # 0 free, 1 left, 2 right, 3 paired with itself
         chosen = []
         for pair, a, b in zip(pairs[order].tolist(), (pairs[order] >> 32).tolist(), (pairs[order] & 0xFFFFFFFF).tolist()):
             if a == b:
-                if not side[a]:
-                    side[a] = 3
+                if not taken[a]:
+                    taken[a] = 3
                     chosen.append(pair)
-            elif side[a] in (0, 1) and side[b] in (0, 2):
-                side[a], side[b] = 1, 2
+            elif taken[a] < 2 and not taken[b] & 1:
+                taken[a], taken[b] = 1, 2
                 chosen.append(pair)
         chosen = np.sort(np.array(chosen, np.int64))
+        side = np.frombuffer(taken, np.uint8)
         left, right = side[keys >> 32], side[keys & 0xFFFFFFFF]
         maybe = np.flatnonzero((left == 1) & (right == 2) | (left == 3) & (keys >> 32 == keys & 0xFFFFFFFF))
         rule = np.minimum(np.searchsorted(chosen, keys[maybe]), len(chosen) - 1)
@@ -371,7 +371,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, min_count: int = MIN_
         lefts.append(chosen >> 32)
         rights.append(chosen & 0xFFFFFFFF)
         while len(known) < following + len(chosen):
-            known, side = np.concatenate([known, np.ones_like(known)]), np.concatenate([side, np.zeros_like(side)])
+            known = np.concatenate([known, np.ones_like(known)])
         known[following : following + len(chosen)] = known[lefts[-1]] + known[rights[-1]]
         gone = after[found]
         seq[found] = following + rule
