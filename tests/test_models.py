@@ -220,9 +220,26 @@ def test_stack(spark, table, tmp_path):
     assert scored(load_model(spark, str(tmp_path / "stack")).transform(table)) == scored(out)
 
 
+@pytest.mark.parametrize("learner", [LEARNERS[0], replace(BOOST, name="gbm", rounds=1)], ids=["bayes", "boost"])
+def test_permutation_importance_in_one_plan(table, learner):
+    """Each feature's value is that of a run of its own, and the scored plan has no branch for a feature."""
+    model = learner.fit(table)
+    features = SPEC.predictors[:3]
+    got = {r["variable"]: r["importance"] for r in E.permutation_importance(model, table, SPEC.key, SPEC.label, features).collect()}
+    mixed = E.permuted(table.filter(F.col(SPEC.label).isNotNull()), SPEC.key, features, 1).persist()
+    base = E.metrics(model.transform(mixed.select(table.columns)), SPEC.label, model.classes)["logloss"]
+    for f in features:
+        changed = mixed.withColumn(f, F.col(f"__shuffled_{f}")).select(table.columns)
+        assert got[f] == pytest.approx(E.metrics(model.transform(changed), SPEC.label, model.classes)["logloss"] - base, abs=1e-9)
+    plans = [model.transform(E.variants(mixed, table.columns, features[:n]))._jdf.queryExecution().optimizedPlan().toString() for n in (1, 3)]
+    assert plans[0].count("Join") == plans[1].count("Join") and "Union" not in plans[1]
+
+
 def test_candidate_lists(spark):
     families = [c.family for c in typed_candidates(SPEC)]
     assert {f: families.count(f) for f in set(families)} == {"logistic": 6, "forest": 27, "vector_bayes": 1, "boost": 18}
     assert grid_table(spark, typed_candidates(SPEC)).select("model_id").distinct().count() == 52
-    assert [c.name for c in fixed_learners(SPEC)] == ["GBM_01", "XGB_01", "GBM_02", "BYS", "rf", "XGB_02"]
+    assert [c.name for c in fixed_learners(SPEC)] == [
+        "gradient", "newton", "gradient_balanced", "bayes", "forest_balanced", "newton_balanced"
+    ]
     assert len({c.name for c in search_candidates(SPEC)}) == 13

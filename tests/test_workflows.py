@@ -33,10 +33,10 @@ def test_search_then_scoring(spark, parts, tmp_path):
 
 def test_fixed_models(spark, parts, tmp_path):
     spec = P.typed_spec()
-    base = [NaiveBayesLearner(spec=spec, name="BYS"), BoostLearner(spec=spec, name="GBM", rounds=1, depth=2, column_rate=0.2)]
+    base = [NaiveBayesLearner(spec=spec, name="bayes"), BoostLearner(spec=spec, name="gradient", rounds=1, depth=2, column_rate=0.2)]
     learner = replace(stack_learner(spec, base, folds=2), rounds=1, depth=2)
     report = fixed_models(parts.labelled, spec, learner, str(tmp_path))
-    assert set(report.metrics) == {"train", "valid"} and set(report.importance) == {"BYS", "GBM"}
+    assert set(report.metrics) == {"train", "valid"} and set(report.importance) == {"bayes", "gradient"}
     assert report.model.transform(parts.to_score).count() == parts.to_score.count()
 
 
@@ -45,12 +45,22 @@ def test_typed_selection(parts):
         return [NaiveBayesLearner(spec=spec, name="a"), NaiveBayesLearner(spec=spec, name="b", laplace=1.0)]
 
     report = typed_selection(parts.labelled, P.typed_spec(), candidates, folds=2)
-    assert report.checks.count() == 64
+    assert report.checks.count() == 64 and report.cut_classes == []
     assert set(report.spec.predictors) <= set(P.typed_spec().predictors)
     assert report.scores.count() == parts.labelled.count()
     assert 0 <= report.holdout_metrics["weighted_f1"] <= 1
 
 
+def test_typed_selection_names_the_classes_it_cuts(parts):
+    def candidates(spec):
+        return [NaiveBayesLearner(spec=spec, name="a")]
+
+    counts = {r["label"]: r["count"] for r in parts.labelled.groupBy(P.LABEL).count().withColumnRenamed(P.LABEL, "label").collect()}
+    rarest = sorted(counts, key=lambda c: (-counts[c], c))[-1]
+    report = typed_selection(parts.labelled, P.typed_spec(), candidates, folds=2, max_labels=len(counts) - 1)
+    assert report.cut_classes == [rarest] and report.model.classes == sorted(set(counts) - {rarest})
+
+
 def test_streaming_equals_batch(spark, parts, tmp_path):
     model = NaiveBayesLearner(spec=P.typed_spec()).fit(parts.labelled)
     source = str(tmp_path / "in")

@@ -166,24 +166,32 @@ def permuted(df: DataFrame, key: str, columns: Sequence[str], seed: int, group_r
     return out.select(df.columns + [F.col(f"__moved.{c}").alias(f"__shuffled_{c}") for c in columns])
 
 
+def variants(mixed: DataFrame, columns: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Every row of ``permuted`` as it is (``__variant`` 0), and with the i-th feature's moved value (i, from 1)."""
+    copies = mixed.withColumn("__variant", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
+    place = {f: i for i, f in enumerate(features, 1)}
+    changed = [
+        F.when(F.col("__variant") == place[c], F.col(f"__shuffled_{c}")).otherwise(F.col(c)).alias(c) if c in place else F.col(c)
+        for c in columns
+    ]
+    return copies.select("__variant", *changed)
+
+
 def permutation_importance(model: Model, df: DataFrame, key: str, label: str, features: Sequence[str], seed: int = 1) -> DataFrame:
     """(variable, importance, scaled, share): rise of the log loss when a feature's values move;
     negative where moving them helps.
 
-    One shuffle moves all features; the scored variants are measured together in one job.
+    One shuffle moves all features. Each row then stands once as it is and once for each feature with that
+    feature's moved value, and all of them go through one scoring plan, whose size does not depend on
+    the number of features. ``__variant`` is no column of ``df``.
     """
     from widecast.session import cut_lineage
 
     labelled = df.filter(F.col(label).isNotNull())
     mixed = cut_lineage(permuted(labelled, key, features, seed))
-    variants = [model.transform(mixed.select(df.columns)).select(F.lit("").alias("variant"), label, PREDICT, PROBABILITIES)]
-    for f in features:
-        changed = mixed.withColumn(f, F.col(f"__shuffled_{f}")).select(df.columns)
-        variants.append(model.transform(changed).select(F.lit(f).alias("variant"), label, PREDICT, PROBABILITIES))
-    together = variants[0]
-    for v in variants[1:]:
-        together = together.unionByName(v)
-    losses = metrics_table(together, label, model.classes, by=["variant"]).select("variant", "logloss").collect()
-    loss = {r["variant"]: r["logloss"] for r in losses}
+    together = model.transform(variants(mixed, df.columns, features))
+    losses = metrics_table(together, label, model.classes, by=["__variant"]).select("__variant", "logloss").collect()
+    found = {r["__variant"]: r["logloss"] for r in losses}
+    loss = {f: found[i] for i, f in enumerate(["", *features])}
     rows = [(f, loss[f] - loss[""]) for f in features]
     return scaled_importance(df.sparkSession.createDataFrame(rows, "variable string, importance double"))

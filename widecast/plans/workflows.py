@@ -15,6 +15,7 @@ from widecast import presets as P
 from widecast.operators import evaluate as E
 from widecast.operators.balanced import BalancedLearner
 from widecast.operators.boost import BoostLearner
+from widecast.operators.encode import VectorSettings
 from widecast.operators.families import ForestLearner, LogisticLearner, VectorBayesLearner
 from widecast.operators.learner import Learner, Model, label_classes
 from widecast.operators.nbayes import NaiveBayesLearner
@@ -95,23 +96,22 @@ def model_search(
 
 
 def fixed_learners(spec: TableSpec) -> list[Learner]:
-    """The six hand-tuned base models."""
-    seed = P.FOLD_SEED
-    gbm = BoostLearner(spec=spec, name="GBM_01", rounds=120, depth=8, column_rate=0.2, row_rate=0.7, annealing=1.0, seed=seed)
-    xgb = BoostLearner(spec=spec, name="XGB_01", mode="newton", rounds=120, depth=10, eta=0.1, column_rate=0.3, row_rate=0.7, seed=seed)
-    forest = ForestLearner(spec=spec, name="rf", trees=200, depth=15, column_rate="0.3", seed=seed)
+    """The six hand-tuned base models: each kind of boosting plain and balanced, naive Bayes, a balanced forest."""
+    common = {"spec": spec, "seed": P.FOLD_SEED}
+    gradient = BoostLearner(name="gradient", **common, **P.GRADIENT_SETTINGS)
+    newton = BoostLearner(name="newton", mode="newton", **common, **P.NEWTON_SETTINGS)
     return [
-        gbm,
-        xgb,
-        balanced(replace(gbm, name="GBM_02", depth=7)),
-        NaiveBayesLearner(spec=spec, name="BYS", laplace=0.1),
-        balanced(forest),
-        balanced(replace(xgb, name="XGB_02", rounds=150, depth=7)),
+        gradient,
+        newton,
+        balanced(replace(gradient, name="gradient_balanced", **P.BALANCED_GRADIENT_CHANGES)),
+        NaiveBayesLearner(spec=spec, name="bayes", **P.BAYES_SETTINGS),
+        balanced(ForestLearner(name="forest_balanced", **common, **P.FOREST_SETTINGS)),
+        balanced(replace(newton, name="newton_balanced", **P.BALANCED_NEWTON_CHANGES)),
     ]
 
 
 def stack_learner(spec: TableSpec, base: Sequence[Learner], folds: int = P.FOLDS) -> StackLearner:
-    return StackLearner(spec=spec, base=tuple(base), folds=folds, rounds=50, depth=4, annealing=0.99, seed=P.FOLD_SEED)
+    return StackLearner(spec=spec, base=tuple(base), folds=folds, seed=P.FOLD_SEED, **P.STACK_SETTINGS)
 
 
 @dataclass
@@ -146,19 +146,16 @@ def fixed_models(
 # ---------------------------------------------------------------- typed features and selection
 
 
-def typed_candidates(spec: TableSpec) -> list[Learner]:
-    """The 52 grid candidates: 6 logistic, 27 forest, 1 naive Bayes, 18 boosting."""
+def typed_candidates(spec: TableSpec, vector: VectorSettings = VectorSettings(P.PIVOT_TOP_K, P.PIVOT_MIN_SUPPORT)) -> list[Learner]:
+    """The 52 grid candidates: 6 logistic, 27 forest, 1 naive Bayes, 18 boosting.
+
+    ``vector`` says how many levels of a pick list the first three keep apart; the others are pooled.
+    """
     return [
-        *grid(LogisticLearner(spec=spec), regularization=[0.05, 0.1], elastic_net=[0.01], max_iter=[50, 100, 80]),
-        *grid(ForestLearner(spec=spec, column_rate="auto"), depth=[7, 10, 8], min_rows=[30, 50, 40], seed=[42], trees=[100, 300, 200]),
-        *grid(VectorBayesLearner(spec=spec), smoothing=[1.0]),
-        *grid(
-            BoostLearner(spec=spec, mode="newton"),
-            rounds=[100],
-            eta=[0.1, 0.3],
-            depth=[7, 10, 8],
-            min_child_weight=[1.0, 5.0, 10.0],
-        ),
+        *grid(LogisticLearner(spec=spec, vector=vector), **P.LOGISTIC_GRID),
+        *grid(ForestLearner(spec=spec, vector=vector, column_rate="auto"), **P.FOREST_GRID),
+        *grid(VectorBayesLearner(spec=spec, vector=replace(vector, unit_range=True)), **P.VECTOR_BAYES_GRID),
+        *grid(BoostLearner(spec=spec, mode="newton"), **P.BOOST_GRID),
     ]
 
 
@@ -171,6 +168,7 @@ class TypedReport:
     scores: DataFrame
     metrics: dict[str, float]
     holdout_metrics: dict[str, float]
+    cut_classes: list[str]
 
 
 def typed_selection(
@@ -180,18 +178,25 @@ def typed_selection(
     folds: int = P.FOLDS,
     limits: SanityLimits = SanityLimits(),
     parallelism: int = 1,
+    max_labels: int = P.MAX_LABELS,
 ) -> TypedReport:
-    """Check features, drop bad ones, cross-validate the candidates, score and evaluate the winner."""
+    """Check features, drop bad ones, cross-validate the candidates, score and evaluate the winner.
+
+    Rows of classes beyond the ``max_labels`` most frequent take no part in training; the report names
+    those classes.
+    """
     classes = label_classes(labelled, spec.label)
     checks, kept = sanity_check(labelled, spec.numeric, spec.categorical, spec.label, classes, limits)
     spec = spec.with_role("ignored", *(set(spec.predictors) - set(kept)))
-    train, reserved = holdout(cut_labels(labelled, spec.label), spec.key, P.HOLDOUT_SHARE, P.HOLDOUT_SEED)
+    kept_rows = cut_labels(labelled, spec.label, max_labels)
+    cut = sorted(set(classes) - set(label_classes(kept_rows, spec.label)))
+    train, reserved = holdout(kept_rows, spec.key, P.HOLDOUT_SHARE, P.HOLDOUT_SEED)
     folded = assign_folds(train, spec.key, folds, P.HOLDOUT_SEED)
     result = select_model(candidates(spec), folded, folds, "weighted_f1", parallelism=parallelism)
     model = result.leader.model
     scores, measured = E.score_and_evaluate(model, labelled, spec.label)
     held_out = E.metrics(model.transform(reserved), spec.label, model.classes)
-    return TypedReport(checks, spec, result, model, scores, measured, held_out)
+    return TypedReport(checks, spec, result, model, scores, measured, held_out, cut)
 
 
 # ---------------------------------------------------------------- batch scoring

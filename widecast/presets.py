@@ -85,6 +85,27 @@ MAX_MODELS = 12
 MAX_RUNTIME_SECS = 14400
 
 
+# Settings of the packaged models that results must agree with.
+GRADIENT_SETTINGS = {"rounds": 120, "depth": 8, "column_rate": 0.2, "row_rate": 0.7, "annealing": 1.0}
+NEWTON_SETTINGS = {"rounds": 120, "depth": 10, "column_rate": 0.3, "row_rate": 0.7, "eta": 0.1}
+FOREST_SETTINGS = {"trees": 200, "depth": 15, "column_rate": "0.3"}
+BAYES_SETTINGS = {"laplace": 0.1}
+BALANCED_GRADIENT_CHANGES = {"depth": 7}
+BALANCED_NEWTON_CHANGES = {"rounds": 150, "depth": 7}
+STACK_SETTINGS = {"rounds": 50, "depth": 4, "annealing": 0.99}
+
+# Grids of the typed selection.
+LOGISTIC_GRID = {"regularization": [0.05, 0.1], "elastic_net": [0.01], "max_iter": [50, 100, 80]}
+FOREST_GRID = {"depth": [7, 10, 8], "min_rows": [30, 50, 40], "seed": [42], "trees": [100, 300, 200]}
+VECTOR_BAYES_GRID = {"smoothing": [1.0]}
+BOOST_GRID = {"rounds": [100], "eta": [0.1, 0.3], "depth": [7, 10, 8], "min_child_weight": [1.0, 5.0, 10.0]}
+
+# Classes kept by the typed selection, levels kept by the pivot of its pick lists.
+MAX_LABELS = 100
+PIVOT_TOP_K = 20
+PIVOT_MIN_SUPPORT = 10
+
+
 def conformed_schema() -> T.StructType:
     """Schema of the prepared table; only the key is required."""
     fields = [T.StructField(KEY, T.StringType(), False)]
