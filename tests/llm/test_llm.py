@@ -513,6 +513,44 @@ def test_classifiers_on_odd_rows(docs, labels, odd, empty, module, label):
     assert module.fit(docs, labels.withColumn(label, F.lit(None).cast("int")), F.lit(True), label) is None
 
 
+def test_quality_learns_from_every_pair_and_row(spark):
+    """Weights are those of all pairs of a good and a poor text, the cut has the fewest errors of all rows."""
+    rng = np.random.default_rng(5)
+    words = ["alpha", "Beta", "gamma,", "delta.", "##", "12", "||", "EPSILON", "zeta!", "a"]
+    rows = []
+    for i in range(600):
+        good = i % 3 != 0
+        noisy = rng.random() < (0.25 if good else 0.7)
+        chosen = rng.choice(words if noisy else words[:4], int(rng.integers(0, 60)))
+        rows.append((i, " ".join(chosen), int(good)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True))
+    x, y = np.array([quality.features(t) for _, t, _ in rows]), np.array([y for *_, y in rows]) == 1
+    np.testing.assert_allclose(model.mean, x.mean(axis=0), atol=1e-8)
+    np.testing.assert_allclose(model.scale, np.maximum(x.std(axis=0), 1e-6), atol=1e-8)
+    z = (x - np.array(model.mean)) / np.array(model.scale)
+    differences = (z[y][:, None] - z[~y][None]).reshape(-1, z.shape[1])
+    slope = differences.T @ (quality.logistic(differences @ np.array(model.weights)) - 1) / len(differences) + quality.RIDGE * np.array(model.weights)
+    assert np.abs(slope).max() < 2e-5  # the sum over every pair is at its least
+    scores = np.round(z @ np.array(model.weights), 9)
+    errors = {c: int((y & (scores < c)).sum() + (~y & (scores >= c)).sum()) for c in [*scores, np.inf]}
+    assert errors[min(errors, key=lambda c: (errors[c], c))] == int((y & (scores < model.cut)).sum() + (~y & (scores >= model.cut)).sum())
+    assert abs(model.steep - 4 / np.abs(scores - model.cut).mean()) < 1e-6
+
+
+def test_quality_learns_from_more_rows_than_a_task_holds(spark):
+    """Every one of 15,000 labelled rows counts, many of one score among them."""
+    rows = spark.range(15_000).selectExpr("id AS doc_id", "repeat('word, ', CAST(id % 7 AS INT)) || IF(id % 5 = 0, '## 12', 'end.') AS text", "CAST(id % 5 > 0 AS INT) AS quality")
+    model = quality.fit(rows.drop("quality"), rows.drop("text"), F.lit(True))
+    texts = [(i, "word, " * (i % 7) + ("## 12" if i % 5 == 0 else "end.")) for i in range(35)]
+    x = np.array([quality.features(t) for _, t in texts])
+    # 15,000 rows are 428 rounds of 35 and 20 rows more.
+    n = np.array([429 if i < 20 else 428 for i, _ in texts])
+    np.testing.assert_allclose(model.mean, np.average(x, axis=0, weights=n), atol=1e-8)
+    assert [s >= quality.CUT_SCORE for s in model.score(x)] == [i % 5 > 0 for i, _ in texts]
+
+
 # Pipeline
 
 
