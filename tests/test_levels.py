@@ -60,6 +60,24 @@ def test_sparse_sums_agree_with_dense_ones(monkeypatch):
         assert all(np.allclose(whole[k], other[k]) for k in whole)
 
 
+def test_sparse_sums_are_given_out_in_small_pieces():
+    """No batch of a task has more rows than twice 32,768, however many levels there are."""
+    import pyarrow as pa
+
+    n = 200_000
+    bins = np.random.default_rng(4).permutation(n).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(bins))
+    batch = pa.RecordBatch.from_arrays([lists, pa.array((bins % 2).astype(np.int32)), pa.array(np.ones(n))], names=[walk.BINS, "__y", "__w"])
+    empty = (np.full(3, -1, np.int32), walk.joined_sets([np.zeros(0, np.int64)] * 3), np.zeros(3))
+    for taken, signs in ((None, 1), ([np.ones(1, bool)] * 2, 2)):
+        made = walk.gradient_sums(np.log([0.4, 0.6]), [(c, *empty) for c in range(2)], 0, [[0], [0]], [n], 1, taken)
+        got = list(made(iter([batch.slice(i, 10_000) for i in range(0, n, 10_000)])))
+        assert max(b.num_rows for b in got) <= 1 << 16
+        assert sum(b.num_rows for b in got) == 2 * n * signs
+        seen = np.concatenate([b.column("bin").to_numpy()[b.column("node").to_numpy() == 0] for b in got])
+        assert np.array_equal(np.bincount(seen, minlength=n), np.full(n, 2))
+
+
 def test_walk_through_wide_sets():
     """Bins beyond a node's last word go right."""
     left = walk.joined_sets([walk.bin_set([0, 63, 64, 700])] + [np.zeros(0, np.int64)] * 2)
