@@ -16,7 +16,7 @@ from widecast.operators.nbayes import NaiveBayesLearner
 from widecast.operators.prepared import Preparations
 from widecast.operators.sample import assign_folds
 from widecast.operators.select import ALL, FOLDS, cross_validate, expect_uses, grid, search
-from widecast.operators.stack import level_one
+from widecast.operators.stack import StackLearner, level_one
 from widecast.plans.workflows import typed_candidates
 from widecast.presets import typed_spec
 
@@ -79,6 +79,22 @@ def test_base_learners_of_a_stack_share_inputs(spark, table, monkeypatch):
     assert len(made) == 3 and rows.count() == table.count()
 
 
+@pytest.mark.parametrize("job", ["search", "level_one", "stack"])
+def test_source_rows_are_made_once(spark, table, job):
+    """Folds and learners read stored rows; the plan that made them runs once."""
+    made = spark.sparkContext.accumulator(0)
+    counting = F.udf(lambda v: made.add(1) or v, "string").asNondeterministic()
+    source = table.filter("fold < 2") if job == "stack" else table
+    rows = source.withColumn("label", counting("label"))
+    if job == "search":
+        search([BAYES, replace(BAYES, name="second", laplace=3.0)], rows, 3, refit="none")
+    elif job == "level_one":
+        assert level_one([BAYES, replace(BAYES, name="second", laplace=3.0)], rows, 3, ["user", "label"]).count() == table.count()
+    else:
+        StackLearner(spec=SPEC, base=(BAYES, replace(BOOST, rounds=1)), folds=2, rounds=1, depth=1).fit(rows)
+    assert made.value == source.count()
+
+
 @dataclass(frozen=True, kw_only=True)
 class SlowLearner(Learner):
     family: ClassVar[str] = "slow"
