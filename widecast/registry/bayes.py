@@ -14,6 +14,7 @@ from widecast.operators.select import grid, oof_predict, select_model
 from widecast.operators.stack import join_oof, level_one
 from widecast.registry import query
 from widecast.registry.common import FOLD_SEED, as_doubles, fold_sql, rounded, scratch, uniform_sql
+from widecast.session import written
 from widecast.sources.models import load_model, save_model
 from widecast.sources.tables import read_table
 
@@ -223,7 +224,7 @@ def nb_balanced(spark, sf):
 SELECT s."user", CAST(f.fold AS INTEGER) AS fold, predict, {ROUNDED_P} FROM scored s JOIN folded f ON s."user" = f."user\"""",
 )
 def nb_oof(spark, sf):
-    df, _ = oof_predict(LEARNER, folded(spark, sf), K)
+    df, _ = oof_predict(LEARNER, written(folded(spark, sf), "folded"), K)  # read by every fold
     return df.select("user", "fold", "predict", *as_doubles("probabilities", 5))
 
 
@@ -246,7 +247,7 @@ def level_one_table(spark, sf):
 @query("level_one_joined", LEVEL_SQL)
 def level_one_joined(spark, sf):
     """The same table from stored out-of-fold tables, joined on the key."""
-    df = folded(spark, sf)
+    df = written(folded(spark, sf), "folded")  # read by every learner and fold
     stored = {}
     for learner in TWO:
         path = scratch(spark)
