@@ -1,5 +1,6 @@
 """What the candidates of a search share, and how its time budget ends them."""
 
+import threading
 import time
 from dataclasses import dataclass, replace
 from typing import ClassVar
@@ -79,6 +80,24 @@ def test_base_learners_of_a_stack_share_inputs(spark, table, monkeypatch):
     assert len(made) == 3 and rows.count() == table.count()
 
 
+def test_folds_of_a_base_learner_run_side_by_side(spark, table):
+    """Each fit waits until those of the other folds have begun; the models are those of one fit after the other."""
+    begun = threading.Barrier(3, timeout=120)
+
+    @dataclass(frozen=True, kw_only=True)
+    class WaitingLearner(BoostLearner):
+        def prepare(self, df):
+            begun.wait()
+            return super().prepare(df)
+
+    own = {f: getattr(BOOST, f) for f in ("spec", "classes", "rounds", "depth", "max_bins")}
+    by_parallelism = [
+        {r["user"]: np.round(r[2:], 9).tolist() for r in level_one([learner], table, 3, ["user", "label"], parallelism=n).collect()}
+        for learner, n in ((WaitingLearner(**own), 3), (BOOST, 1))
+    ]
+    assert by_parallelism[0] == by_parallelism[1] and len(by_parallelism[0]) == table.count()
+
+
 @pytest.mark.parametrize("job", ["search", "level_one", "stack"])
 def test_source_rows_are_made_once(spark, table, job):
     """Folds and learners read stored rows; the plan that made them runs once."""

@@ -7,8 +7,10 @@ from test_prep import raw_table
 from widecast import presets as P
 from widecast.operators.boost import BoostLearner
 from widecast.operators.nbayes import NaiveBayesLearner
+from widecast.operators.stack import StackLearner
 from widecast.plans.preparation import derive, prepare, with_products
 from widecast.plans.workflows import balanced, batch_scoring, fixed_models, model_search, stack_learner, typed_selection
+from widecast.registry.training import stack_score
 from widecast.session import ensure_checkpoint_dir
 from widecast.streaming.scoring import export_stream, score_stream, stream_distribution
 
@@ -40,6 +42,36 @@ def test_fixed_models(spark, parts, tmp_path):
     assert report.model.transform(parts.to_score).count() == parts.to_score.count()
 
 
+def test_stack_score_trains_at_the_packaged_sizes(spark, tmp_path, monkeypatch):
+    """The query's ensemble has all rounds, trees, depths and folds, no column or row sample, and all labelled rows."""
+    orders = spark.range(40).selectExpr(
+        "id AS o_orderkey", "id % 4 AS o_custkey", "1000.0D * id AS o_totalprice", "'5-LOW' AS o_orderpriority", "'F' AS o_orderstatus", "DATE '1996-01-02' AS o_orderdate"
+    )
+    customer = spark.range(4).selectExpr("id AS c_custkey", "CAST(id AS INT) AS c_nationkey", "'BUILDING' AS c_mktsegment", "1.0D * id AS c_acctbal")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    customer.write.parquet(str(tmp_path / "customer.parquet"))
+    fits = []
+
+    class Fitted(Exception):
+        pass
+
+    def fit(self, df):
+        fits.append((self, df))
+        raise Fitted
+
+    monkeypatch.setattr(StackLearner, "fit", fit)
+    with pytest.raises(Fitted):
+        stack_score(spark, str(tmp_path))
+    [(learner, rows)] = fits
+    bayes, gbm, forest = learner.base
+    assert learner.folds == P.FOLDS and {s: getattr(learner, s) for s in P.STACK_SETTINGS} == P.STACK_SETTINGS
+    assert (bayes.family, gbm.family, forest.family) == ("naive_bayes", "boost", "forest")
+    assert (gbm.rounds, gbm.depth) == (P.GRADIENT_SETTINGS["rounds"], P.GRADIENT_SETTINGS["depth"])
+    assert (gbm.row_rate, gbm.column_rate) == (1, 1)
+    assert (forest.trees, forest.depth) == (P.FOREST_SETTINGS["trees"], P.FOREST_SETTINGS["depth"])
+    assert rows.count() == 40 and {r["fold"] for r in rows.collect()} == set(range(P.FOLDS))
+
+
 def test_typed_selection(parts):
     def candidates(spec):
         return [NaiveBayesLearner(spec=spec, name="a"), NaiveBayesLearner(spec=spec, name="b", laplace=1.0)]
